@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +26,22 @@ def get_spark(cpus: int = 8, memory: str = "20g") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, wherever they run. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_brindle_shipped", False):
+        return
+    root = os.path.dirname(importlib.util.find_spec("brindle").origin)
+    path = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._brindle_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
