@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.mixing import MIX_SQL, mixture
 from brindle.llm.near_dedup import near_duplicates
-from brindle.session import table
+from brindle.llm.quality_ledger import QUALITY_SQL, quality
+from brindle.llm.substring_dedup import remove_repeats
+from brindle.llm.suffix_dedup import remove_long_repeats
+from brindle.session import Staged, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table=Staged(spark).write)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_long_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _shipped(q: Query) -> Query:
+    @wraps(q)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return q(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_near_dedup,)}
+    return {q.__name__: _shipped(q) for q in (op2_quality_rules, op3_near_dedup, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": QUALITY_SQL, "op8_mixing": MIX_SQL}
