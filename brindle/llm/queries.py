@@ -7,16 +7,24 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.language_id import identify
 from brindle.llm.mixing import MIX_SQL, mixture
 from brindle.llm.near_dedup import near_duplicates
+from brindle.llm.packing import Packing, pack
 from brindle.llm.quality_ledger import QUALITY_SQL, quality
 from brindle.llm.substring_dedup import remove_repeats
 from brindle.llm.suffix_dedup import remove_long_repeats
+from brindle.llm.tiff import document_pages
+from brindle.llm.toxicity import toxicity
 from brindle.session import Staged, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,25 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def packing() -> Packing:
+    """The parameters of op6: the public tokenizer's ranks, 2048 tokens, id 0 after each document."""
+    import public_tokenizers
+
+    return Packing(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), packing())
+
+
+def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_pages(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"), table=Staged(spark).write)
 
@@ -47,7 +74,7 @@ def _shipped(q: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _shipped(q) for q in (op2_quality_rules, op3_near_dedup, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
+    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
