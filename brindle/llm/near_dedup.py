@@ -32,12 +32,16 @@ from brindle.session import Staged
 
 @dataclass(frozen=True)
 class NearDedup:
-    """words: in a shingle; percent: least Jaccard similarity, in hundredths; bands of rows bins (bands * rows: a power of two)."""
+    """words: in a shingle; percent: least Jaccard similarity, in hundredths; bands of rows bins (bands * rows: a power of two).
+
+    centres: of a bucket in the second round of stars; each later round has four times as many.
+    """
 
     words: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 4
+    centres: int = 16
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -140,74 +144,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(y, "v").join(x, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _stars(comp: DataFrame) -> DataFrame:
+    return comp.filter("v <> component").select(F.col("component").alias("u"), "v")
+
+
 def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tuple[DataFrame, DataFrame]:
-    """The classes (digest, c: their smallest doc_id) and the confirmed links (u, v) between classes."""
+    """The classes (digest, c: their smallest doc_id) and the components (v, component) of those with a link."""
     known = feats.filter("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("c"))
     heads = classes.join(known.select(F.col("doc_id").alias("c"), "digest", "n_shingles", "bands"), ["digest", "c"])
-    rows = staged.write(heads.select("c", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct())
-    # buckets with two members or more, of which some two may be large enough for each other
-    shared = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    members = staged.write(rows.join(shared, "bucket"))
-    staged.drop(rows)
-    wanted = members.select("c").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").join(wanted, "c")
-    # a doc_id may have several rows: the class's own is any whose set is the class's
-    sets = staged.write(_full_sets(texts, p).dropDuplicates(["c", "shingles"]))
-
-    found: DataFrame | None = None
-    tried: DataFrame | None = None
-    centres = 1
+    rows = heads.select("c", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    # buckets with two members or more; the smallest is the first centre, found before the shuffle in part
+    first = rows.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.max("c").alias("hi")).filter("m.c < hi")
+    members = staged.write(rows.join(first.select("bucket", "m"), "bucket"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").join(members.select("c").distinct(), "c")
+    sets = staged.write(_full_sets(texts, p))
+
+    # a pair outside these sizes can't reach the similarity
+    apt = (F.col("u") != F.col("v")) & (F.least("un", "vn") * 100 >= F.greatest("un", "vn") * p.percent)
+    pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    star = members.select(F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("c").alias("v"), F.col("n").alias("vn"))
+    tried = staged.write(star.filter(apt).select(*pair).distinct())
+    comp = connected_components(_confirm(tried, sets, p), staged)
+    rest, centres = members.filter("c <> m.c").select("bucket", "c", "n"), p.centres
     while True:
-        if found is None:
-            now = members.withColumn("comp", F.col("c"))
-        else:
-            comp = connected_components(found, staged).withColumnRenamed("v", "c").withColumnRenamed("component", "comp")
-            now = members.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        if found is None:
-            # the first star of every bucket: its smallest member; buckets are combined before the shuffle
-            star = members.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"))
-            pairs = members.join(star, "bucket").select(F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("c").alias("v"), F.col("n").alias("vn"))
-            left = now
-        else:
-            open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            left = staged.write(now.join(open_, "bucket"))
-            if left.isEmpty():
-                break
-            ranked = left.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c")))
-            hub = ranked.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"))
-            pairs = left.join(hub, "bucket").filter("comp <> ucomp").select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
-        # a pair outside these sizes can't reach the similarity
-        apt = (F.col("u") != F.col("v")) & (F.least("un", "vn") * 100 >= F.greatest("un", "vn") * p.percent)
-        pairs = pairs.filter(apt).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = staged.write(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        new = staged.write(_confirm(pairs, sets, p).distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        found = new if found is None else found.union(new)
-        # a centre is done with: its links to the others are known
-        served = (members.groupBy("bucket").agg(F.min("c").alias("c")) if left is now else hub.select("bucket", F.col("u").alias("c")))
-        rest = staged.write(left.select("bucket", "c", "n").join(served, ["bucket", "c"], "left_anti"))
-        members, centres = rest, 1 if left is now else centres * 4
-        if members.isEmpty():
-            break
-    return classes, found
+        # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
+        now = rest.join(comp.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
+        still = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        left = staged.write(now.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
+        if left.isEmpty():
+            return classes, comp
+        hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"))
+        pairs = left.join(hub, "bucket").filter("comp <> ucomp").select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
+        pairs = staged.write(pairs.filter(apt).select(*pair).distinct().join(tried, ["u", "v"], "left_anti"))
+        new = staged.write(_confirm(pairs, sets, p))
+        if not new.isEmpty():
+            comp = connected_components(_stars(comp).union(new), staged)
+        tried = tried.union(pairs)
+        rest, centres = left.filter(F.col("rank") > centres).select("bucket", "c", "n"), centres * 4
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept: one row for each input row."""
     staged = Staged(docs.sparkSession)
     feats = staged.write(features(docs, p))
-    classes, found = links(docs, feats, p, staged)
-    comp = staged.write(connected_components(found, staged))
-    of = staged.write(classes.join(comp.withColumnRenamed("v", "c"), "c", "left").select("digest", F.coalesce("component", "c").alias("component_id")))
+    classes, comp = links(docs, feats, p, staged)
+    known = feats.filter("digest is not null and doc_id is not null")
     # rows that share a doc_id are one document, so their classes are linked
-    repeated = feats.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
-    if not repeated.isEmpty():
-        twice = feats.join(repeated, "doc_id").join(of, "digest").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-        more = connected_components(twice.union(found).union(classes.join(feats, "digest").select(F.col("c").alias("u"), F.col("doc_id").alias("v"))), staged)
-        of = staged.write(classes.join(more.withColumnRenamed("v", "c"), "c", "left").select("digest", F.coalesce("component", "c").alias("component_id")))
+    twice = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    if not twice.isEmpty():
+        ends = known.join(twice, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("c").alias("v"))
+        comp = connected_components(_stars(comp).union(ends), staged)
+    of = classes.join(comp.withColumnRenamed("v", "c"), "c", "left").select("digest", F.coalesce("component", "c").alias("component_id"))
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
-    return feats.select("doc_id", "n_shingles", "digest").join(of, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    out = feats.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
