@@ -46,12 +46,16 @@ def top_k(p: Column | str, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["class"].alias("class"), (-s["q"]).alias("p")))
 
 
+def _times(w: float):
+    return lambda x: x * w
+
+
 def weighted_mean(arrays: list[Column | str], weights: list[float] | None = None) -> Column:
     """Entry by entry."""
     weights = weights or [1.0] * len(arrays)
     out = F.transform(_c(arrays[0]), lambda x: x * weights[0])
     for a, w in zip(arrays[1:], weights[1:], strict=True):
-        out = F.zip_with(out, _c(a), lambda x, y, w=w: x + y * w)
+        out = F.zip_with(out, F.transform(_c(a), _times(w)), lambda x, y: x + y)
     return F.transform(out, lambda x: x / sum(weights))
 
 

@@ -253,8 +253,8 @@ def usable_shift(spark, sf):
     return X.usable_shift(curves(spark, sf).filter("event_type = 'view'"), 0.2)
 
 
-@query(f"""WITH {_CURVES}, r AS (SELECT (x::INT % 2) AS stage, event_type AS run, dense_rank() OVER (ORDER BY event_type) AS ord, avg(score) AS score, (max(score) - min(score)) / max(score) AS scale_drop FROM c GROUP BY ALL),
-b AS (SELECT * FROM r WHERE run = 'error'), o AS (SELECT * FROM r WHERE run <> 'error' QUALIFY row_number() OVER (PARTITION BY stage ORDER BY scale_drop, ord) = 1)
+@query(f"""WITH {_CURVES}, r AS (SELECT (x::INT % 2) AS stage, event_type AS run, avg(score) AS score, (max(score) - min(score)) / max(score) AS scale_drop FROM c GROUP BY ALL),
+b AS (SELECT * FROM r WHERE run = 'error'), o AS (SELECT * FROM r WHERE run <> 'error' QUALIFY row_number() OVER (PARTITION BY stage ORDER BY scale_drop, run) = 1)
 SELECT b.stage, b.run AS baseline, o.run AS best, round(o.scale_drop - b.scale_drop, 6) AS drop_delta, round(o.score - b.score, 6) AS score_delta, CASE WHEN o.scale_drop - b.scale_drop < -0.03 AND o.scale_drop <= 0.15 THEN 'adopt' WHEN o.scale_drop - b.scale_drop < -0.03 THEN 'improved' ELSE 'no_effect' END AS verdict FROM b JOIN o ON b.stage = o.stage""")
 def experiment_compare(spark, sf):
     c = curves(spark, sf)
