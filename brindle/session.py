@@ -11,6 +11,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def get_spark(cpus: int = 8, memory: str = "20g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (
@@ -27,7 +30,12 @@ def get_spark(cpus: int = 8, memory: str = "20g") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package, wherever they run. Once a context."""
+    """Let the Python workers import this package, wherever they run. Once a context.
+
+    Arrow batches hold whole texts, so they get few rows, unless the session says how many.
+    """
+    if spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, "500")
     sc = spark.sparkContext
     if getattr(sc, "_brindle_shipped", False):
         return
