@@ -16,6 +16,7 @@ from brindle.llm.substring_dedup import remove_repeats
 from brindle.llm.suffix_dedup import remove_long_repeats
 from brindle.llm.tiff import document_pages
 from brindle.llm.toxicity import toxicity
+from brindle.llm.warc_fixity import FIXITY_SQL, audit_pages
 from brindle.session import Staged, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_pages(table(spark, sf_dir, "pages"), table=Staged(spark).write)
+
+
 def packing() -> Packing:
     """The parameters of op6: the public tokenizer's ranks, 2048 tokens, id 0 after each document."""
     import public_tokenizers
@@ -74,8 +79,8 @@ def _shipped(q: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
+    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op5_warc_fixity": FIXITY_SQL, "op8_mixing": MIX_SQL}

@@ -459,3 +459,53 @@ def test_pipeline(spark, tmp_path):
     last = pipeline.STAGES[-1][1](spark, seen, base)
     assert last.groupBy("doc_id", "piece").count().agg(F.max("count")).first()[0] <= 2
     assert pipeline.run(spark, base).agg(F.sum("length")).first() == last.agg(F.sum("length")).first()
+
+
+# fixity
+
+
+def test_fixity_of_pages(spark, empty):
+    from brindle.llm import warc_fixity as X
+
+    rnd = random.Random(3)
+    rows = [(k, f"http://h/{k}", "x" * rnd.randint(0, 90000), "?") for k in range(1100)] + [(7, "http://h/7", "twice", "?"), (7, "http://h/7", "twice", "?"), (None, None, None, None), (2000, None, None, "?")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    a = X.manifest(X.hash_pages(pages)).cache()
+    assert X.audit(a, a).filter("status <> 'ok'").isEmpty() and X.mismatches(X.tree(a), X.tree(a)).isEmpty()
+    m = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 64
+    got = table(X.audit_pages(pages))
+    assert len(got) == len(rows)
+    for r in got:
+        k = r["page_id"]
+        if k is not None and m(k) in (1, 2):
+            assert r["status"] == ("changed", "missing")[m(k) - 1]
+        else:
+            before = k is not None and any(m(j) in (1, 2) for j in {x[0] for x in rows} - {None} if k // 512 * 512 <= j < k)
+            assert r["status"] == ("moved" if before else "ok"), r
+    none = a.limit(0)
+    assert {r["status"] for r in table(X.audit(a, none))} == {"missing"} and {r["status"] for r in table(X.audit(none, a))} == {"extra"}
+    assert X.audit(none, none).count() == 0
+
+
+def test_fixity_of_files(spark, tmp_path):
+    from brindle.llm import warc_fixity as X
+
+    body = lambda k: (b"payload %d " % k) * 4000
+    rec = lambda k: b"WARC/1.1\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(body(k)), body(k))
+    for side in "ab":
+        (tmp_path / side).mkdir()
+        for f in range(3):
+            data = bytearray(b"".join(rec(f * 10 + k) for k in range(10)))
+            if side == "b" and f == 1:
+                data[len(data) // 2] ^= 1  # one bit of one record
+            if side == "b" and f == 2:
+                del data[-len(rec(29)) :]
+            (tmp_path / side / f"{f}.warc").write_bytes(bytes(data))
+    a, b = (X.read_manifest(spark, str(tmp_path / side)) for side in "ab")
+    assert a.count() == 30
+    got = {r["id"]: r["status"] for r in table(X.audit(a, b)) if r["status"] != "ok"}
+    assert got.pop("<r29>") == "missing" and list(got.values()) == ["changed"] and next(iter(got)).startswith("<r1")
+    leaves = X.mismatches(X.tree(a), X.tree(b))
+    assert {r["file"] for r in table(leaves)} == {"1.warc", "2.warc"} and leaves.count() <= 3
+    (tmp_path / "a/junk.warc").write_bytes(b"no record")
+    assert X.read_manifest(spark, str(tmp_path / "a")).filter("file = 'junk.warc'").first()["id"] is None
