@@ -92,46 +92,41 @@ def _anchors(keyed: DataFrame, r: Repeats) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, tkey long, anchor long, ctx long, start long, count long")
 
 
-def _contents(texts: DataFrame, r: Repeats, windows: bool) -> DataFrame:
-    """From texts with their wanted contexts: the contents, or with windows, two hashes of every window."""
+def _contents(texts: DataFrame, r: Repeats) -> DataFrame:
+    """From texts with their wanted contexts: the content of each, or of a hot one, two hashes of every window (content null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw, offs in sliced(batches, "text", PIECE):
             values, uoffs = _units(r, raw, offs)
-            lists = b.column("wanted").combine_chunks() if isinstance(b.column("wanted"), pa.ChunkedArray) else b.column("wanted")
+            lists = b.column("wanted")
             number = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             doc = np.repeat(np.arange(b.num_rows), number)
             anchor, start, count, n = (flat.field(k).to_numpy() for k in ("anchor", "start", "count", "n"))
+            hot = flat.field("hot").to_numpy(zero_copy_only=False)
             first = uoffs[doc] + start
-            if not windows:
-                pieces = []
-                for s, c in zip(first.tolist(), count.tolist(), strict=True):
-                    e = s + c - 1 + r.window
-                    pieces.append((values(s, e) if r.words else raw[s:e]).tobytes())
-                cols = [anchor, None, start, n, None]
-                take = doc
-            else:
-                at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                take = np.repeat(doc, count)
-                one, two = np.zeros(len(at), U64), np.zeros(len(at), U64)
-                for d in np.unique(take):
-                    mine = take == d
-                    runs = Runs(values(int(uoffs[d]), int(uoffs[d + 1])))
-                    again = Runs(mix(values(int(uoffs[d]), int(uoffs[d + 1]))))
-                    p = at[mine] - uoffs[d]
-                    one[mine], two[mine] = runs.hash(p, p + r.window), again.hash(p, p + r.window)
-                start, n = at - uoffs[take], np.repeat(n, count)
-                cols = [one.view(np.int64), two.view(np.int64), start, n, None]
-            rows = len(take)
+            cold = np.flatnonzero(~hot)
+            pieces: list[bytes | None] = []
+            for s, c in zip(first[cold].tolist(), count[cold].tolist(), strict=True):
+                e = s + c - 1 + r.window
+                pieces.append((values(s, e) if r.words else raw[s:e]).tobytes())
+            # the windows of hot contexts, a text at a time
+            takes, ones, twos, starts, ns = [doc[cold]], [anchor[cold]], [np.zeros(len(cold), np.int64)], [start[cold]], [n[cold]]
+            for d in np.unique(doc[hot]).tolist():
+                mine = hot & (doc == d)
+                at = np.concatenate([np.arange(s, s + c) for s, c in zip(start[mine].tolist(), count[mine].tolist(), strict=True)])
+                own = values(int(uoffs[d]), int(uoffs[d + 1]))
+                takes.append(np.full(len(at), d))
+                ones.append(Runs(own).hash(at, at + r.window).view(np.int64))
+                twos.append(Runs(mix(own)).hash(at, at + r.window).view(np.int64))
+                starts.append(at)
+                ns.append(np.repeat(n[mine], count[mine]))
+                pieces += [None] * len(at)
+            take = pa.array(np.concatenate(takes))
             yield pa.record_batch(
-                [
-                    b.column("doc_id").take(pa.array(take)), b.column("tkey").take(pa.array(take)),
-                    pa.array(cols[0]), pa.array(cols[1]) if windows else pa.nulls(rows, pa.int64()), pa.array(cols[2]), pa.array(cols[3]),
-                    pa.nulls(rows, pa.binary()) if windows else pa.array(pieces, pa.binary()),
-                ],
+                [b.column("doc_id").take(take), b.column("tkey").take(take), *(pa.array(np.concatenate(x)) for x in (ones, twos, starts, ns)), pa.array(pieces, pa.binary())],
                 ["doc_id", "tkey", "anchor", "second", "start", "n", "content"],
-            )
+            )
 
     return texts.mapInArrow(run, "doc_id long, tkey long, anchor long, second long, start long, n long, content binary")
 
@@ -192,24 +187,18 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
     ctx = staged.write(ctx)
     same = mixed.join(ctx, ["anchor", "ctx"])
     ranges = ranges.union((same.filter(where > F.struct("first.doc_id", "first.start")) if r.later else same.filter("n > 1")).select(*rng))
-    hot = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > r.hot).select("anchor"))
-    wanted = ctx.select("first.doc_id", "first.tkey", F.struct("anchor", "first.start", "first.count", "n").alias("w"), "anchor")
-
-    def content(which: DataFrame, windows: bool) -> DataFrame:
-        by_text = which.groupBy("doc_id", "tkey").agg(F.collect_list("w").alias("wanted"))
-        same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
-        return _contents(keyed.join(by_text, same_text).select(keyed["doc_id"], keyed["tkey"], "text", "wanted"), r, windows)
-
-    if hot.isEmpty():
-        ranges = ranges.union(_resolve(content(wanted, False), r, resolver))
-    else:
-        ranges = ranges.union(_resolve(content(wanted.join(hot, "anchor", "left_anti"), False), r, resolver))
-        # 5: windows one by one
-        win = staged.write(content(wanted.join(hot, "anchor", "left_semi"), True).drop("content"))
-        total = win.groupBy("anchor", "second").agg(F.sum("n").alias("total"), F.min(where).alias("first"))
-        per = win.join(total, ["anchor", "second"])
-        per = per.filter(where > F.col("first")) if r.later else per.filter("total > 1")
-        ranges = ranges.union(per.select("doc_id", "tkey", "start", F.lit(1).cast("long")))
+    crowd = ctx.groupBy("anchor").agg((F.count("*") > r.hot).alias("hot"))
+    wanted = F.struct("anchor", "first.start", "first.count", "n", "hot").alias("w")
+    by_text = ctx.join(crowd, "anchor").select("first.doc_id", "first.tkey", wanted).groupBy("doc_id", "tkey").agg(F.collect_list("w").alias("wanted"))
+    same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
+    contents = _contents(keyed.join(by_text, same_text).select(keyed["doc_id"], keyed["tkey"], "text", "wanted"), r)
+    ranges = ranges.union(_resolve(contents.filter("content is not null"), r, resolver))
+    # 5: windows one by one
+    win = contents.filter("content is null").drop("content")
+    total = win.groupBy("anchor", "second").agg(F.sum("n").alias("total"), F.min(where).alias("first"))
+    per = win.join(total, ["anchor", "second"])
+    per = per.filter(where > F.col("first")) if r.later else per.filter("total > 1")
+    ranges = ranges.union(per.select("doc_id", "tkey", "start", F.lit(1).cast("long")))
     by_text = ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
     if carry is None:
