@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._text import _BYTE, U64, Runs, Words, mix, sliced, sliding_first_min
+from brindle.llm._text import _BYTE, U64, Runs, Words, mix, release, sliced, sliding_first_min
 from brindle.session import Staged
 
 #: Units of a text that are worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ class Repeats:
     gram: int
     words: bool
     later: bool
-    hot: int = 2000
-    shard_bytes: int = 1 << 20
+    hot: int = 1000
+    shard_bytes: int = 1 << 19
 
 
 #: contexts of a shard, each (content, order-giving key) sorted by it -> for each the window starts that repeat, as a mask
@@ -158,6 +158,7 @@ def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
                     for out, x in zip(rows, (doc, tkey, start + a, b - a), strict=True):
                         out.append(x)
             yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], ["doc_id", "tkey", "start", "count"])
+        release()
 
     near = contents.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start")
     return near.select("anchor", "doc_id", "tkey", "start", "content").mapInArrow(run, "doc_id long, tkey long, start long, count long")

@@ -129,9 +129,11 @@ def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
             chosen = chosen | c
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, raw, offs in sliced(batches, "text", 1 << 20):
-                tf = counts(raw, offs, p).astype(np.uint16)
-                yield pa.record_batch([b.column("lang"), pa.array([x.tobytes() for x in tf], pa.binary())], ["lang", "tf"])
+            for b, raw, offs in sliced(batches, "text", 1 << 19):
+                for a in range(0, b.num_rows, 256):
+                    z = min(b.num_rows, a + 256)
+                    tf = counts(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a], p)
+                    yield pa.record_batch([b.column("lang").slice(a, z - a), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], ["lang", "tf"])
 
         rows = learn.filter(chosen).limit(2 * p.sample).select("lang", "text").mapInArrow(run, "lang string, tf binary").collect()
     languages = tuple(sorted({r["lang"] for r in rows}))
@@ -152,16 +154,16 @@ def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, p: LanguageId = LanguageId(), carry: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text) to doc_id, held_out, lang_pred, score, rejected; carry: columns to keep, in a struct named rest."""
+    """docs(doc_id, text) to doc_id, held_out, lang_pred, score, rejected; carry: columns to keep beside text, in a struct named rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, offs in sliced(batches, "text", 1 << 20):
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
             letters = has_letter(b.column("text"), raw, offs)
             n = b.num_rows
             best, lang, rejected = np.zeros(n), np.full(n, -1), np.ones(n, bool)
             if model.languages:
-                for a in range(0, n, 2048):
-                    z = min(n, a + 2048)
+                for a in range(0, n, 256):
+                    z = min(n, a + 256)
                     tf = counts(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a], p)
                     cos = _weigh(tf, model.idf) @ model.centroids.T
                     top = cos.argmax(axis=1)
@@ -171,11 +173,11 @@ def predict(docs: DataFrame, model: Model, p: LanguageId = LanguageId(), carry:
             lang[~letters], best[~letters], rejected[~letters] = -1, 0, True
             names = [*model.languages, "und"]
             cols = [pa.array([names[k] for k in lang], pa.string()), pa.array(best.astype(float)), pa.array(rejected)]
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *cols, *([] if carry is None else [b.column("rest")])], names=kinds.names)
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *cols, *([] if carry is None else [b.column("text"), b.column("rest")])], names=kinds.names)
 
     extra = [] if carry is None else [F.struct(*carry).alias("rest")]
     src = docs.select(F.col("doc_id").cast("long"), F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "text", *extra)
-    kinds = src.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), *(["rest"] if extra else [])).schema
+    kinds = src.select("doc_id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), *(["text", "rest"] if extra else [])).schema
     return src.mapInArrow(run, kinds)
 
 
@@ -186,5 +188,5 @@ def identify(docs: DataFrame, p: LanguageId = LanguageId()) -> DataFrame:
 def keep_identified(docs: DataFrame, p: LanguageId = LanguageId()) -> DataFrame:
     """The rows of docs whose language is found; the columns stay."""
     names = docs.columns
-    out = predict(docs, fit(docs, p), p, carry=names)
-    return out.filter("not rejected").select(*(F.col("rest")[c].alias(c) for c in names))
+    out = predict(docs, fit(docs, p), p, carry=[c for c in names if c != "text"])
+    return out.filter("not rejected").select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in names))

@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, p: Packing) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(p.ranks, p.pattern, p.end)
-        for b, raw, offs in sliced(batches, "text", 1 << 20):
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
             data = raw.tobytes()
             rows = []
             for k, ids in enumerate(tok.encode([data[x:y].decode() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])):

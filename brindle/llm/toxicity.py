@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model:
     known = texts.join(given, texts["doc_id"] == given["id"]).select("doc_id", "text", "y")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, offs in sliced(batches, "text", 1 << 20):
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
             y = b.column("y").to_numpy(zero_copy_only=False)
             h, doc = _distinct(*_feature_hashes(raw, offs, p))
             one, index = np.unique(h, return_inverse=True)
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model:
     share = min(1.0, p.sample / all_n)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, offs in sliced(batches, "text", 1 << 20):
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
             at, doc = _found(raw, offs, keys, p)
             lists = [pa.array(at[doc == k], pa.int32()) for k in range(b.num_rows)]
             pats = patterns(raw, offs).astype(np.int8)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, p: Toxicity = Toxicity()) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, offs in sliced(batches, "text", 1 << 20):
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
             at, doc = _found(raw, offs, model.keys, p)
             z = np.bincount(doc, weights=model.weights[at], minlength=b.num_rows) + model.bias
             z += patterns(raw, offs) @ model.weights[len(model.keys) :]
