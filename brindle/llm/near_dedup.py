@@ -4,7 +4,9 @@ Texts with equal shingle sets are one class. Each class has one signature: its s
 its smallest hash, and an empty bin borrows from the first non-empty bin of its own random walk. Runs of bins are bucket
 keys. Within a bucket, candidates are stars: the centre against every member of another component, then the next centres,
 until the members left are one component. So a bucket of copies costs one edge a member, yet no pair of a bucket is left
-untried unless it is linked already. Links are confirmed on the full sets.
+untried unless it is linked already or can't be: after the first stars, classes of different components that share a rare
+shingle are paired by it, and all others are bounded by what they share of the common ones. Links are confirmed on the
+full sets.
 
 With the default 32 bands of 4 bins, a pair at similarity 0.75 shares a bucket with probability 1 - 5e-6.
 
@@ -34,7 +36,8 @@ from brindle.session import Staged
 class NearDedup:
     """words: in a shingle; percent: least Jaccard similarity, in hundredths; bands of rows bins (bands * rows: a power of two).
 
-    centres: of a bucket in the second round of stars; each later round has four times as many.
+    centres: of a bucket in the second round of stars; each later round has four times as many. rare: classes that may
+    share a shingle for it to be looked up on its own.
     """
 
     words: int = 5
@@ -42,6 +45,7 @@ class NearDedup:
     bands: int = 32
     rows: int = 4
     centres: int = 16
+    rare: int = 64
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -144,6 +148,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(y, "v").join(x, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _shared(left: DataFrame, sets: DataFrame, p: NearDedup, staged: Staged) -> tuple[DataFrame, DataFrame]:
+    """What the classes of left(c, n, comp) share with classes of other components in left.
+
+    First, for each class, how many shingles it shares at all (e) and how many of these are common, in more than `rare`
+    classes (h). Second, the pairs (u, un, v, vn) of classes of different components that share a rare shingle; at most
+    `rare` classes meet under one. A class that shares too little to be linked with anything takes no part.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                s = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+                take = pa.array(np.repeat(np.arange(len(s)), [len(x) for x in s]))
+                yield pa.record_batch([*(part.column(c).take(take) for c in ("c", "n", "comp")), pa.array(np.concatenate(s))], ["c", "n", "comp", "s"])
+
+    rows = left.select("c", "n", "comp").distinct().join(sets, "c").select("c", "n", "comp", "shingles")
+    rows = staged.write(rows.mapInArrow(spread, "c long, n long, comp long, s long"))
+    met = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") > p.rare).alias("common")).filter("lo < hi").select("s", "common")
+    both = staged.write(rows.join(met, "s"))
+    staged.drop(rows)
+    sizes = staged.write(both.groupBy("c").agg(F.countDistinct("s").alias("e"), F.countDistinct(F.when(F.col("common"), F.col("s"))).alias("h")))
+    able = sizes.select("c", "e")
+    few = both.filter("not common").join(able, "c").filter(F.col("e") * 100 >= F.col("n") * p.percent)
+    met = few.groupBy("s").agg(F.collect_set(F.struct("c", "n", "comp", "e")).alias("x"))
+    pair = met.filter("size(x) > 1").select("x", F.explode("x").alias("y")).select("y", F.explode("x").alias("z")).filter("y.c < z.c and y.comp <> z.comp")
+    bound = F.least("y.e", "z.e") * (100 + p.percent) >= (F.col("y.n") + F.col("z.n")) * p.percent
+    return sizes.select("c", "h"), pair.filter(bound).select(F.col("y.c").alias("u"), F.col("y.n").alias("un"), F.col("z.c").alias("v"), F.col("z.n").alias("vn")).distinct()
+
+
 def _stars(comp: DataFrame) -> DataFrame:
     return comp.filter("v <> component").select(F.col("component").alias("u"), "v")
 
@@ -166,16 +200,32 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     star = members.select(F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("c").alias("v"), F.col("n").alias("vn"))
     tried = staged.write(star.filter(apt).select(*pair).distinct())
     comp = connected_components(_confirm(tried, sets, p), staged)
+    # an intersection of m can't link sets of together `sizes` shingles otherwise
+    bound = lambda m, sizes: (F.col(m) if isinstance(m, str) else m) * (100 + p.percent) >= sizes * p.percent
+    sizes: DataFrame | None = None
     rest, centres = members.filter("c <> m.c").select("bucket", "c", "n"), p.centres
     while True:
         # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
         now = rest.join(comp.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
-        still = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        left = staged.write(now.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
+        open_ = F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")
+        left = staged.write(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket"), "bucket"))
         if left.isEmpty():
             return classes, comp
-        hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"))
-        pairs = left.join(hub, "bucket").filter("comp <> ucomp").select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
+        rare = None
+        if sizes is None:
+            sizes, rare = _shared(left, sets, p, staged)
+        # two classes that share no rare shingle share common ones only; a class too far from even the smallest member is
+        # done with in that bucket, and a bucket that has one component left is, too
+        sized = left.join(sizes, "c", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+        sized = sized.join(left.groupBy("bucket").agg(*open_[2:]), "bucket").filter(bound("h", F.col("n") + F.col("least"))).drop("least")
+        sized = staged.write(sized)
+        still = sized.groupBy("bucket").agg(*open_[:2]).filter("lo < hi").select("bucket")
+        left = staged.write(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
+        if rare is None and left.isEmpty():
+            return classes, comp
+        hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"))
+        pairs = left.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un"))).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
+        pairs = pairs if rare is None else pairs.union(rare)
         pairs = staged.write(pairs.filter(apt).select(*pair).distinct().join(tried, ["u", "v"], "left_anti"))
         new = staged.write(_confirm(pairs, sets, p))
         if not new.isEmpty():
@@ -202,6 +252,11 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
-    """docs without all but the first row of each group; the columns stay."""
-    gone = near_duplicates(docs, p).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """docs without all but one row of each group; the columns stay. Of rows that share a doc_id, one stays."""
+    gone = near_duplicates(docs, p).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    rows = left.select(F.struct(*docs.columns).alias("row"))
+    place = F.row_number().over(W.partitionBy("row.doc_id").orderBy("row.text"))
+    return rows.withColumn("place", place).filter("place = 1 or row.doc_id is null").select("row.*")
