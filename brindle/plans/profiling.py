@@ -191,9 +191,6 @@ def names_with_labels(spark, sf):
     return audit.names_with_labels(table(spark, sf, "documents"), "text", "source").withColumnRenamed("text", "image_name")
 
 
-_LINES = """SELECT page_id * 2 AS line_no, 'part ' || (page_id % 7) AS value, page_id % 3 = 0 AS folder, page_id, strlen(html) AS bytes FROM pages"""
-
-
 @query("""WITH f AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '├─ part ' || (page_id % 7) ELSE NULL END AS folder FROM pages),
 c AS (SELECT page_id, coalesce(last_value(folder IGNORE NULLS) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS folder FROM f)
 SELECT c.page_id, regexp_replace(folder, '^├─ ', '') AS folder, 'p' || c.page_id || '.zip' AS name, (strlen(html) % 50 + 1) || '.5 MB' AS size, (100 + c.page_id)::VARCHAR AS filekey, (strlen(html) % 50 + 1.5::DOUBLE) * 0.001::DOUBLE AS size_gb

@@ -15,7 +15,7 @@ def _bucket(salt: str, key: str, n: int) -> str:
     return f"('0x' || substr(md5('{salt}' || {key}), 1, 8))::BIGINT % {n}"
 
 
-# conversations stand for rows: turn rows of one conversation share an animal, first texts a duplicate cluster
+# events stand for rows: some share an animal, a few a duplicate cluster
 _GROUP_SQL = """WITH RECURSIVE r AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'animal::' || (user_id % 40) END AS a, CASE WHEN event_id % 97 = 0 THEN 'dup::' || (event_id % 11) END AS d FROM events),
 e AS (SELECT DISTINCT a AS u, d AS v FROM r WHERE a IS NOT NULL AND d IS NOT NULL), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 n AS (SELECT u AS x FROM b), reach AS (SELECT x, x AS y FROM n UNION SELECT reach.x, b.v FROM reach JOIN b ON b.u = reach.y), c AS (SELECT x, min(y) AS g FROM reach GROUP BY x)
