@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm._text import U64, mix, sliced
+from brindle.llm._text import U64, mix, release, sliced
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class LanguageId:
 
     dims: int = 4096
     grams: tuple[int, ...] = (1, 2, 3)
-    sample: int = 4000
-    per_language: int = 800
+    sample: int = 2000
+    per_language: int = 500
     clusters: int = 4
     rounds: int = 12
     tolerance: float = 0.5
@@ -150,6 +150,8 @@ def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
     for k in range(32):
         here = near[np.abs(size - k) <= 1]
         floor[k] = p.tolerance * np.quantile(here, 0.01) if len(here) >= 20 else (floor[k - 1] if k else 0.0)
+    del v, tf, rows
+    release()
     return Model(languages, idf, centroids, np.repeat(np.arange(len(parts)), [len(c) for c in parts]), floor)
 
 
