@@ -139,10 +139,12 @@ def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
         for b in batches:
             cols = [b.column(k).to_pylist() for k in ("anchor", "doc_id", "tkey", "start")]
             for k, (anchor, *where) in enumerate(zip(*cols, strict=True)):
-                if anchor != last and held >= r.shard_bytes:
+                if last == (anchor, where):  # of a repeated row; it must not precede itself
+                    continue
+                if last and anchor != last[0] and held >= r.shard_bytes:
                     yield meta, content, held
                     meta, content, held = [], [], 0
-                last = anchor
+                last = anchor, where
                 meta.append(where)
                 content.append(np.frombuffer(b.column("content")[k].as_buffer(), np.int64 if r.words else np.uint8))
                 held += content[-1].nbytes
@@ -160,7 +162,7 @@ def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in rows], ["doc_id", "tkey", "start", "count"])
         release()
 
-    near = contents.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start")
+    near = contents.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start", "tkey")
     return near.select("anchor", "doc_id", "tkey", "start", "content").mapInArrow(run, "doc_id long, tkey long, start long, count long")
 
 

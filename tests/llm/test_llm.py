@@ -175,6 +175,21 @@ def test_substring_dedup(docs, empty, monkeypatch, hot):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_rows_keep_what_a_near_copy_shares(spark, monkeypatch, hot):
+    plan = substring_dedup._plan
+    monkeypatch.setattr(substring_dedup, "_plan", lambda p: replace(plan(p), hot=hot))
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice(VOCAB) for _ in range(n))
+    w = say(120).split()
+    near = [*w[:60], "other", *w[61:]]
+    for first in (1, None):
+        rows = [(first, " ".join(w))] * 3 + [(2, " ".join(near))]
+        got = table(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == without_earlier(rows)
+        assert [r["n_removed"] for r in got if r["doc_id"] == first] == [0, 0, 0]
+
+
 def without_repeats(rows, window=400):
     number = Counter(b[j : j + window] for _, t in rows for b in [(t or "").encode()] for j in range(len(b) - window + 1))
     out = []
