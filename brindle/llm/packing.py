@@ -1,11 +1,12 @@
-"""Best-fit packing of token sequences by linear grouping.
+"""Best-fit packing of token sequences, by linear grouping or, where that takes more sequences, longest first.
 
 Lengths are counted first: the plan is made on the driver from at most `capacity` counts, whatever the number of
 documents. Lengths above `small` are split into groups of equal cardinality and rounded up to their group's longest; over
 these few sizes, column generation finds the fewest configurations, whose whole parts are used; actual lengths take the
 places of the rounded ones, which leaves them slack; what is left, and then the small ones, longest first, goes into the
 fullest sequence that has room. Where rounding leaves more slack than the small ones can fill, a higher `small` is better;
-the plan is made for each of a few and the best is kept. The plan comes out as runs of like sequences, a table whose size depends on the number of
+the plan is made for each of a few and the best is kept. From half the capacity on, no two large ones share a sequence, and
+the plan is best-fit decreasing. The plan comes out as runs of like sequences, a table whose size depends on the number of
 distinct lengths. Documents then find their places by their rank among those of their length.
 
 Defined cases: a null or empty text is the end mark alone; repeated rows and null ids are documents of their own. Only a
