@@ -1,9 +1,10 @@
 """Language ID by nearest centroid: normalised TF-IDF vectors of byte n-grams against several centroids per language.
 
-The model is fitted on a bounded sample of labelled texts: at most `per_language` a language and `sample` in all, chosen by
-a hash of the id, whole texts. Their n-gram vectors (hashed into `dims` cells; log counts times inverse document frequency,
-length 1) are clustered within each language by cosine. A text takes the language of its nearest centroid. It is rejected
-if that cosine is below what texts of its length reach: `tolerance` times the lowest hundredth seen in fitting.
+The centroids are fitted on a bounded sample of labelled texts: at most `per_language` a language and `sample` in all, chosen
+by a hash of the id, whole texts. Their n-gram vectors (hashed into `dims` cells; log counts times inverse document frequency
+over all labelled texts, length 1) are clustered within each language by cosine. A text takes the language of its nearest
+centroid. It is rejected if that cosine is below what texts of its length reach: `tolerance` times the lowest hundredth of all
+labelled texts of the languages that have centroids, rounded down to a step of 1 / `steps`.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0 and rejected. So is every text if no
 labelled row was found. Rows with null lang or null id are not learned from. Repeated rows get equal results. Other columns
@@ -12,7 +13,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from brindle.llm._text import U64, mix, release, sliced
 
 @dataclass(frozen=True)
 class LanguageId:
-    """sample, per_language: bounds of the texts that are fitted on; clusters: centroids of a language."""
+    """sample, per_language: bounds of the texts that centroids are fitted on; clusters: centroids of a language."""
 
     dims: int = 4096
     grams: tuple[int, ...] = (1, 2, 3)
@@ -34,6 +35,7 @@ class LanguageId:
     clusters: int = 4
     rounds: int = 12
     tolerance: float = 0.5
+    steps: int = 2000
 
 
 @dataclass(frozen=True)
@@ -114,6 +116,25 @@ def _cluster(v: np.ndarray, p: LanguageId) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _totals(texts: DataFrame, p: LanguageId, size: int, cells: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all texts of cells(counts), `size` numbers; added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b, raw, offs in sliced(batches, "text", 1 << 19):
+            for a in range(0, b.num_rows, 256):
+                z = min(b.num_rows, a + 256)
+                total += cells(counts(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a], p))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "n"])
+        release()
+
+    out = np.zeros(size, np.int64)
+    for r in texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
 def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
     """From the rows of docs(doc_id, text, lang) whose remainder is not 2, text and lang not null."""
     learn = docs.select("doc_id", "lang", "text").filter((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -141,17 +162,24 @@ def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
         return Model((), np.ones(p.dims, np.float32), np.zeros((0, p.dims), np.float32), np.zeros(0, np.int64), np.zeros(32))
     tf = np.array([np.frombuffer(r["tf"], np.uint16) for r in rows], np.float32)
     own = np.array([languages.index(r["lang"]) for r in rows])
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
+    *seen, every = _totals(learn, p, p.dims + 1, lambda tf: np.append((tf > 0).sum(axis=0), len(tf)))
+    idf = (np.log((1 + every) / (1 + np.array(seen))) + 1).astype(np.float32)
     v = _weigh(tf, idf)
     parts = [_cluster(v[own == k], p) for k in range(len(languages))]
     centroids = np.concatenate(parts).astype(np.float32)
-    near = (v @ centroids.T).max(axis=1)
-    size, floor = _length(tf), np.zeros(32)
-    for k in range(32):
-        here = near[np.abs(size - k) <= 1]
-        floor[k] = p.tolerance * np.quantile(here, 0.01) if len(here) >= 20 else (floor[k - 1] if k else 0.0)
     del v, tf, rows
     release()
+
+    def reach(tf: np.ndarray) -> np.ndarray:
+        near = (_weigh(tf, idf) @ centroids.T).max(axis=1)
+        return np.bincount(_length(tf) * p.steps + np.clip(near * p.steps, 0, p.steps - 1).astype(np.int64), minlength=32 * p.steps)
+
+    reached = _totals(learn.filter(F.col("lang").isin(*languages)), p, 32 * p.steps, reach).reshape(32, p.steps)
+    floor = np.zeros(32)
+    for k in range(32):
+        upto = np.cumsum(reached[max(0, k - 1) : k + 2].sum(axis=0))
+        low = np.searchsorted(upto, 0.01 * (upto[-1] - 1), side="right") / p.steps
+        floor[k] = p.tolerance * low if upto[-1] >= 20 else (floor[k - 1] if k else 0.0)
     return Model(languages, idf, centroids, np.repeat(np.arange(len(parts)), [len(c) for c in parts]), floor)
 
 

@@ -296,6 +296,24 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty).count() == language_id.keep_identified(empty).count() == 0
 
 
+def test_language_statistics_cover_all_learnable_rows(spark):
+    df, p = speech(spark), language_id.LanguageId(sample=30, per_language=10)
+    model = language_id.fit(df, p)
+    learn = [r for r in table(df) if None not in (r["doc_id"], r["lang"], r["text"]) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    raw = [r["text"].encode() for r in learn]
+    tf = language_id.counts(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))), p)
+    assert np.allclose(model.idf, np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1, rtol=1e-5)
+    near, size = (language_id._weigh(tf, model.idf) @ model.centroids.T).max(axis=1), language_id._length(tf)
+    checked = 0
+    for k in range(32):
+        here = np.sort(near[np.abs(size - k) <= 1])
+        if len(here) >= 20:
+            checked += 1
+            low = here[int(0.01 * (len(here) - 1))]
+            assert low - 1.1 / p.steps <= model.floor[k] / p.tolerance <= low + 0.1 / p.steps
+    assert checked > 2
+
+
 def test_toxicity(spark, empty):
     df = speech(spark, 600)
     labels = df.select("doc_id", "toxic", F.lit("?").alias("text")).filter("doc_id is not null")
