@@ -45,17 +45,30 @@ def hamming(a: str = "a", b: str = "b", n: int = BANDS):
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _words(n)))
 
 
-def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int = 2000, staged: Staged | None = None) -> DataFrame:
+def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = 2000, staged: Staged | None = None, crowded: int = 2000) -> DataFrame:
     """(u, v, distance), u < v: representatives of equal signatures that share a band and are near enough.
 
     A bucket of more than `cap` representatives is left out, as the reference semantics have it; `skipped_buckets` lists them.
+    With cap None no bucket is: one of more than `crowded` is split by parts of the signature, bits k, k + m, ... of every word
+    for k below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost.
     """
     reps = sigs.groupBy(*_words()).agg(F.min(key).alias("id"))
     rows = reps.select("id", F.struct(*_words()).alias("s"), F.posexplode(F.array(*_words())).alias("band", "bits"))
-    sized = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= cap)).select("band", "bits")
-    rows = rows.join(sized, ["band", "bits"])
+    sized = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    place = ["band", "bits"]
+    if cap is not None:
+        rows = rows.join(sized.filter(F.col("n") <= cap).select(*place), place)
+    else:
+        m = max_hamming + 1  # parts beyond the 64th are empty, and so equal
+        masks = [sum(1 << i for i in range(k, 64, m)) for k in range(m)]
+        masks = [x - (1 << 64) if x >> 63 else x for x in masks]
+        part = [F.struct(F.lit(k).alias("part"), *(F.col(f"s.{w}").cast("long").bitwiseAND(F.lit(x)).alias(w) for w in _words())) for k, x in enumerate(masks)]
+        whole = F.struct(F.lit(-1).alias("part"), *(F.lit(0).cast("long").alias(w) for w in _words()))
+        rows = rows.join(sized, place).select("id", "s", *place, F.explode(F.when(F.col("n") > crowded, F.array(*part)).otherwise(F.array(whole))).alias("p"))
+        rows = rows.select("id", "s", *place, *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("part", *_words())))
+        place += [f"p_{c}" for c in ("part", *_words())]
     a, b = rows.alias("x"), rows.alias("y")
-    near = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.id") < F.col("y.id")))
+    near = a.join(b, reduce(lambda c, d: c & d, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in place)) & (F.col("x.id") < F.col("y.id")))
     dist = hamming("x.s", "y.s")
     return near.filter(dist <= max_hamming).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), dist.alias("distance")).distinct()
 
@@ -65,8 +78,8 @@ def skipped_buckets(sigs: DataFrame, key: str = "doc_id", cap: int = 2000) -> Da
     return reps.select(F.posexplode(F.array(*_words())).alias("band", "bits")).groupBy("band", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
 
 
-def clusters(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int = 2000) -> DataFrame:
-    """key, dup_cluster: the smallest key of the component."""
+def clusters(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = 2000) -> DataFrame:
+    """key, dup_cluster: the smallest key of the component. cap: see candidate_pairs; None leaves no bucket out."""
     staged = Staged(sigs.sparkSession)
     sigs = staged.write(sigs.select(key, *_words()))
     comp = connected_components(candidate_pairs(sigs, key, max_hamming, cap), staged)

@@ -78,6 +78,12 @@ def skipped_buckets(spark, sf):
     return D.skipped_buckets(D.simhash(table(spark, sf, "documents")), cap=3)
 
 
+@query(f"WITH {SIG_SQL}, r AS (SELECT DISTINCT b0, b1, b2, b3 FROM s), q AS (SELECT band, [b0, b1, b2, b3][band + 1] AS bits FROM r, (VALUES (0), (1), (2), (3)) t(band)) SELECT band, bits, count(*) AS n FROM q GROUP BY ALL HAVING count(*) > 2000")
+def skipped_buckets_of_clusters(spark, sf):
+    """Those that near_dup_clusters leaves out."""
+    return D.skipped_buckets(D.simhash(table(spark, sf, "documents")))
+
+
 @query("""SELECT doc_id, lang, source FROM documents WHERE (NOT EXISTS (SELECT 1 FROM documents WHERE nullif(lang, '') IS NOT NULL) OR lang = 'en') AND (source IS NULL OR source NOT IN ('src3'))
 AND (NOT EXISTS (SELECT 1 FROM documents WHERE source IN ('src1', 'src2', 'src5')) OR source IS NULL OR source IN ('src1', 'src2', 'src5'))""")
 def scope_filter_guarded(spark, sf):

@@ -89,6 +89,25 @@ def test_candidates_share_a_band_and_cap(spark):
     assert {r["n"] for r in D.skipped_buckets(sigs, cap=5).collect()} == {8}
 
 
+def test_no_cap_loses_no_pair_of_a_crowded_bucket(spark):
+    rnd = random.Random(3)
+    base, rows = [rnd.getrandbits(64) - (1 << 63) for _ in range(4)], []
+    for k in range(60):
+        w = [base[0], *(x ^ sum(1 << i for i in rnd.sample(range(63), rnd.randint(0, 3))) for x in base[1:])]
+        w[3] ^= -(1 << 63) if k % 3 == 0 else 0  # the sign is a bit as well
+        rows.append((k, *w))
+    sigs = spark.createDataFrame(rows, "doc_id long, b0 long, b1 long, b2 long, b3 long")
+    first = {r[1:]: r[0] for r in reversed(rows)}
+    far = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    for most in (0, 6, 9, 70):
+        want = {(first[a], first[b], far(a, b)) for a in first for b in first if first[a] < first[b] and far(a, b) <= most}
+        for crowded in (5, 2000):
+            got = D.candidate_pairs(sigs, max_hamming=most, cap=None, crowded=crowded).collect()
+            assert {(r["u"], r["v"], r["distance"]) for r in got} == want and len(got) == len(want)
+    assert D.candidate_pairs(sigs, cap=5).count() < D.candidate_pairs(sigs, cap=None, crowded=5).count()
+    assert {r["dup_cluster"] for r in D.clusters(sigs, max_hamming=70, cap=None).collect()} == {0}
+
+
 def test_conflicts_and_keep(spark):
     rows = spark.createDataFrame([(1, 7, "a", 0.1), (2, 7, "a", 0.3), (3, 7, None, None), (4, 8, "a", 1.0), (5, 8, "b", 1.0), (6, 9, "b", None), (7, 9, "b", None)], "id long, dup_cluster long, label string, area_ratio double")
     assert [r["dup_cluster"] for r in D.conflicts(rows).collect()] == [8]
