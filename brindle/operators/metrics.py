@@ -108,6 +108,34 @@ def bootstrap(rows: DataFrame, key: str, replicates: int = 200, alpha: float = 0
     return point.crossJoin(per.agg(F.expr(f"percentile(acc, {alpha / 2}D)").alias("low"), F.expr(f"percentile(acc, {1 - alpha / 2}D)").alias("high"), F.count("*").alias("replicates")))
 
 
+def bootstrap_ci(rows: DataFrame, key: str, metric: str = "macro_f1", replicates: int = 1000, alpha: float = 0.05, seed: int = 42, slots: int = 1024, y: str = "y", pred: str = "pred") -> DataFrame:
+    """One row: macro_f1 or balanced_accuracy with a percentile interval, from weights as in bootstrap.
+
+    The weights belong to `slots` hash slots of key, so rows of a slot share one; confusion cells are weighed, not rows.
+    Classes are those seen in y or pred (macro_f1) or in y (balanced_accuracy); rows without y are left out, and a null pred is
+    a miss. Replicates with fewer than two true classes are left out.
+    """
+    if metric not in ("macro_f1", "balanced_accuracy"):
+        raise ValueError(metric)
+    spark = rows.sparkSession
+    slot = F.conv(F.substring(F.md5(F.concat(F.lit(f"boot{seed}"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % slots
+    kind = rows.schema[y].dataType
+    cells = rows.select(F.coalesce(slot, F.lit(0)).alias("slot"), F.col(y).alias("y"), F.col(pred).cast(kind).alias("pred")).filter("y is not null").groupBy("slot", "y", "pred").agg(F.count("*").alias("n"))
+    drawn = spark.range(slots).withColumnRenamed("id", "slot").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "rep")))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    w = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
+    # replicate -1 is the table itself
+    drawn = drawn.withColumn("w", w).filter("w > 0").unionByName(spark.range(slots).select(F.col("id").alias("slot"), F.lit(-1).cast("long").alias("rep"), F.lit(1).alias("w")))
+    per = cells.join(drawn, "slot").groupBy("rep", "y", "pred").agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("s"), zero.alias("p"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(zero).alias("t")), F.struct(F.col("pred").alias("c"), zero.alias("s"), F.col("n").alias("p"), zero.alias("t")))
+    per = per.select("rep", F.explode(sides).alias("x")).select("rep", "x.*").filter("c is not null").groupBy("rep", "c").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    value = F.avg(2 * F.col("t") / (F.col("s") + F.col("p"))) if metric == "macro_f1" else F.avg(F.when(F.col("s") > 0, F.col("t") / F.col("s")))
+    per = per.groupBy("rep").agg(value.alias("v"), F.count_if(F.col("s") > 0).alias("k"))
+    point, kept = F.col("rep") < 0, "case when rep >= 0 and k >= 2 then v end"
+    return per.agg(F.max(F.when(point, F.col("v"))).alias(metric), F.expr(f"percentile({kept}, {alpha / 2}D)").alias("low"), F.expr(f"percentile({kept}, {1 - alpha / 2}D)").alias("high"), F.expr(f"count({kept})").alias("replicates"))
+
+
 def class_weights(rows: DataFrame, k: int, y: str = "y", scheme: str = "inverse_sqrt") -> DataFrame:
     """class, n, weight: 1/sqrt(n) or 1/n, divided by the mean over all k classes; a class without rows counts as 1."""
     from pyspark.sql.window import Window as W

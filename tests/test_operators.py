@@ -1,8 +1,12 @@
 """Properties that the operators keep, on tables small enough to check by hand."""
 
+import bisect
+import hashlib
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +154,32 @@ def test_metrics_with_missing_classes(spark):
     assert one(M.auroc(spark.createDataFrame([(1.0, 1)], "score double, y int")))["auroc"] is None
 
 
+@pytest.mark.parametrize("metric", ["macro_f1", "balanced_accuracy"])
+def test_bootstrap_of_class_metrics(spark, metric):
+    rnd = random.Random(9)
+    rows = [(k, c := rnd.choice([0, 0, 0, 1, 1, 2]), c if rnd.random() < 0.7 else rnd.choice([0, 1, 2, 3, None])) for k in range(300)]
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
+
+    def value(weights):
+        s, p, t = Counter(), Counter(), Counter()
+        for (_, y, q), w in zip(rows, weights, strict=True):
+            s[y] += w
+            p[q] += w
+            t[y] += w * (y == q)
+        if metric == "macro_f1":
+            seen = [c for c in (0, 1, 2, 3) if s[c] + p[c]]
+            return sum(2 * t[c] / (s[c] + p[c]) for c in seen) / len(seen)
+        return sum(t[c] / s[c] for c in s if s[c]) / sum(1 for c in s if s[c])
+
+    slot = [number(f"boot42{k}") % 1024 for k, _, _ in rows]
+    all_ = [value([bisect.bisect_right(steps, number(f"42|{r}|{x}") / 4294967296.0) for x in slot]) for r in range(1000)]
+    got = one(M.bootstrap_ci(spark.createDataFrame(rows + [(999, None, 1)], "id long, y int, pred int"), "id", metric))
+    assert got["replicates"] == 1000 and got[metric] == pytest.approx(value([1] * len(rows)))
+    assert [got["low"], got["high"]] == pytest.approx(np.quantile(all_, [0.025, 0.975]).tolist())
+    assert got["low"] < got[metric] < got["high"]
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(k, (k % 15 + 1) / 15.0, k % 2) for k in range(60)], "id long, conf double, correct int")
     assert {r["bin"] for r in C.reliability(rows).collect()} == set(range(1, 16))
