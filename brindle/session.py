@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,11 +33,11 @@ def get_spark(cpus: int = 8, memory: str = "20g") -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Let the Python workers import this package, wherever they run. Once a context.
 
-    Arrow batches hold whole texts, so they get few rows, unless the session says how many.
+    Arrow batches hold whole texts, so they get few rows, unless the session was started with a number of its own.
     """
-    if spark.conf.get(ROWS, "10000") == "10000":
-        spark.conf.set(ROWS, "500")
     sc = spark.sparkContext
+    if not sc.getConf().contains(ROWS) and spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, "500")
     if getattr(sc, "_brindle_shipped", False):
         return
     root = os.path.dirname(importlib.util.find_spec("brindle").origin)
@@ -51,24 +52,62 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on one machine only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+        found = sc._jsc.sc().getCheckpointDir()
     return found.get().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def _root(spark: SparkSession) -> str:
+    """The folder of this application's tables; it goes when the application ends."""
+    sc = spark.sparkContext
+    root = f"{shared_dir(spark)}/brindle-{sc.applicationId}"
+    if getattr(sc, "_brindle_root", None) != root:
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._brindle_root = root
+    return root
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that operators of this application have written. Results not yet written elsewhere go with them."""
+    _delete(spark, _root(spark))
+    spark.sparkContext._brindle_root = None
+
+
 class Staged:
-    """Tables written between the steps of one operator, so that a lost executor costs one step and plans stay short."""
+    """Tables written between the steps of one operator, so that a lost executor costs one step and plans stay short.
+
+    A result is lazy and may read such tables, so they stay until `drop`, `clean`, the end of the application, or the end of a
+    with-block: `with Staged(spark) as s: near_duplicates(docs, staged=s).write...`.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{_root(spark)}/{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[str, DataFrame]] = {}  # the table is held, so that its id stays its own
+
+    def __enter__(self) -> Staged:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _delete(self.spark, self.root)
+        self._paths.clear()
 
     def write(self, df: DataFrame) -> DataFrame:
         """df as a table of the shared folder, read again."""
@@ -76,17 +115,27 @@ class Staged:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths[id(out)] = path, out
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for t in tables:
-            if t is not None and (path := self._paths.pop(id(t), None)):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+            if t is not None and (found := self._paths.pop(id(t), None)):
+                _delete(self.spark, found[0])
+
+    def keep(self, *tables: DataFrame | None) -> None:
+        """Delete all tables but these, which the result reads."""
+        held = {id(t) for t in tables}
+        for k in [k for k in self._paths if k not in held]:
+            _delete(self.spark, self._paths.pop(k)[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for heavy work on rows of one small file. No change for more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
