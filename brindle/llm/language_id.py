@@ -1,7 +1,7 @@
 """Language ID by nearest centroid: normalised TF-IDF vectors of byte n-grams against several centroids per language.
 
-The centroids are fitted on a bounded sample of labelled texts: at most `per_language` a language and `sample` in all, chosen
-by a hash of the id, whole texts. Their n-gram vectors (hashed into `dims` cells; log counts times inverse document frequency
+The centroids are fitted on a bounded sample of labelled texts: those of smallest hash of the id, the same number of every
+language, at most `per_language` each and `sample` in all (one of each where there are more languages than that). Their n-gram vectors (hashed into `dims` cells; log counts times inverse document frequency
 over all labelled texts, length 1) are clustered within each language by cosine. A text takes the language of its nearest
 centroid. It is rejected if that cosine is below what texts of its length reach: `tolerance` times the lowest hundredth of all
 labelled texts of the languages that have centroids, rounded down to a step of 1 / `steps`.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from brindle.llm._text import U64, mix, release, sliced
 
@@ -137,26 +138,27 @@ def _totals(texts: DataFrame, p: LanguageId, size: int, cells: Callable[[np.ndar
 
 def fit(docs: DataFrame, p: LanguageId = LanguageId()) -> Model:
     """From the rows of docs(doc_id, text, lang) whose remainder is not 2, text and lang not null."""
-    learn = docs.select("doc_id", "lang", "text").filter((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    number = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.sample).collect()}
-    each = max(1, min(p.per_language, p.sample // max(1, len(number))))
-    # a threshold on a hash of the id picks about `each` a language; the limit bounds ties and repeated ids
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = [(F.col("lang") == lang) & (part < each / n) for lang, n in number.items()]
+    learn = docs.select(F.col("doc_id").cast("long"), "lang", "text").filter((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    languages = learn.agg(F.countDistinct("lang").alias("n")).first()["n"]
+    each = max(1, min(p.per_language, p.sample // max(1, languages)))
+    # the first of each language by a hash; a task passes on at most `each` a language to the ranking
+    key = ["lang", "doc_id", "tkey"]
+    keyed = learn.withColumn("tkey", F.xxhash64("text"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey")
+    chosen = keyed.select(*key).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select(*key).distinct()
     rows = []
-    if picked:
-        chosen = picked[0]
-        for c in picked[1:]:
-            chosen = chosen | c
+    if languages:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, raw, offs in sliced(batches, "text", 1 << 19):
                 for a in range(0, b.num_rows, 256):
                     z = min(b.num_rows, a + 256)
                     tf = counts(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a], p)
-                    yield pa.record_batch([b.column("lang").slice(a, z - a), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], ["lang", "tf"])
+                    yield pa.record_batch([*(b.column(c).slice(a, z - a) for c in key), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in tf], pa.binary())], [*key, "tf"])
 
-        rows = learn.filter(chosen).limit(2 * p.sample).select("lang", "text").mapInArrow(run, "lang string, tf binary").collect()
+        # at most max(sample, languages) keys, which may be sent to all tasks; repeated rows come once
+        picked = keyed.join(F.broadcast(chosen), key).select(*key, "text").mapInArrow(run, "lang string, doc_id long, tkey long, tf binary")
+        rows = picked.dropDuplicates(key).orderBy(*key).select("lang", "tf").collect()
     languages = tuple(sorted({r["lang"] for r in rows}))
     if not rows:
         return Model((), np.ones(p.dims, np.float32), np.zeros((0, p.dims), np.float32), np.zeros(0, np.int64), np.zeros(32))

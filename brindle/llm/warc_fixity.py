@@ -1,41 +1,51 @@
 """Merkle fixity audit of WARC replicas: hash trees over records and ordered offset ranges, descended where they differ.
 
-A replica's manifest has a row per record: file, id, copy (of equal ids), offset, length and SHA-256 of its bytes. Records
-whose offsets fall into one range of a file make a leaf, `fanout` ranges make a node, and so on up to the file's root; a
-node's hash is that of its children in order. An audit compares roots, then only the children of nodes that differ, and
-at last the records of the leaves that differ. DataFrame expressions, but for reading raw files.
+A replica's manifest has a row per record: file, id, copy (of equal ids), offset, length and SHA-256 of its bytes. In the
+order of offsets, a record whose id hashes to a multiple of `fanout` starts a new range, a leaf; one whose hash is a multiple
+of fanout ** 2 starts a node of leaves as well, and so on up to the file's root. A range is named by the record that starts
+it, and its hash is over its records' ids, lengths, digests and offsets from its own start, so that a change, a loss or an
+insertion alters the ranges that hold it and no others. A node's hash is that of its children in order. An audit compares
+roots, then only the children of nodes that differ, and at last the records of the leaves that differ; all else is settled
+by the node that matched, whose start says whether its records have moved. DataFrame expressions, but for reading raw files.
 
 Status of a record: ok, changed (same place in the order of ids, other bytes), moved (same bytes, other offset), missing
 (not in the replica), extra (only in the replica).
 
+Each level is a written table, so the plan of a level does not hold those below it.
+
 Defined cases: null url or html are empty; a null id gets a file by a hash of its content; repeated rows are copies of one
 id, numbered in the order of their digests; an empty manifest against another makes all its records missing. Bytes of a
-file that don't start a record end its parsing; the rest is one record without an id.
+file that don't start a record end its parsing; the rest is one record without an id. A record of any length is one row of
+a manifest; its bytes are hashed where they are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from brindle.session import Staged
+
 
 @dataclass(frozen=True)
 class Fixity:
-    """leaf: bytes of a leaf's range; levels of nodes above the leaves, below the root; per_file: ids of a written file."""
+    """fanout: records of a leaf and children of a node, on average; levels of nodes above the leaves, below the root; per_file: ids of a written file."""
 
-    leaf: int = 1 << 16
     fanout: int = 16
     levels: int = 2
     per_file: int = 512
 
 
 KEY = ["file", "id", "copy"]
+#: Writes a table and reads it again; by default into the shared folder.
+Table = Callable[[DataFrame], DataFrame]
 
 
 def record_text(url, html):
@@ -60,46 +70,75 @@ def hash_pages(pages: DataFrame, p: Fixity = Fixity()) -> DataFrame:
     return rec.select("file", "id", F.octet_length("r").cast("long").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("digest"))
 
 
-def tree(m: DataFrame, p: Fixity = Fixity()) -> list[DataFrame]:
-    """Nodes (file, node, hash) of each level, leaves first; the last is one root a file."""
-    kids = m.select("file", F.floor(F.col("offset") / p.leaf).alias("node"), F.struct("offset", "length", "digest").alias("k"))
-    out = []
-    for level in range(p.levels + 2):
-        line = F.concat_ws("|", F.transform(F.array_sort(F.collect_list("k")), lambda k: F.to_json(k)))
-        nodes = kids.groupBy("file", "node").agg(F.sha2(line, 256).alias("hash"))
+def _names(p: Fixity) -> list[str]:
+    """Columns that name a record's ranges: k0 the leaf, then the nodes above it, last the file's root."""
+    return [f"k{level}" for level in range(p.levels + 2)]
+
+
+def ranged(m: DataFrame, p: Fixity = Fixity()) -> DataFrame:
+    """A manifest with k0, k1, ...: of each level the record that starts the range, '' for the file's first."""
+    h = F.pmod(F.xxhash64(F.col("id").cast("string"), "copy"), F.lit(p.fanout ** (p.levels + 1)))
+    name = F.concat_ws("#", F.col("id").cast("string"), F.col("copy").cast("string"))
+    upto = W.partitionBy("file").orderBy("offset", F.col("id").asc_nulls_first(), "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    *inner, root = _names(p)
+    starts = [F.coalesce(F.last(F.when(h % p.fanout ** (k + 1) == 0, name), ignorenulls=True).over(upto), F.lit("")).alias(c) for k, c in enumerate(inner)]
+    return m.select("*", *starts, F.lit("").alias(root))
+
+
+def tree(m: DataFrame, p: Fixity = Fixity(), table: Table | None = None) -> list[DataFrame]:
+    """Of ranged records the nodes of each level, leaves first: file, the names of the node and of those above it, start, hash."""
+    names, out, table = _names(p), [], table or Staged(m.sparkSession).write
+    kids = m.select("file", *names, "offset", F.to_json(F.struct("id", "copy", "length", "digest")).alias("kid"))
+    for level in range(len(names)):
+        own = names[level:]
+        # the offsets are taken from the range's start, which the same aggregation finds
+        nodes = kids.groupBy("file", *own).agg(F.min("offset").alias("start"), F.array_sort(F.collect_list(F.struct("offset", "kid"))).alias("kids"))
+        line = F.concat_ws("|", F.transform("kids", lambda k: F.concat_ws(":", (k["offset"] - F.col("start")).cast("string"), k["kid"])))
+        nodes = table(nodes.select("file", *own, "start", F.sha2(line, 256).alias("hash")))
         out.append(nodes)
-        up = F.lit(0).cast("long") if level == p.levels else F.floor(F.col("node") / p.fanout)
-        kids = nodes.select("file", up.alias("node"), F.struct("node", "hash").alias("k"))
+        kids = nodes.select("file", *own[1:], F.col("start").alias("offset"), F.col("hash").alias("kid"))
     return out
 
 
-def mismatches(a: list[DataFrame], b: list[DataFrame], p: Fixity = Fixity()) -> DataFrame:
-    """(file, node) of the leaves that differ; below the roots, only children of nodes that differ are compared."""
-    bad = None
+def descend(a: list[DataFrame], b: list[DataFrame], p: Fixity = Fixity(), table: Table | None = None) -> list[DataFrame]:
+    """Of each level, leaves first: the nodes (file, name, same, moved) that were compared, which are the children of nodes that differ."""
+    names, out, bad, table = _names(p), [], None, table or Staged(a[0].sparkSession).write
     for level in range(len(a) - 1, -1, -1):
-        x, y = a[level], b[level].withColumnRenamed("hash", "other")
-        if bad is not None:
-            up = F.lit(0).cast("long") if level == len(a) - 2 else F.floor(F.col("node") / p.fanout)
-            above = bad.select("file", F.col("node").alias("up"))
-            x, y = (t.withColumn("up", up).join(above, ["file", "up"], "left_semi").drop("up") for t in (x, y))
-        bad = x.join(y, ["file", "node"], "full_outer").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
-    return bad
+        own, above = names[level], names[level + 1] if bad is not None else None
+        x, y = (t.join(bad, ["file", above], "left_semi") if above else t for t in (a[level], b[level]))
+        x = x.select("file", own, "start", "hash")
+        y = y.select("file", own, F.col("start").alias("_start"), F.col("hash").alias("_hash"))
+        same = F.col("hash").eqNullSafe(F.col("_hash"))
+        seen = table(x.join(y, ["file", own], "full_outer").select("file", own, same.alias("same"), F.coalesce(F.col("start") != F.col("_start"), F.lit(False)).alias("moved")))
+        bad = seen.filter("not same").select("file", own)
+        out.append(seen)
+    return out[::-1]
 
 
-def audit(a: DataFrame, b: DataFrame, p: Fixity = Fixity()) -> DataFrame:
-    """Manifests of a replica and of another to KEY, offset, length, digest (of the first; of the other for extras) and status."""
-    bad = mismatches(tree(a, p), tree(b, p), p)
+def mismatches(a: list[DataFrame], b: list[DataFrame], p: Fixity = Fixity(), table: Table | None = None) -> DataFrame:
+    """(file, k0) of the leaves that differ; below the roots, only children of nodes that differ are compared."""
+    return descend(a, b, p, table)[0].filter("not same").select("file", "k0")
 
-    def split(m: DataFrame, kind: str) -> DataFrame:
-        return m.withColumn("node", F.floor(F.col("offset") / p.leaf)).join(bad, ["file", "node"], kind).drop("node")
 
-    y = split(b, "left_semi").select(*(F.col(c).alias(f"_{c}") for c in (*KEY, "offset", "length", "digest")))
-    x = split(a, "left_semi")
+def audit(a: DataFrame, b: DataFrame, p: Fixity = Fixity(), table: Table | None = None) -> DataFrame:
+    """Manifests of a replica and of another to KEY, offset, length, digest (of the first; of the other for extras) and status."""
+    names, table = _names(p), table or Staged(a.sparkSession).write
+    a, b = (table(ranged(m, p)) for m in (a, b))
+    trees = [tree(m, p, table) for m in (a, b)]
+    seen = descend(*trees, p, table)
+    # the leaves under each node that matched take its word
+    leaves = trees[0][0].select("file", *names)
+    settled = [leaves.join(s.filter("same").select("file", k, "moved"), ["file", k]).select("file", "k0", "moved") for k, s in zip(names, seen, strict=True)]
+    settled = table(reduce(DataFrame.union, settled))
+    bad = seen[0].filter("not same").select("file", "k0")
+    y = b.join(bad, ["file", "k0"], "left_semi").select(*(F.col(c).alias(f"_{c}") for c in (*KEY, "offset", "length", "digest")))
+    x = a.join(bad, ["file", "k0"], "left_semi")
     same = (x["file"] == y["_file"]) & x["id"].eqNullSafe(y["_id"]) & (x["copy"] == y["_copy"])
     both = x.join(y, same, "full_outer")
     status = F.when(F.col("_file").isNull(), "missing").when(F.col("file").isNull(), "extra").when(F.col("digest") != F.col("_digest"), "changed").when(F.col("offset") != F.col("_offset"), "moved").otherwise("ok")
     found = both.select(*(F.coalesce(c, f"_{c}").alias(c) for c in (*KEY, "offset", "length", "digest")), status.alias("status"))
-    return found.unionByName(split(a, "left_anti").withColumn("status", F.lit("ok")))
+    rest = a.join(settled, ["file", "k0"]).select(*KEY, "offset", "length", "digest", F.when(F.col("moved"), "moved").otherwise("ok").alias("status"))
+    return found.unionByName(rest)
 
 
 def parse(data: bytes) -> Iterator[tuple[str | None, int, int, str]]:
@@ -143,10 +182,10 @@ def damaged(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.when(m == 1, F.concat(F.coalesce("html", F.lit("")), F.lit(" "))).otherwise(F.col("html")).alias("html"), m.alias("m")).filter("m <> 2").drop("m")
 
 
-def audit_pages(pages: DataFrame, p: Fixity = Fixity(), table=lambda df: df) -> DataFrame:
+def audit_pages(pages: DataFrame, p: Fixity = Fixity(), table: Table | None = None) -> DataFrame:
     """The pages as WARC records against the damaged replica: page_id, file, copy, offset, length, digest, status."""
-    a, b = (table(manifest(hash_pages(x, p))) for x in (pages, damaged(pages)))
-    return audit(a, b, p).select(F.col("id").alias("page_id"), "file", "copy", "offset", "length", "digest", "status")
+    a, b = (manifest(hash_pages(x, p)) for x in (pages, damaged(pages)))
+    return audit(a, b, p, table).select(F.col("id").alias("page_id"), "file", "copy", "offset", "length", "digest", "status")
 
 
 FIXITY_SQL = """
