@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brindle.operators.graph import connected_components
-from brindle.session import Staged
+from brindle.session import Staged, dealt
 
 BANDS, BITS = 4, 15
 
 
 def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, b0..b3: sign bits of summed word hashes, 15 to a band. A text without words has zeros.
+    """key, b0..b3: sign bits of summed word hashes, 15 to a band; nulls for a text without words, which nothing is near to.
 
-    Two counters share a long, so that a text is 30 sums; words are exploded and summed in the same task.
+    A word is a run of letters and digits of any script. Two counters share a long, so that a text is 30 sums; words are
+    exploded and summed in the same task.
     """
-    words = docs.select(key, F.explode_outer(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")).alias("w"))
-    h = words.select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 15), 16, 10).cast("long").alias("h"))
+    docs = dealt(docs.select(key, text))
+    words = docs.select(key, F.explode_outer(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("w"))
+    # fifteen hexadecimal digits as a number, eight and seven at a time
+    m = words.select(key, F.md5(F.col("w").cast("binary")).alias("m"))
+    h = m.select(key, F.conv(F.substring("m", 1, 15), 16, 10).cast("long").alias("h"))
     half = BANDS * BITS // 2
     votes = [F.sum(F.expr(f"(shiftright(h, {k}) & 1L) + shiftleft(shiftright(h, {k + half}) & 1L, 31)")).alias(f"v{k}") for k in range(half)]
     summed = h.groupBy(key).agg(F.count("h").alias("n"), *votes)
@@ -34,7 +38,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return f"(case when 2 * {count} > n then {1 << (k % BITS)}L else 0L end)"
 
     bands = [F.expr(" + ".join(bit(b * BITS + i) for i in range(BITS))).alias(f"b{b}") for b in range(BANDS)]
-    return summed.select(key, *bands)
+    return summed.select(key, *(F.when(F.col("n") > 0, band).alias(f"b{b}") for b, band in enumerate(bands)))
 
 
 def _words(n: int = BANDS) -> list[str]:
@@ -45,14 +49,14 @@ def hamming(a: str = "a", b: str = "b", n: int = BANDS):
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _words(n)))
 
 
-def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = 2000, staged: Staged | None = None, crowded: int = 2000) -> DataFrame:
-    """(u, v, distance), u < v: representatives of equal signatures that share a band and are near enough.
+def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = None, crowded: int = 2000) -> DataFrame:
+    """(u, v, distance), u < v: representatives of equal signatures that share a band and are near enough. Null ones take no part.
 
-    A bucket of more than `cap` representatives is left out, as the reference semantics have it; `skipped_buckets` lists them.
-    With cap None no bucket is: one of more than `crowded` is split by parts of the signature, bits k, k + m, ... of every word
-    for k below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost.
+    A bucket of more than `crowded` representatives is split by parts of the signature, bits k, k + m, ... of every word for k
+    below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost. With a
+    cap, buckets of more representatives than that are left out instead; `skipped_buckets` lists them.
     """
-    reps = sigs.groupBy(*_words()).agg(F.min(key).alias("id"))
+    reps = sigs.filter(F.col("b0").isNotNull()).groupBy(*_words()).agg(F.min(key).alias("id"))
     rows = reps.select("id", F.struct(*_words()).alias("s"), F.posexplode(F.array(*_words())).alias("band", "bits"))
     sized = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     place = ["band", "bits"]
@@ -74,17 +78,20 @@ def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6,
 
 
 def skipped_buckets(sigs: DataFrame, key: str = "doc_id", cap: int = 2000) -> DataFrame:
-    reps = sigs.groupBy(*_words()).agg(F.min(key).alias("id"))
+    """The buckets that candidate_pairs leaves out if it is given this cap."""
+    reps = sigs.filter(F.col("b0").isNotNull()).groupBy(*_words()).agg(F.min(key).alias("id"))
     return reps.select(F.posexplode(F.array(*_words())).alias("band", "bits")).groupBy("band", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
 
 
-def clusters(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = 2000) -> DataFrame:
-    """key, dup_cluster: the smallest key of the component. cap: see candidate_pairs; None leaves no bucket out."""
+def clusters(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6, cap: int | None = None) -> DataFrame:
+    """key, dup_cluster: the smallest key of the component; hashed: whether there is a signature. Without one a row is alone."""
     staged = Staged(sigs.sparkSession)
     sigs = staged.write(sigs.select(key, *_words()))
     comp = connected_components(candidate_pairs(sigs, key, max_hamming, cap), staged)
-    reps = sigs.groupBy(*_words()).agg(F.min(key).alias("v")).join(comp, "v", "left").select(*_words(), F.coalesce("component", "v").alias("dup_cluster"))
-    return sigs.join(reps, _words()).select(key, "dup_cluster")
+    known = sigs.filter(F.col("b0").isNotNull())
+    reps = known.groupBy(*_words()).agg(F.min(key).alias("v")).join(comp, "v", "left").select(*_words(), F.coalesce("component", "v").alias("dup_cluster"))
+    hashed = known.join(reps, _words()).select(key, "dup_cluster", F.lit(True).alias("hashed"))
+    return hashed.union(sigs.filter(F.col("b0").isNull()).select(key, F.col(key).alias("dup_cluster"), F.lit(False).alias("hashed")))
 
 
 def conflicts(rows: DataFrame) -> DataFrame:
@@ -92,17 +99,30 @@ def conflicts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dup_cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.countDistinct("label").alias("n_labels"), F.count("*").alias("n")).filter("lo <> hi").select("dup_cluster", "n_labels", "n")
 
 
-def keep_largest(rows: DataFrame, key: str, drop_cross_class: bool = True) -> DataFrame:
-    """Without conflicting clusters, one row per cluster and label: the largest area_ratio, nulls last, then the smallest key."""
+def keep_largest(rows: DataFrame, key: str, drop_cross_class: bool = True, order: str | None = None) -> DataFrame:
+    """Without conflicting clusters, one row per cluster and label: the largest area_ratio, nulls last, then the smallest key.
+
+    order: a column by whose order, that of the input, the rows are returned.
+    """
     if drop_cross_class:
         rows = rows.join(conflicts(rows).select("dup_cluster"), "dup_cluster", "left_anti")
     by = W.partitionBy("dup_cluster", "label").orderBy(F.col("area_ratio").desc_nulls_last(), key)
-    return rows.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").drop("_rank")
+    kept = rows.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").drop("_rank")
+    return kept.orderBy(order) if order else kept
 
 
 def dedup_info(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: counts and the duplicate rate, and whether the rate is alarming or nothing is left."""
-    b = before.agg(F.count("*").alias("before"), F.count("dup_cluster").alias("hashed"), F.countDistinct("dup_cluster").alias("clusters"))
+    """One row: counts, what conflicts took, the duplicate rate, and whether the rate is alarming."""
+    hashed = F.count_if(F.col("hashed")) if "hashed" in before.columns else F.count("dup_cluster")
+    b = before.agg(F.count("*").alias("before"), hashed.alias("hashed"), F.countDistinct("dup_cluster").alias("clusters"))
+    c = conflicts(before).agg(F.count("*").alias("cross_class_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("cross_class_rows"))
     a = after.agg(F.count("*").alias("after"))
     rate = F.round(1.0 - F.col("after") / F.greatest("before", F.lit(1)), 4)
-    return b.crossJoin(a).select("before", "hashed", "clusters", "after", (F.col("before") - F.col("after")).alias("removed"), rate.alias("duplicate_rate"), (rate > 0.5).alias("alarm"))
+    return b.crossJoin(c).crossJoin(a).select("before", "hashed", "clusters", "cross_class_clusters", "cross_class_rows", "after", (F.col("before") - F.col("after")).alias("removed"), rate.alias("duplicate_rate"), (rate > 0.5).alias("alarm"))
+
+
+def ensure_rows_left(info: DataFrame) -> None:
+    """An error if dedup_info() says that nothing is left of something. Runs the job of one row."""
+    r = info.first()
+    if r["before"] and not r["after"]:
+        raise ValueError(f"none of {r['before']} rows is left; {r['cross_class_rows']} were in clusters of conflicting labels")

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -118,6 +119,12 @@ class Staged:
         self._paths[id(out)] = path, out
         return out
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted along with the writing."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later step reads."""
         for t in tables:

@@ -75,6 +75,8 @@ def test_components_match_union_find(spark):
             parent[max(x, y)] = min(x, y)
         got = {r["v"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
         assert got == {v: find(v) for v in parent if any(a != b and v in (a, b) for a, b in edges)}
+        few = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3), chunk=7)  # rounds of stars
+        assert {r["v"]: r["component"] for r in few.collect()} == got
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -89,7 +91,7 @@ def test_candidates_share_a_band_and_cap(spark):
     sigs = spark.createDataFrame(rows, "doc_id long, b0 long, b1 long, b2 long, b3 long")
     near = {(r["u"], r["v"]) for r in D.candidate_pairs(sigs, max_hamming=60).collect()}
     assert near == set(itertools.combinations(range(8), 2))
-    assert D.candidate_pairs(sigs, max_hamming=60, cap=3).count() == 0
+    assert D.candidate_pairs(sigs, max_hamming=60, cap=3).count() == 0 < D.candidate_pairs(sigs, max_hamming=60, crowded=3).count()
     assert {r["n"] for r in D.skipped_buckets(sigs, cap=5).collect()} == {8}
 
 
@@ -112,6 +114,34 @@ def test_no_cap_loses_no_pair_of_a_crowded_bucket(spark):
     assert {r["dup_cluster"] for r in D.clusters(sigs, max_hamming=70, cap=None).collect()} == {0}
 
 
+def test_a_bucket_of_more_than_2000(spark):
+    rnd = random.Random(8)
+    rows = [(k, 77, *(rnd.getrandbits(15) for _ in range(3))) for k in range(2600)]
+    rows += [(10_000 + k, 77, a ^ (1 << k % 15), b ^ (1 << k % 7), c) for k, (_, _, a, b, c) in enumerate(rows[:200])]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= 6}
+    got = D.candidate_pairs(spark.createDataFrame(rows, "doc_id long, b0 long, b1 long, b2 long, b3 long")).collect()
+    first = {r[1:]: r[0] for r in reversed(rows)}
+    assert len(first) == len(rows) and len(want) >= 200
+    assert {(r["u"], r["v"]) for r in got} == want
+
+
+def test_signatures_of_scripts_and_wordless_texts(spark):
+    texts = [None, "", "!!! ???", "これは 日本語 の 文章 です", "это русский текст о погоде", "هذا نص عربي عن الطقس", "plain english words here", "αυτό είναι ελληνικό κείμενο", "это русский текст о погоде"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = {r["doc_id"]: tuple(r)[1:] for r in D.simhash(rows).collect()}
+    assert all(sig[k] == (None,) * 4 for k in range(3)) and len({sig[k] for k in range(3, 9)}) == 5
+    got = {r["doc_id"]: (r["dup_cluster"], r["hashed"]) for r in D.clusters(D.simhash(rows)).collect()}
+    assert got == {k: (4 if k == 8 else k, k > 2) for k in range(9)}
+    labels = D.clusters(D.simhash(rows)).withColumn("label", F.lit("a")).withColumn("area_ratio", F.lit(1.0))
+    kept = D.keep_largest(labels, "doc_id", order="doc_id")
+    assert [r["doc_id"] for r in kept.collect()] == list(range(8))
+    info = D.dedup_info(labels, kept)
+    assert (one(info)["hashed"], one(info)["removed"], one(info)["alarm"]) == (6, 1, False)
+    D.ensure_rows_left(info)
+    with pytest.raises(ValueError):
+        D.ensure_rows_left(D.dedup_info(labels, kept.limit(0)))
+
+
 def test_conflicts_and_keep(spark):
     rows = spark.createDataFrame([(1, 7, "a", 0.1), (2, 7, "a", 0.3), (3, 7, None, None), (4, 8, "a", 1.0), (5, 8, "b", 1.0), (6, 9, "b", None), (7, 9, "b", None)], "id long, dup_cluster long, label string, area_ratio double")
     assert [r["dup_cluster"] for r in D.conflicts(rows).collect()] == [8]
