@@ -208,8 +208,8 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
         # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
         now = rest.join(comp.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
         open_ = F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")
-        left = staged.write(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket"), "bucket"))
-        if left.isEmpty():
+        left, n = staged.counted(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket"), "bucket"))
+        if not n:
             return classes, comp
         rare = None
         if sizes is None:
@@ -220,15 +220,15 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
         sized = sized.join(left.groupBy("bucket").agg(*open_[2:]), "bucket").filter(bound("h", F.col("n") + F.col("least"))).drop("least")
         sized = staged.write(sized)
         still = sized.groupBy("bucket").agg(*open_[:2]).filter("lo < hi").select("bucket")
-        left = staged.write(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
-        if rare is None and left.isEmpty():
+        left, n = staged.counted(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
+        if rare is None and not n:
             return classes, comp
         hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"))
         pairs = left.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un"))).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
         pairs = pairs if rare is None else pairs.union(rare)
         pairs = staged.write(pairs.filter(apt).select(*pair).distinct().join(tried, ["u", "v"], "left_anti"))
-        new = staged.write(_confirm(pairs, sets, p))
-        if not new.isEmpty():
+        new, n = staged.counted(_confirm(pairs, sets, p))
+        if n:
             comp = connected_components(_stars(comp).union(new), staged)
         tried = tried.union(pairs)
         rest, centres = left.filter(F.col("rank") > centres).select("bucket", "c", "n"), centres * 4
