@@ -4,10 +4,15 @@
    at the same place, so windows that repeat meet under one anchor. Neighbouring windows of one anchor form its context;
    a context is two hashes and a place, about one for every (window - gram + 2) / 2 units.
 2. Anchors are counted, combined before the shuffle. Those that occur once are done with.
-3. Of the rest, an anchor whose contexts are all equal repeats as a whole. That is the case of copies, however many.
-4. Contexts that differ are collapsed to the distinct ones with their number and first place. Their content is fetched,
-   routed by anchor into shards of bounded size, and an index over each shard (the caller's) says which windows repeat.
-5. An anchor of more than `hot` distinct contexts is not gathered: its windows are hashed one by one and counted.
+3. The contexts of the rest are collapsed to the distinct ones of each anchor, with their number and first place. Whatever
+   repeats a whole context repeats its windows, so copies, however many, are settled by the first.
+4. The content of every distinct context is fetched from its first place and routed by anchor into shards of bounded size.
+   An index over each shard (the caller's) says which of its windows repeat.
+5. An anchor of more than `hot` distinct contexts would fill a task of its own. Its windows are routed one by one: two
+   hashes of 64 bits stand for a window, and their number and first place are aggregated.
+
+Joins on anchors and contexts deal out heavy keys by a salt. Heavy is a key with more than a ten-thousandth of the rows, so
+there are fewer than ten thousand, at any size, and their list is broadcast.
 
 A doc_id of null is smaller than all others. Rows that share doc_id and text are documents of their own.
 """
@@ -41,8 +46,20 @@ class Repeats:
     shard_bytes: int = 1 << 19
 
 
-#: contexts of a shard, each (content, order-giving key) sorted by it -> for each the window starts that repeat, as a mask
-Resolver = Callable[[list[np.ndarray], int], list[np.ndarray]]
+#: contexts of a shard in corpus order, how often each occurs, the window -> for each the window starts that repeat, as a mask
+Resolver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
+
+#: Parts that a heavy key is dealt out to.
+SALTS = 32
+
+
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: list[str]) -> DataFrame:
+    """left join right on keys; right, a written table, says in column n how many rows of left a key has. by: columns of left that tell its rows apart."""
+    total = right.agg(F.sum(n).alias("total")).first()["total"] or 0
+    heavy = right.filter(F.col(n) > max(total / 10_000, 1000)).select(*keys, F.lit(True).alias("_heavy"))
+    left = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0))
+    right = right.withColumn("_salt", F.explode(F.when(F.col(n) > max(total / 10_000, 1000), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.withColumn("_salt", F.col("_salt").cast("long")), [*keys, "_salt"]).drop("_salt", "_heavy")
 
 
 def _units(r: Repeats, raw: np.ndarray, offs: np.ndarray) -> tuple[Callable[[int, int], np.ndarray], np.ndarray]:
@@ -93,68 +110,65 @@ def _anchors(keyed: DataFrame, r: Repeats) -> DataFrame:
 
 
 def _contents(texts: DataFrame, r: Repeats) -> DataFrame:
-    """From texts with their wanted contexts: the content of each, or of a hot one, two hashes of every window (content null)."""
+    """From texts with their wanted contexts: the content of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw, offs in sliced(batches, "text", PIECE):
             values, uoffs = _units(r, raw, offs)
             lists = b.column("wanted")
-            number = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(b.num_rows), number)
-            anchor, start, count, n = (flat.field(k).to_numpy() for k in ("anchor", "start", "count", "n"))
-            hot = flat.field("hot").to_numpy(zero_copy_only=False)
-            first = uoffs[doc] + start
-            cold = np.flatnonzero(~hot)
-            pieces: list[bytes | None] = []
-            for s, c in zip(first[cold].tolist(), count[cold].tolist(), strict=True):
-                e = s + c - 1 + r.window
-                pieces.append((values(s, e) if r.words else raw[s:e]).tobytes())
-            # the windows of hot contexts, a text at a time
-            takes, ones, twos, starts, ns = [doc[cold]], [anchor[cold]], [np.zeros(len(cold), np.int64)], [start[cold]], [n[cold]]
-            for d in np.unique(doc[hot]).tolist():
-                mine = hot & (doc == d)
-                at = np.concatenate([np.arange(s, s + c) for s, c in zip(start[mine].tolist(), count[mine].tolist(), strict=True)])
+            doc, flat = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            first, count = uoffs[doc] + flat.field("start").to_numpy(), flat.field("count").to_numpy()
+            ends = first + count - 1 + r.window
+            pieces = [(values(s, e) if r.words else raw[s:e]).tobytes() for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
+            take = pa.array(doc)
+            cols = [flat.field("anchor"), b.column("doc_id").take(take), b.column("tkey").take(take), flat.field("start"), flat.field("n")]
+            yield pa.record_batch([*cols, pa.array(pieces, pa.binary())], ["anchor", "doc_id", "tkey", "start", "n", "content"])
+
+    return texts.mapInArrow(run, "anchor long, doc_id long, tkey long, start long, n long, content binary")
+
+
+def _windows(texts: DataFrame, r: Repeats) -> DataFrame:
+    """From texts with their wanted contexts: two hashes of every window in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw, offs in sliced(batches, "text", PIECE):
+            values, uoffs = _units(r, raw, offs)
+            for d, lists in enumerate(b.column("wanted")):
+                start, count, n = (lists.values.field(k).to_numpy() for k in ("start", "count", "n"))
+                at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
                 own = values(int(uoffs[d]), int(uoffs[d + 1]))
-                takes.append(np.full(len(at), d))
-                ones.append(Runs(own).hash(at, at + r.window).view(np.int64))
-                twos.append(Runs(mix(own)).hash(at, at + r.window).view(np.int64))
-                starts.append(at)
-                ns.append(np.repeat(n[mine], count[mine]))
-                pieces += [None] * len(at)
-            take = pa.array(np.concatenate(takes))
-            yield pa.record_batch(
-                [b.column("doc_id").take(take), b.column("tkey").take(take), *(pa.array(np.concatenate(x)) for x in (ones, twos, starts, ns)), pa.array(pieces, pa.binary())],
-                ["doc_id", "tkey", "anchor", "second", "start", "n", "content"],
-            )
+                one, two = (Runs(x).hash(at, at + r.window).view(np.int64) for x in (own, mix(own)))
+                take = pa.array(np.full(len(at), d))
+                yield pa.record_batch([b.column("doc_id").take(take), b.column("tkey").take(take), pa.array(one), pa.array(two), pa.array(at), pa.array(np.repeat(n, count))], ["doc_id", "tkey", "one", "two", "start", "n"])
 
-    return texts.mapInArrow(run, "doc_id long, tkey long, anchor long, second long, start long, n long, content binary")
+    return texts.mapInArrow(run, "doc_id long, tkey long, one long, two long, start long, n long")
 
 
 def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
     """Sorted contents, a whole anchor at a time, in shards of about shard_bytes; to ranges of windows that repeat."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-        meta, content, held, last = [], [], 0, None
+        meta, number, content, held, last = [], [], [], 0, None
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("anchor", "doc_id", "tkey", "start")]
-            for k, (anchor, *where) in enumerate(zip(*cols, strict=True)):
+            cols = [b.column(k).to_pylist() for k in ("n", "anchor", "doc_id", "tkey", "start")]
+            for k, (n, anchor, *where) in enumerate(zip(*cols, strict=True)):
                 if last == (anchor, where):  # of a repeated row; it must not precede itself
                     continue
                 if last and anchor != last[0] and held >= r.shard_bytes:
-                    yield meta, content, held
-                    meta, content, held = [], [], 0
+                    yield meta, number, content
+                    meta, number, content, held = [], [], [], 0
                 last = anchor, where
                 meta.append(where)
+                number.append(n)
                 content.append(np.frombuffer(b.column("content")[k].as_buffer(), np.int64 if r.words else np.uint8))
                 held += content[-1].nbytes
         if meta:
-            yield meta, content, held
+            yield meta, number, content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for meta, content, _ in shards(batches):
+        for meta, number, content in shards(batches):
             rows: tuple[list, list, list, list] = ([], [], [], [])
-            for (doc, tkey, start), mask in zip(meta, resolver(content, r.window), strict=True):
+            for (doc, tkey, start), mask in zip(meta, resolver(content, np.array(number), r.window), strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     for out, x in zip(rows, (doc, tkey, start + a, b - a), strict=True):
@@ -163,7 +177,7 @@ def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
         release()
 
     near = contents.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").asc_nulls_first(), "start", "tkey")
-    return near.select("anchor", "doc_id", "tkey", "start", "content").mapInArrow(run, "doc_id long, tkey long, start long, count long")
+    return near.select("anchor", "doc_id", "tkey", "start", "n", "content").mapInArrow(run, "doc_id long, tkey long, start long, count long")
 
 
 def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] | None = None) -> DataFrame:
@@ -173,35 +187,34 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
     """
     staged = Staged(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tkey"), "text")
-    where = F.struct("doc_id", "start")
+    where, key = F.struct("doc_id", "start"), ["doc_id", "tkey"]
     found = _anchors(keyed, r)
     # 2: anchors that occur twice or more
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed"), F.min(where).alias("first"))
-    twice = staged.write(twice.filter("n > 1").drop("n"))
-    occ = staged.write(found.join(twice, "anchor"))
+    twice = staged.write(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
+    occ = staged.write(_salted(found, twice, ["anchor"], "n", ["doc_id", "start"]).drop("n"))
     staged.drop(twice)
-    rng = ["doc_id", "tkey", "start", "count"]
-    # 3: all contexts equal
-    whole = occ.filter("not mixed")
-    ranges = (whole.filter(where > F.col("first")) if r.later else whole).select(*rng)
-    # 4: the distinct contexts of the rest
-    mixed = occ.filter("mixed").drop("first")
-    ctx = mixed.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "count")).alias("first"))
-    ctx = staged.write(ctx)
-    same = mixed.join(ctx, ["anchor", "ctx"])
-    ranges = ranges.union((same.filter(where > F.struct("first.doc_id", "first.start")) if r.later else same.filter("n > 1")).select(*rng))
-    crowd = ctx.groupBy("anchor").agg((F.count("*") > r.hot).alias("hot"))
-    wanted = F.struct("anchor", "first.start", "first.count", "n", "hot").alias("w")
-    by_text = ctx.join(crowd, "anchor").select("first.doc_id", "first.tkey", wanted).groupBy("doc_id", "tkey").agg(F.collect_list("w").alias("wanted"))
-    same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
-    contents = _contents(keyed.join(by_text, same_text).select(keyed["doc_id"], keyed["tkey"], "text", "wanted"), r)
-    ranges = ranges.union(_resolve(contents.filter("content is not null"), r, resolver))
-    # 5: windows one by one
-    win = contents.filter("content is null").drop("content")
-    total = win.groupBy("anchor", "second").agg(F.sum("n").alias("total"), F.min(where).alias("first"))
-    per = win.join(total, ["anchor", "second"])
-    per = per.filter(where > F.col("first")) if r.later else per.filter("total > 1")
-    ranges = ranges.union(per.select("doc_id", "tkey", "start", F.lit(1).cast("long")))
+    # 3: the distinct contexts; but for its first place, a context repeats as a whole
+    ctx = staged.write(occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "count")).alias("first")))
+    same = _salted(occ, ctx, ["anchor", "ctx"], "n", ["doc_id", "start"])
+    ranges = same.filter(where > F.struct("first.doc_id", "first.start")).select(*key, "start", "count")
+    # 4: the contents of the first places
+    size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
+    n_hot = size.filter(F.col("size") > r.hot).count()
+    sized = _salted(ctx, size, ["anchor"], "size", ["ctx"])
+    by_text = lambda c: c.select("first.doc_id", "first.tkey", F.struct("anchor", "first.start", "first.count", "n").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("wanted"))
+
+    def wanting(c: DataFrame) -> DataFrame:
+        w = by_text(c)
+        return keyed.join(w, keyed["doc_id"].eqNullSafe(w["doc_id"]) & (keyed["tkey"] == w["tkey"])).select(keyed["doc_id"], keyed["tkey"], "text", "wanted")
+
+    ranges = ranges.union(_resolve(_contents(wanting(sized.filter(F.col("size") <= r.hot)), r), r, resolver))
+    if n_hot:
+        # 5: windows one by one; repeated rows count as one place
+        win = staged.write(_windows(wanting(sized.filter(F.col("size") > r.hot)), r).distinct())
+        total = staged.write(win.groupBy("one", "two").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.min(where).alias("first")))
+        per = _salted(win, total, ["one", "two"], "rows", ["doc_id", "start"])
+        per = per.filter(where > F.col("first")) if r.later else per.filter("total > 1")
+        ranges = ranges.union(per.select(*key, "start", F.lit(1).cast("long").alias("count")))
     by_text = ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
     if carry is None:

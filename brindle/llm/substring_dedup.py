@@ -62,8 +62,8 @@ class SuffixAutomaton:
         return length[link[cur]]
 
 
-def repeats_earlier(contexts: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each context, in order, the windows that occur earlier, in it or in those before."""
+def repeats_earlier(contexts: list[np.ndarray], number: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each context, in order, the windows that occur earlier, in it or in those before; its further copies don't matter."""
     sam, out = SuffixAutomaton(), []
     for k, tokens in enumerate(contexts):
         sam.extend(k + 0.5)  # a number that no word has keeps matches within a context

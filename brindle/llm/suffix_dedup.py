@@ -110,11 +110,11 @@ class RunLengthIndex:
         return best
 
 
-def repeats_anywhere(contexts: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each of the distinct contexts, the windows that occur elsewhere, in it or in the others."""
+def repeats_anywhere(contexts: list[np.ndarray], number: np.ndarray, window: int) -> list[np.ndarray]:
+    """For each of the distinct contexts, the windows that occur elsewhere: in it, in the others, or in one more of its kind."""
     index = RunLengthIndex(contexts)
     long = index.matches() >= window
-    return [long[e - 1 - len(c) : e - window] for c, e in zip(contexts, index.ends.tolist(), strict=True)]
+    return [long[e - 1 - len(c) : e - window] | (n > 1) for c, n, e in zip(contexts, number.tolist(), index.ends.tolist(), strict=True)]
 
 
 @dataclass(frozen=True)

@@ -138,9 +138,10 @@ def test_automaton_and_index_against_brute_force():
             strings.append(np.array(s, np.uint8))
         windows = [[bytes(s[i : i + w]) for i in range(len(s) - w + 1)] for s in strings]
         number, seen = Counter(itertools.chain(*windows)), set()
-        for mask, own in zip(suffix_dedup.repeats_anywhere(strings, w), windows, strict=True):
-            assert mask.tolist() == [number[x] > 1 for x in own]
-        for mask, own in zip(substring_dedup.repeats_earlier([s.astype(np.int64) for s in strings], w), windows, strict=True):
+        copies = np.array([rnd.choice((1, 1, 2)) for _ in strings])
+        for mask, own, n in zip(suffix_dedup.repeats_anywhere(strings, copies, w), windows, copies, strict=True):
+            assert mask.tolist() == [number[x] > 1 or n > 1 for x in own]
+        for mask, own in zip(substring_dedup.repeats_earlier([s.astype(np.int64) for s in strings], copies, w), windows, strict=True):
             for x, m in zip(own, mask.tolist(), strict=True):
                 assert m == (x in seen)
                 seen.add(x)
