@@ -129,6 +129,12 @@ def bbox_in_crop(b: Column | str, window: Column | str) -> Column:
     return let(let(_c(window), relative), lambda r: F.when((r["x2"] > r["x1"]) & (r["y2"] > r["y1"]), r))
 
 
+def box_in_image(b: Column | str, w: Column | str, h: Column | str) -> Column:
+    """The box relative to the whole image, in [0, 1]; null without a size or if nothing of it is left."""
+    b, w, h = _c(b), _c(w), _c(h)
+    return F.when((w > 0) & (h > 0), bbox_in_crop(b, box(F.lit(0), F.lit(0), w, h, "int")))
+
+
 def polygon_in_crop(pts: Column | str, window: Column | str) -> Column:
     pts = _c(pts)
 

@@ -1,17 +1,16 @@
-"""Walking JSON of unknown shape: a table function for its leaves, and coordinates in any of their usual forms.
+"""Walking JSON of unknown shape: table functions for its leaves and for all its entries, called LATERAL.
 
-These are Python, as the shape is unbounded: a UDTF called LATERAL, and an Arrow UDF.
+They are Python, as depth is unbounded and the order of a document counts, which a VARIANT, whose keys are sorted, has lost.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def leaves(value: object, max_depth: int = 8) -> Iterator[tuple[str, int, object]]:
@@ -43,85 +42,36 @@ class _Flatten:
                     yield n, p, d, k, type(v).__name__, None if v is None else json.dumps(v, ensure_ascii=False) if isinstance(v, (dict, list, bool)) else str(v)
 
 
+class _Entries:
+    def eval(self, text: str):
+        if text is None:
+            return
+        try:
+            value = json.loads(text.lstrip("\ufeff"))
+        except ValueError:
+            return
+        for n, rec in enumerate(value if isinstance(value, list) else [value]):
+            if not isinstance(rec, (dict, list)):
+                continue
+            at, todo = 0, deque([("", rec)])
+            while todo:
+                path, v = todo.popleft()
+                for k, x in v.items() if isinstance(v, dict) else ((None, x) for x in v):
+                    inner = path if k is None else f"{path}.{k}" if path else str(k)
+                    if k is not None:
+                        yield n, inner, at, type(x).__name__, x if isinstance(x, str) else None if x is None else json.dumps(x, ensure_ascii=False)
+                        at += 1
+                    if isinstance(x, (dict, list)):
+                        todo.append((inner, x))
+
+
 def register(spark: SparkSession) -> None:
-    """flatten_json(text) -> (record, path, depth, ord, type, value), for LATERAL joins in SQL."""
-    f = F.udtf(_Flatten, returnType="record int, path string, depth int, ord int, type string, value string")
-    spark.udtf.register("flatten_json", f)
-
-
-_NUMBER = re.compile(r"-?[0-9]+\.?[0-9]*")
-# Keys that wrap coordinates.
-WRAPPERS = ("location", "points", "coordinates", "vertices", "coord", "value", "data")
-
-
-def _float(*values: object) -> tuple[float, ...] | None:
-    try:
-        return tuple(float(v) for v in values)
-    except (TypeError, ValueError):
-        return None
-
-
-def _pairs(flat: list) -> list[tuple[float, float]]:
-    nums = [float(x) for x in flat if isinstance(x, (int, float)) and not isinstance(x, bool)]
-    return list(zip(nums[::2], nums[1::2], strict=True)) if len(nums) >= 4 and len(nums) % 2 == 0 else []
-
-
-def _of_object(v: dict) -> list[tuple[float, float]]:
-    low = {str(k).lower(): x for k, x in v.items()}
-    if "x1" in low and "y1" in low:
-        pts, i = [], 1
-        while f"x{i}" in low and f"y{i}" in low:
-            if p := _float(low[f"x{i}"], low[f"y{i}"]):
-                pts.append(p)
-            i += 1
-        if len(pts) >= 2:
-            return pts
-    if "x" in low and "y" in low:
-        if (p := _float(low["x"], low["y"])) is None:
-            return []
-        size = _float(low.get("width"), low.get("height"))
-        return [p, (p[0] + size[0], p[1] + size[1])] if size else [p]
-    inner = [low[k] for k in WRAPPERS if k in low] + [x for x in v.values() if isinstance(x, list) and x]
-    return next((pts for x in inner if (pts := points(x))), [])
-
-
-def points(v: object) -> list[tuple[float, float]]:
-    """Points of pairs, objects, flat lists, text, numbered objects, boxes with width and height, and wrappers of these."""
-    if isinstance(v, str):
-        return _pairs([float(x) for x in _NUMBER.findall(v)])
-    if isinstance(v, dict):
-        return _of_object(v)
-    if isinstance(v, list) and v:
-        if isinstance(v[0], dict):
-            return [p for d in v for p in points(d)]
-        if isinstance(v[0], list) and len(v[0]) >= 2:
-            return [p for x in v if isinstance(x, list) and len(x) >= 2 and (p := _float(x[0], x[1]))]
-        return _pairs(v)
-    return []
-
-
-POINTS = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-
-
-def as_xy():
-    """An Arrow UDF from JSON text to an array of points."""
-
-    @F.pandas_udf(POINTS)
-    def run(text):
-        import pandas as pd
-
-        def one(t: object) -> list[dict]:
-            if t is None:
-                return []
-            try:
-                v = json.loads(t)
-            except ValueError:
-                v = t
-            return [{"x": x, "y": y} for x, y in points(v)]
-
-        return pd.Series([one(t) for t in text])
-
-    return run
+    """For LATERAL joins in SQL: flatten_json(text) -> (record, path, depth, ord, type, value), the leaves;
+    json_entries(text) -> (record, path, ord, type, value), every key with what it holds, shallow ones first, lists and objects as JSON."""
+    leaf = F.udtf(_Flatten, returnType="record int, path string, depth int, ord int, type string, value string")
+    entry = F.udtf(_Entries, returnType="record int, path string, ord int, type string, value string")
+    spark.udtf.register("flatten_json", leaf)
+    spark.udtf.register("json_entries", entry)
 
 
 def find_first(rows, hints: list[str], exclude: list[str] | None = None, types: list[str] | None = None):

@@ -62,14 +62,17 @@ def sharpness_udf():
 
 
 def crop(image, window):
-    """The window's pixels of an image struct, as a new one (an Arrow UDF over image and window)."""
+    """The window's pixels of an image struct, as a new one (an Arrow UDF over image and window); nulls where either is missing or empty."""
 
     @F.pandas_udf("height int, width int, nChannels int, data binary")
     def run(im: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r, b in zip(im.itertuples(), w.itertuples(), strict=True):
-            a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[int(b.y1) : int(b.y2), int(b.x1) : int(b.x2)]
-            out.append((a.shape[0], a.shape[1], r.nChannels, a.tobytes()))
-        return pd.DataFrame(out, columns=["height", "width", "nChannels", "data"])
+            if not r.height or not r.height > 0 or not b.x2 > b.x1 or not b.y2 > b.y1:
+                out.append((None,) * 4)
+                continue
+            a = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.nChannels))[int(b.y1) : int(b.y2), int(b.x1) : int(b.x2)]
+            out.append((a.shape[0], a.shape[1], int(r.nChannels), a.tobytes()))
+        return pd.DataFrame(out, columns=["height", "width", "nChannels", "data"]).astype({"height": "Int32", "width": "Int32", "nChannels": "Int32"})
 
     return run(image, window)

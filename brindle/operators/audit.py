@@ -38,6 +38,29 @@ def floor_quantiles(rows: DataFrame, value: str, points: list[float]) -> DataFra
     return c.crossJoin(F.broadcast(total)).agg(*(F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in points))
 
 
+def area_profile(rows: DataFrame, value: str = "area_ratio") -> DataFrame:
+    """One row: n, p10, p25, p50, p75, p90 (floor rank), and the shares below 0.05 and 0.01; rounded to 4 and 3 places."""
+    known = rows.filter(F.col(value).isNotNull())
+    q = floor_quantiles(known, value, [0.1, 0.25, 0.5, 0.75, 0.9])
+    under = lambda x: F.round(F.avg((F.col(value) < x).cast("double")), 3)
+    g = known.agg(F.count("*").alias("n"), under(0.05).alias("under_5pct"), under(0.01).alias("under_1pct"))
+    return g.crossJoin(F.broadcast(q)).select("n", *(F.round(c, 4).alias(c) for c in q.columns), "under_5pct", "under_1pct")
+
+
+def sharpness_by_label(rows: DataFrame, blurry: float = 100.0, label: str = "label", value: str = "sharpness") -> DataFrame:
+    """label, n, median, share_blurry."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
+
+
+def sharpness_audit(rows: DataFrame, blurry: float = 100.0, label: str = "label", value: str = "sharpness", normal: str = NORMAL) -> DataFrame:
+    """One row: the median and the share of blurry images, the normal median over the median lesion median, and warnings."""
+    each = sharpness_by_label(rows, blurry, label, value)
+    ratio = F.max(F.when(F.col(label) == normal, F.col("median"))) / F.greatest(F.percentile(F.when(F.col(label) != normal, F.col("median")), F.lit(0.5)), F.lit(1e-9))
+    all_ = rows.filter(F.col(value).isNotNull()).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
+    out = all_.crossJoin(each.agg(ratio.alias("normal_over_lesion")))
+    return out.withColumn("uneven", F.coalesce((F.col("normal_over_lesion") > 1.6) | (F.col("normal_over_lesion") < 0.62), F.lit(False))).withColumn("many_blurry", F.col("share_blurry") > 0.3)
+
+
 def box_audit(rows: DataFrame) -> DataFrame:
     """rows(bbox, img_w, img_h) to one row: boxes out of bounds, the worst overflow, its share of the median height, a verdict."""
     over = rows.filter("bbox is not null").withColumn("_over", G.overflow("bbox", "img_w", "img_h")).withColumn("_bad", G.out_of_bounds("bbox", "img_w", "img_h"))
@@ -55,9 +78,18 @@ def window_sizes(rows: DataFrame, tag: str, img_size: int = 224, min_px: int = 6
     return q.select("n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "upscaled", (F.col("upscaled") > 0.5).alias("too_small"))
 
 
+def _visible(rows: DataFrame, tag: str) -> DataFrame:
+    return rows.filter("bbox is not null").withColumn("_w", G.crop_window("bbox", "img_w", "img_h", F.lit(tag))).filter("_w is not null").withColumn("v", G.visibility("bbox", "_w"))
+
+
+def visibility_by_label(rows: DataFrame, tag: str, label: str = "label") -> DataFrame:
+    """label, n, mostly_gone, median_visible."""
+    return _visible(rows, tag).groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"), F.percentile("v", F.lit(0.5)).alias("median_visible"))
+
+
 def visibility_loss(rows: DataFrame, tag: str, normal: str = NORMAL, label: str = "label") -> DataFrame:
     """One row: how much of the boxes a crop tag shows, and the recall that its losses still allow. A null label is a lesion."""
-    seen = rows.filter("bbox is not null").withColumn("_w", G.crop_window("bbox", "img_w", "img_h", F.lit(tag))).filter("_w is not null").withColumn("v", G.visibility("bbox", "_w"))
+    seen = _visible(rows, tag)
     les = ~F.col(label).eqNullSafe(normal)
     gone = F.coalesce(F.avg(F.when(les, (F.col("v") <= 0.1).cast("double"))), F.lit(0.0))
     return seen.agg(

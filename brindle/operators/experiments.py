@@ -36,12 +36,26 @@ def usable_band(rows: DataFrame, tolerances: list[float], x: str = "x", score: s
     return island.filter("_here").select(*by, "tolerance", "low", "high", "peak", "peak_at")
 
 
-def usable_shift(rows: DataFrame, tolerance: float, x: str = "x", score: str = "score") -> DataFrame:
-    """One row: the largest x up to which, from 0, every score is at least the one at 0 times (1 - tolerance)."""
-    base = rows.agg(F.max(F.when(F.col(x) == 0, F.col(score))).alias("base"))
-    bad = rows.crossJoin(base).withColumn("_bad", F.when(F.col(score) >= F.col("base") * (1 - tolerance), 0).otherwise(1))
-    run = bad.withColumn("_cum", F.sum("_bad").over(W.partitionBy("base").orderBy(x)))
-    return run.agg(F.coalesce(F.max(F.when((F.col("_cum") == 0) & (F.col(x) >= 0), F.col(x))), F.lit(0.0)).alias("usable_shift"))
+def usable_shift(rows: DataFrame, tolerance: float, x: str = "x", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """For each curve the largest x up to which, from 0, every score is at least the one at 0 times (1 - tolerance).
+
+    It lies before the first x whose score is too low, so a curve is two aggregations, however many points it has.
+    """
+    by = by or []
+    base = rows.groupBy(*by).agg(F.max(F.when(F.col(x) == 0, F.col(score))).alias("base"))
+    both = rows.join(base, by) if by else rows.crossJoin(base)
+    low = ~F.coalesce(F.col(score) >= F.col("base") * (1 - tolerance), F.lit(False))
+    first = both.groupBy(*by).agg(F.min(F.when(low, F.col(x))).alias("first"))
+    both = both.join(first, by) if by else both.crossJoin(first)
+    inside = (F.col(x) >= 0) & (F.col("first").isNull() | (F.col(x) < F.col("first")))
+    return both.groupBy(*by).agg(F.coalesce(F.max(F.when(inside, F.col(x))), F.lit(0.0)).alias("usable_shift"))
+
+
+def scores_by_condition(rows: DataFrame, condition: str = "condition", y: str = "y", pred: str = "pred") -> DataFrame:
+    """rows(condition, y, pred), a row per image and stress condition, to condition, n, accuracy, score (macro-F1 over the classes seen)."""
+    sides = F.array(F.struct(F.col(y).alias("c"), F.lit(1).alias("s"), F.lit(0).alias("p"), (F.col(y) == F.col(pred)).cast("int").alias("t")), F.struct(F.col(pred).alias("c"), F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("t")))
+    per = rows.select(condition, F.explode(sides).alias("x")).select(condition, "x.*").groupBy(condition, "c").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    return per.groupBy(condition).agg(F.sum("s").alias("n"), (F.sum("t") / F.sum("s")).alias("accuracy"), F.avg(2 * F.col("t") / (F.col("s") + F.col("p"))).alias("score"))
 
 
 def occupancy(zoom: Column | str, margin: float) -> Column:

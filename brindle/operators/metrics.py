@@ -79,15 +79,15 @@ def threshold_at_recall(curve: DataFrame, target: float = 0.95) -> DataFrame:
 def macro_auroc(rows: DataFrame, probs: str = "probs", y: str = "y") -> DataFrame:
     """One row: the mean over classes of one-against-rest AUROC; null if a class can't be measured.
 
-    All classes are ranked in one pass, grouped by class and score; a class's scores are one window.
+    All classes are ranked in one running sum over (class, score), so a class is dealt out like all else.
     """
-    from pyspark.sql.window import Window as W
-
     long = rows.select(F.col(y).alias("y"), F.posexplode(probs).alias("class", "score"))
-    g = long.groupBy("class", "score").agg(F.count_if(F.col("y") == F.col("class")).alias("tp"), F.count("*").alias("n"))
-    lower = F.coalesce(F.sum(F.col("n") - F.col("tp")).over(W.partitionBy("class").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = g.withColumn("w", F.col("tp") * (lower + (F.col("n") - F.col("tp")) / 2.0)).groupBy("class").agg(F.sum("w").alias("w"), F.sum("tp").alias("pos"), F.sum(F.col("n") - F.col("tp")).alias("neg"))
-    a = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("w") / (F.col("pos").cast("double") * F.col("neg")))
+    g = long.groupBy("class", "score").agg(F.count_if(F.col("y") == F.col("class")).alias("tp"), F.count("*").alias("n")).withColumn("fp", F.col("n") - F.col("tp"))
+    ranked = running_sums(g, [F.col("class"), F.col("score")], {"upto": "fp"})
+    # negatives up to and with this score, of this class and of those before it
+    c = ranked.groupBy("class").agg(F.sum(F.col("tp") * (F.col("upto") - F.col("fp") / 2.0)).alias("w"), F.sum("tp").alias("pos"), F.sum("fp").alias("neg"), F.max("upto").alias("end"))
+    before = F.col("end") - F.col("neg")
+    a = F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("w") - F.col("pos") * before) / (F.col("pos").cast("double") * F.col("neg")))
     return c.agg(F.when(F.count("*") == F.count(a), F.avg(a)).alias("macro_auroc"))
 
 

@@ -10,6 +10,7 @@ from brindle.functions import geometry as G
 from brindle.functions import scalars as S
 
 
+# Fixed values of the confirmed schema: keys 'Raw data ID', '합성유무' and the others named below.
 def parse_records(records: DataFrame, text: str = "json", path: str = "json_path") -> DataFrame:
     """Label records of the confirmed schema, objects or arrays of them, to manifest columns.
 
@@ -50,19 +51,20 @@ def unparsed(records: DataFrame, text: str = "json") -> DataFrame:
     return records.agg(F.count_if(F.col(text).isNotNull() & F.try_parse_json(F.regexp_replace(text, "^﻿", "")).isNull()).alias("n_unparsed"))
 
 
-def match_images(records: DataFrame, images: DataFrame, name: str = "image_name", record_path: str = "json_path", image_path: str = "image_path") -> DataFrame:
+def match_images(records: DataFrame, images: DataFrame, name: str = "image_name", record_path: str = "json_path", image_path: str = "image_path", within: list[str] | None = None) -> DataFrame:
     """records with the image of their name, else of their stem, that shares most path components; unmatched ones go.
 
-    Equal images: the first path.
+    Equal images: the first path. within: columns of both sides that must be equal. Equal records are compared once, whatever
+    their number, and rows are told apart by what they hold, so a lost executor can't renumber them.
     """
-    keys = images.select(image_path, F.explode(F.array(F.struct(S.file_name(image_path).alias("k"), F.lit(0).alias("rank")), F.struct(S.stem(image_path).alias("k"), F.lit(1).alias("rank")))).alias("m")).select(image_path, "m.k", "m.rank")
-    keys = keys.dropDuplicates([image_path, "k"])
-    left = records.withColumn("_id", F.monotonically_increasing_id()) if "row_id" not in records.columns else records.withColumn("_id", F.col("row_id"))
-    want = left.select("_id", record_path, F.explode(F.array(F.struct(F.col(name).alias("k"), F.lit(0).alias("want")), F.struct(S.stem(name).alias("k"), F.lit(1).alias("want")))).alias("w")).select("_id", record_path, "w.k", "w.want")
+    within = within or []
+    keys = images.select(image_path, *within, F.explode(F.array(S.file_name(image_path), S.stem(image_path))).alias("k")).distinct()
+    sought = records.select(name, record_path, *within).distinct()
+    want = sought.select(name, record_path, *within, F.explode(F.array(F.struct(F.col(name).alias("k"), F.lit(0).alias("want")), F.struct(S.stem(name).alias("k"), F.lit(1).alias("want")))).alias("w")).select(name, record_path, *within, "w.k", "w.want")
     parts = lambda p: F.array_distinct(F.split(p, r"[/\\]"))
-    both = want.join(keys, "k").withColumn("overlap", F.size(F.array_intersect(parts(record_path), parts(image_path))))
-    best = both.groupBy("_id").agg(F.min(F.struct("want", (-F.col("overlap")).alias("o"), F.col(image_path).alias("p"))).alias("b")).select("_id", F.col("b.p").alias(image_path))
-    return left.join(best, "_id").drop("_id")
+    both = want.join(keys, ["k", *within]).withColumn("overlap", F.size(F.array_intersect(parts(record_path), parts(image_path))))
+    best = both.groupBy(name, record_path, *within).agg(F.min(F.struct("want", (-F.col("overlap")).alias("o"), F.col(image_path).alias("p"))).alias("b")).select(name, record_path, *within, F.col("b.p").alias(image_path))
+    return records.join(best, [name, record_path, *within])
 
 
 def scope(rows: DataFrame, species: str = "species_code", keep_species: str = "D", camera: str = "camera", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -135,7 +137,13 @@ def select_files(files: DataFrame, path: str, include: list[list[str]] | None =
 def fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row: n, and a digest of the rows in order of key. Equal content has equal digests."""
     line = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in [key, *columns])), 256)
-    # digests of 256 blocks of keys, each in key order, then of those: no task gathers all rows' digests
-    block = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2)
+    # digests of 65,536 blocks of keys, each in key order, then of those: no task gathers all rows' digests
+    block = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 4)
     per = rows.select(block.alias("b"), F.col(key).alias("k"), line.alias("h")).groupBy("b").agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"])), 256).alias("h"), F.count("*").alias("n"))
     return per.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"])), 256).alias("fingerprint"))
+
+
+def with_target(rows: DataFrame, classes: list[str], label: str = "label", path: str = "crop_path") -> DataFrame:
+    """Rows that have a path, with y: the number of their class, -1 for any other label."""
+    at = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string"))
+    return rows.filter(F.col(path).isNotNull()).withColumn("y", F.coalesce((at - 1).cast("int"), F.lit(-1)))

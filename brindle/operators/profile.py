@@ -28,6 +28,7 @@ AXIS_TOKENS = {
     "split": ("Training", "Validation", "Test", "TS", "TL", "VS", "VL"),
     "class": ("A1", "A2", "A3", "A4", "A5", "A6", "A7"),
 }
+# Endings of images.
 IMAGE_EXTENSIONS = ("bmp", "jpeg", "jpg", "png", "webp")
 
 
@@ -128,3 +129,25 @@ def id_sanity(rows: DataFrame, key: Column | str, least: float = 1.5) -> DataFra
 
 def size_histogram(images: DataFrame, w: str = "width", h: str = "height") -> DataFrame:
     return images.groupBy(F.concat(F.col(w), F.lit("x"), F.col(h)).alias("value")).agg(F.count("*").alias("n"))
+
+
+def key_uniques(leaves: DataFrame, k: int = 120) -> DataFrame:
+    """From flatten_json rows(id, path, type, value): path, n, n_unique, rows_per_value, and whether the key may name individuals.
+
+    Only text and numbers count. Fewest values first.
+    """
+    g = leaves.filter(F.col("type").isin("str", "int", "float")).groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_unique"))
+    n = leaves.agg(F.countDistinct("id").alias("files"))
+    per = F.col("files") / F.greatest("n_unique", F.lit(1))
+    out = g.crossJoin(F.broadcast(n)).select("path", "n", "n_unique", per.alias("rows_per_value"), ((per >= 1.5) & (per <= 200) & (F.col("n_unique") > 3)).alias("may_be_id"))
+    return out.orderBy("n_unique", "path").limit(k)
+
+
+def diagnose(files: DataFrame, leaves: DataFrame, path: str = "path") -> dict[str, DataFrame]:
+    """What to look at before a schema is settled: segments by depth, axes, distinct values of keys, coordinate keys, name shapes."""
+    place = F.lower("path").rlike("box|poly|point|loca|coord|x|y|width|height|size")
+    return {
+        "segments": depth_segments(files, path, 12), "axes": axis_hits(files, AXIS_TOKENS, path), "keys": key_uniques(leaves),
+        "geometry": leaves.filter(place).groupBy("path").agg(F.min("value").alias("least"), F.max("value").alias("most")),
+        "shapes": name_shapes(files.select(S.stem(path).alias("name")), "name", 6), "tokens": id_token_candidates(files.select(S.stem(path).alias("name")), "name"),
+    }

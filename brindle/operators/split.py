@@ -128,3 +128,14 @@ def sample_per_label(rows: DataFrame, key: str, label: str, n: int | None = None
     ranked = rows.withColumn("_r", F.row_number().over(by.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)))
     limit = F.lit(n) if n is not None else F.bround(F.lit(fraction) * F.count("*").over(by))
     return ranked.withColumn("_n", limit).filter("_r <= _n").drop("_r", "_n")
+
+
+def group_stats(rows: DataFrame, group: str = "group") -> DataFrame:
+    """One row: groups, rows, rows_per_group, and whether groups are hardly larger than rows."""
+    per = F.count("*") / F.nullif(F.countDistinct(group), F.lit(0))
+    return rows.agg(F.countDistinct(group).alias("groups"), F.count("*").alias("rows"), per.alias("rows_per_group"), F.coalesce(per < 1.2, F.lit(False)).alias("warn"))
+
+
+def sample_uniform(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows, or all if they are fewer: those whose digest of seed and key is smallest, on any number of machines the same."""
+    return rows.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)

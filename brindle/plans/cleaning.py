@@ -134,7 +134,7 @@ def file_coverage(spark, sf):
     return spark.createDataFrame([(got,)], "coverage double")
 
 
-@query("""WITH l AS (SELECT doc_id, substr(sha256(doc_id::VARCHAR), 1, 2) AS b, sha256(doc_id::VARCHAR || chr(31) || coalesce(source, chr(0)) || chr(31) || coalesce(lang, chr(0))) AS h FROM documents),
+@query("""WITH l AS (SELECT doc_id, substr(sha256(doc_id::VARCHAR), 1, 4) AS b, sha256(doc_id::VARCHAR || chr(31) || coalesce(source, chr(0)) || chr(31) || coalesce(lang, chr(0))) AS h FROM documents),
 p AS (SELECT b, sha256(string_agg(h, '' ORDER BY doc_id)) AS h, count(*) AS n FROM l GROUP BY b) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM p""")
 def content_fingerprint(spark, sf):
     return N.fingerprint(table(spark, sf, "documents"), "doc_id", ["source", "lang"])
@@ -157,3 +157,36 @@ def stratified_fraction(spark, sf):
     from brindle.operators.split import sample_per_label
 
     return sample_per_label(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", fraction=0.1, seed=7).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42' || doc_id), doc_id LIMIT 50")
+def uniform_sample(spark, sf):
+    from brindle.operators.split import sample_uniform
+
+    return sample_uniform(table(spark, sf, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query("SELECT count(DISTINCT source) AS groups, count(*) AS rows, count(*) / count(DISTINCT source)::DOUBLE AS rows_per_group, count(*) / count(DISTINCT source)::DOUBLE < 1.2 AS warn FROM documents")
+def group_stats(spark, sf):
+    from brindle.operators.split import group_stats as stats
+
+    return stats(table(spark, sf, "documents").select(F.col("source").alias("group")))
+
+
+@query("SELECT doc_id, coalesce(list_position(['en', 'de', 'fr'], lang) - 1, -1)::INT AS y FROM documents WHERE source IS NOT NULL")
+def with_target(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"), F.col("source").alias("crop_path"))
+    return N.with_target(d, ["en", "de", "fr"]).select("doc_id", "y")
+
+
+_CROP = "'full/' || substr(md5(url), 1, 2) || '/' || regexp_replace(regexp_replace(url, '^.*/', ''), '\\.[^.]*$', '') || '_' || substr(md5(url), 1, 12) || '.jpg'"
+
+
+@query(f"SELECT page_id, {_CROP} AS crop_rel, '/crops/' || {_CROP} AS crop_path, 'full' AS crop_tag FROM pages WHERE {_CROP} IN (SELECT {_CROP} FROM pages WHERE page_id % 50 <> 0)")
+def switch_tag(spark, sf):
+    """Most crops of another tag are there."""
+    from brindle.sources.crops import switch_tag as switch
+
+    p = table(spark, sf, "pages").select("page_id", F.col("url").alias("image_path"))
+    there = p.filter("page_id % 50 <> 0").select(F.concat(F.lit("/crops/"), S.crop_path("image_path", F.lit("full"))).alias("path"))
+    return switch(p, there, "/crops", "full").select("page_id", "crop_rel", "crop_path", "crop_tag")

@@ -248,9 +248,27 @@ def usable_band(spark, sf):
     return X.usable_band(curves(spark, sf), [0.1, 0.2], by=["event_type"])
 
 
-@query(f"""WITH {_CURVES}, v AS (SELECT x, score FROM c WHERE event_type = 'view'), b AS (SELECT x, sum((score < 0.8 * (SELECT score FROM v WHERE x = 0))::INT) OVER (ORDER BY x) AS bad FROM v) SELECT coalesce(max(x) FILTER (bad = 0), 0) AS usable_shift FROM b""")
+@query(f"""WITH {_CURVES}, z AS (SELECT event_type, score AS base FROM c WHERE x = 0), b AS (SELECT event_type, x, sum(coalesce(score < 0.8 * base, true)::INT) OVER (PARTITION BY event_type ORDER BY x) AS bad FROM c LEFT JOIN z USING (event_type))
+SELECT event_type, coalesce(max(x) FILTER (bad = 0), 0) AS usable_shift FROM b GROUP BY 1""")
 def usable_shift(spark, sf):
-    return X.usable_shift(curves(spark, sf).filter("event_type = 'view'"), 0.2)
+    return X.usable_shift(curves(spark, sf), 0.2, by=["event_type"])
+
+
+@query("""WITH e AS (SELECT vec_id % 4 AS condition, label AS y, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS pred FROM embeddings),
+x AS (SELECT condition, y AS c, 1 AS s, 0 AS p, (y = pred)::INT AS t FROM e UNION ALL SELECT condition, pred, 0, 1, 0 FROM e),
+g AS (SELECT condition, c, sum(s) AS s, sum(p) AS p, sum(t) AS t FROM x GROUP BY ALL)
+SELECT condition, sum(s)::BIGINT AS n, sum(t) / sum(s)::DOUBLE AS accuracy, avg(2 * t / (s + p)::DOUBLE) AS score FROM g GROUP BY 1""")
+def scores_by_condition(spark, sf):
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("condition"), F.col("label").alias("y"), V.argmax(F.slice("embedding", 1, 10)).alias("pred"))
+    return X.scores_by_condition(e)
+
+
+@query("""WITH m AS (SELECT 'm' || (vec_id % 5) AS model, label % 3 AS cls, avg(embedding[1]::DOUBLE + 0.5) AS recall FROM embeddings GROUP BY ALL),
+g AS (SELECT model, list(recall ORDER BY cls) AS recalls, min(recall) AS min_recall, sum(recall) AS macro_f1 FROM m GROUP BY 1) SELECT model, recalls, macro_f1, min_recall FROM g""")
+def model_comparison(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("m"), (F.col("vec_id") % 5).cast("string")).alias("model"), (F.col("label") % 3).alias("cls"), (F.element_at("embedding", 1).cast("double") + 0.5).alias("x"))
+    r = e.groupBy("model", "cls").agg(F.avg("x").alias("recall")).groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "recall"))), lambda s: s["recall"]).alias("recalls"), F.sum("recall").alias("macro_f1"))
+    return M.compare_models(r).select("model", "recalls", "macro_f1", "min_recall")
 
 
 @query(f"""WITH {_CURVES}, r AS (SELECT (x::INT % 2) AS stage, event_type AS run, avg(score) AS score, (max(score) - min(score)) / max(score) AS scale_drop FROM c GROUP BY ALL),

@@ -142,3 +142,48 @@ def mean_visibility(spark, sf):
 def heat_overlap(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("heat"), F.lit(8).alias("w"), G.box(F.lit(0.25), F.lit(0.25), F.lit(0.75), F.lit(0.75)).alias("bbox"))
     return audit.overlap_score(e).select("vec_id", F.round("lift", 6).alias("lift"))
+
+
+@query(f"""WITH {_BOX}, v AS (SELECT label, greatest(least(x2, 1500) - greatest(x1, 420), 0) * greatest(least(y2, 1080) - greatest(y1, 0), 0) / greatest((x2 - x1) * (y2 - y1), 1e-9::DOUBLE) AS v FROM b WHERE has)
+SELECT label, count(*) AS n, round(avg((v <= 0.1)::INT), 6) AS mostly_gone, round(median(v), 6) AS median_visible FROM v GROUP BY 1""")
+def visibility_by_label(spark, sf):
+    return audit.visibility_by_label(boxes(spark, sf), "full").select("label", "n", F.round("mostly_gone", 6).alias("mostly_gone"), F.round("median_visible", 6).alias("median_visible"))
+
+
+@query(f"""WITH {_BOX}, r AS (SELECT k, ln, {_clip("x1 / iw")} AS rx1, {_clip("y1 / ih")} AS ry1, {_clip("x2 / iw")} AS rx2, {_clip("y2 / ih")} AS ry2 FROM b WHERE has)
+SELECT k, ln, round(rx1, 10) AS rx1, round(ry1, 10) AS ry1, round(rx2, 10) AS rx2, round(ry2, 10) AS ry2 FROM r WHERE rx2 > rx1 AND ry2 > ry1""")
+def box_in_image(spark, sf):
+    r = boxes(spark, sf).select("k", "ln", G.box_in_image("bbox", "img_w", "img_h").alias("r")).filter("r is not null")
+    return r.select("k", "ln", *(F.round(f"r.{c}", 10).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS x1, p_size + 0.5::DOUBLE AS y1, p_size + 3.0::DOUBLE AS x2, p_size + 4.5::DOUBLE AS y2 FROM part WHERE p_size % 5 <> 0")
+def box_of_corner_and_size(spark, sf):
+    s = F.col("p_size")
+    b = G.xywh_box(s.cast("double"), s + 0.5, F.when(s % 5 != 0, F.lit(3.0)), F.lit(4.0))
+    return table(spark, sf, "part").select("p_partkey", b.alias("b")).filter("b is not null").select("p_partkey", "b.*")
+
+
+@query("""WITH s AS (SELECT n_chars / 7919.0::DOUBLE AS r, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT count(*) AS n, """ + ", ".join(f"round(max(r) FILTER (i = least(floor(n * {p}::DOUBLE), n - 1)), 4) AS p{round(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9)) + """, round(avg((r < 0.05)::INT), 3) AS under_5pct, round(avg((r < 0.01)::INT), 3) AS under_1pct FROM s""")
+def area_profile(spark, sf):
+    return audit.area_profile(table(spark, sf, "documents").select((F.col("n_chars") / 7919.0).alias("area_ratio")))
+
+
+_SHARP = "s AS (SELECT 'A' || (label % 7 + 1) AS label, abs(embedding[1]::DOUBLE) * 900 AS v FROM embeddings)"
+
+
+def _sharp(spark, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("A"), (F.col("label") % 7 + 1).cast("string")).alias("label"), (F.abs(F.element_at("embedding", 1).cast("double")) * 900).alias("sharpness"))
+
+
+@query(f"WITH {_SHARP} SELECT label, count(*) AS n, round(median(v), 6) AS median, round(avg((v < 100)::INT), 6) AS share_blurry FROM s GROUP BY 1")
+def sharpness_by_label(spark, sf):
+    return audit.sharpness_by_label(_sharp(spark, sf)).select("label", "n", F.round("median", 6).alias("median"), F.round("share_blurry", 6).alias("share_blurry"))
+
+
+@query(f"""WITH {_SHARP}, m AS (SELECT label, median(v) AS m FROM s GROUP BY 1), r AS (SELECT max(m) FILTER (label = 'A7') / greatest(median(m) FILTER (label <> 'A7'), 1e-9::DOUBLE) AS r FROM m)
+SELECT round(median(v), 6) AS median, round(avg((v < 100)::INT), 6) AS share_blurry, round(any_value(r), 6) AS normal_over_lesion, any_value(r) > 1.6 OR any_value(r) < 0.62 AS uneven, avg((v < 100)::INT) > 0.3 AS many_blurry FROM s, r""")
+def sharpness_audit(spark, sf):
+    a = audit.sharpness_audit(_sharp(spark, sf))
+    return a.select(*(F.round(c, 6).alias(c) for c in a.columns[:3]), "uneven", "many_blurry")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import json_walk
@@ -217,3 +217,101 @@ def size_budget_prefix(spark, sf):
 @query("""SELECT page_id, url FROM pages WHERE NOT contains(url, 'spam-farm') AND (contains(url, '/en/') OR NOT (contains(url, '/fr/') OR contains(url, '/de/')))""")
 def select_files(spark, sf):
     return normalize.select_files(pages(spark, sf), "url", include=[["/en/", "/fr/", "/de/"]], exclude=["spam-farm"]).select("page_id", "url")
+
+
+@query("""WITH f AS (SELECT lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)) AS e, strlen(html) AS n FROM pages)
+SELECT count(*) FILTER (e IN ('bmp', 'jpeg', 'jpg', 'png', 'webp')) AS images, count(*) FILTER (e = 'json') AS jsons, round(sum(n) / 1073741824.0::DOUBLE, 2) AS size_gb, count(*) FILTER (e IN ('bmp', 'jpeg', 'jpg', 'png', 'webp')) = 0 AS no_images FROM f""")
+def listing_verify(spark, sf):
+    return files.verify(pages(spark, sf))
+
+
+@query("""WITH l AS (SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM events, unnest(json_keys(props)) u(k))
+SELECT k AS path, count(*) AS n, count(DISTINCT v) AS n_unique, count(DISTINCT event_id) / count(DISTINCT v)::DOUBLE AS rows_per_value, count(DISTINCT event_id) / count(DISTINCT v)::DOUBLE BETWEEN 1.5 AND 200 AND count(DISTINCT v) > 3 AS may_be_id FROM l GROUP BY k""")
+def json_key_uniques(spark, sf):
+    return P.key_uniques(_leaves(spark, sf)[0])
+
+
+@query("SELECT 'k' || (p_size % 3) AS kind, sum(p_retailprice) AS gb, max(p_retailprice) AS largest, sum(p_retailprice) <= 1500 AS fits, max(p_retailprice) <= 1500 AS largest_fits FROM part GROUP BY 1")
+def label_size_plan(spark, sf):
+    p = table(spark, sf, "part").select(F.concat(F.lit("k"), (F.col("p_size") % 3).cast("string")).alias("kind"), F.col("p_retailprice").alias("gb"))
+    return files.label_plan(p, 1500.0)
+
+
+@query("SELECT (p_size % 5 + 1) * 100 || 'x' || (p_size % 3 + 1) * 50 AS value, count(*) AS n FROM part GROUP BY 1")
+def size_histogram(spark, sf):
+    return P.size_histogram(table(spark, sf, "part").select(((F.col("p_size") % 5 + 1) * 100).alias("width"), ((F.col("p_size") % 3 + 1) * 50).alias("height")))
+
+
+_RUNS = "SELECT page_id, '/root/' || CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END || '/run' || (page_id % 7) || '/' || CASE WHEN page_id % 3 = 0 THEN 'last.pt' ELSE 'best.pt' END AS path FROM pages"
+
+
+@query(f"SELECT DISTINCT split_part(path, '/', 4) AS name FROM ({_RUNS}) WHERE path LIKE '%/best.pt'")
+def run_names(spark, sf):
+    p = table(spark, sf, "pages")
+    path = F.concat(F.lit("/root/"), F.when(F.col("page_id") % 2 == 0, "a").otherwise("b"), F.lit("/run"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.when(F.col("page_id") % 3 == 0, "last.pt").otherwise("best.pt"))
+    listed = p.select(path.alias("path"))
+    return files.run_names([listed.filter(F.col("path").startswith("/root/a/")), listed.filter(F.col("path").startswith("/root/b/"))])
+
+
+@query("""SELECT o_orderkey, name FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '/d/download_20240101_120000.tar' WHEN 1 THEN '/d/TL01.ZIP' WHEN 2 THEN '/d/x.tar.gz' WHEN 3 THEN '/d/zip' ELSE '/d/a.tar' END AS name FROM orders) WHERE o_orderkey % 5 IN (1, 2, 4)""")
+def finished_archives(spark, sf):
+    k = F.col("o_orderkey") % 5
+    name = F.when(k == 0, "/d/download_20240101_120000.tar").when(k == 1, "/d/TL01.ZIP").when(k == 2, "/d/x.tar.gz").when(k == 3, "/d/zip").otherwise("/d/a.tar")
+    return files.archives(table(spark, sf, "orders").select("o_orderkey", name.alias("name")), "name")
+
+
+def _json(**parts) -> Column:
+    """JSON text of an object; values are columns of JSON text."""
+    out = [F.lit("{")]
+    for n, (k, v) in enumerate(parts.items()):
+        out += [F.lit((", " if n else "") + f'"{k}": '), v.cast("string")]
+    return F.concat(*out, F.lit("}"))
+
+
+def _quoted(*parts) -> Column:
+    return F.concat(F.lit('"'), *(p.cast("string") for p in parts), F.lit('"'))
+
+
+_CODE = "CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'A' || (p_size % 6 + 1) END"
+
+
+@query(f"""SELECT p_partkey AS id, 'img_' || p_partkey || '.jpg' AS image_name, {_CODE} AS label, (p_partkey % 17)::VARCHAR AS animal_id, (p_size + 100)::INT AS img_w, (p_size + 50)::INT AS img_h, p_size::DOUBLE AS x1, (p_size + 20)::DOUBLE AS x2, (p_size + 5)::DOUBLE AS y2 FROM part""")
+def record_fallback(spark, sf):
+    """Records of an unknown schema."""
+    from brindle.operators.fallback import extract
+
+    k, s = F.col("p_partkey"), F.col("p_size")
+    code = F.when(s % 4 == 0, F.lit('"none"')).otherwise(_quoted(F.lit("grade "), F.concat(F.lit("A"), (s % 6 + 1).cast("string"))))
+    box = F.concat(F.lit("["), F.concat_ws(", ", s.cast("string"), (s + 1).cast("string"), (s + 20).cast("string"), (s + 5).cast("string")), F.lit("]"))
+    text = _json(source=_json(file_name=_quoted(F.lit("dir/img_"), k, F.lit(".jpg")), width=s + 100, height=s + 50), finding=_json(disease=code, bbox=box), pet_id=k % 17)
+    json_walk.register(spark)
+    rows = table(spark, sf, "part").select(k.alias("id"), text.alias("json"))
+    entries = spark.sql("SELECT id, e.* FROM {rows}, LATERAL json_entries(json) e", rows=rows)
+    return extract(entries).select("id", "image_name", "label", "animal_id", "img_w", "img_h", "bbox.x1", "bbox.x2", "bbox.y2")
+
+
+@query("""SELECT 'VL/p' || p_partkey || '.json' AS json_path, 'p' || p_partkey || '.jpg' AS image_name, 'A' || (p_size % 7 + 1) AS label, 'G_D|b' || (p_size % 5) || '||F|2022' AS animal_id, 'D' AS species_code, (p_size + 200)::INT AS img_w, 100::INT AS img_h,
+(CASE WHEN p_size % 2 = 0 THEN 3 END)::INT AS corners, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE ELSE 1.0 END AS x1, CASE WHEN p_size % 2 = 0 THEN p_size + 10.0::DOUBLE ELSE 1.0 + p_size END AS x2, p_size % 7 = 6 AS is_normal, 1::INT AS n_lesion FROM part""")
+def record_parse(spark, sf):
+    """Records of the confirmed schema, with polygons and boxes."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    meta = _json(**{"Raw data ID": _quoted(F.lit("p"), k, F.lit(".jpg"))}, lesions=_quoted(F.lit("A"), s % 7 + 1), species=F.lit('"D"'), breed=_quoted(F.lit("b"), s % 5), gender=F.lit('"F"'), date=F.lit("2022"), resolution=_quoted(s + 200, F.lit("X100")))
+    polygon = _json(polygon=_json(location=F.concat(F.lit("["), _json(x1=s, y1=F.lit(1), x2=s + 10, y2=F.lit(2), x3=s + 5, y3=F.lit(30)), F.lit("]"))))
+    box = _json(box=_json(location=F.concat(F.lit("["), _json(x=F.lit(1), y=F.lit(2), width=s, height=F.lit(4)), F.lit("]"))))
+    text = _json(metaData=meta, labelingInfo=F.concat(F.lit("["), F.when(s % 2 == 0, polygon).otherwise(box), F.lit("]")))
+    rows = table(spark, sf, "part").select(F.concat(F.lit("VL/p"), k.cast("string"), F.lit(".json")).alias("json_path"), text.alias("json"))
+    out = normalize.parse_records(rows)
+    return out.select("json_path", "image_name", "label", "animal_id", "species_code", "img_w", "img_h", F.when(F.col("polygon").isNotNull(), F.size("polygon")).alias("corners"), "bbox.x1", "bbox.x2", "is_normal", "n_lesion")
+
+
+@query("""SELECT p_partkey, (CASE WHEN p_size % 4 = 3 THEN 3 ELSE 2 END)::INT AS n, p_size::DOUBLE AS x1, CASE WHEN p_size % 4 = 3 THEN 9.0::DOUBLE ELSE p_size + 7.0::DOUBLE END AS y_last FROM part""")
+def coordinate_forms(spark, sf):
+    """Points as pairs, as a box with a size, as text, and as numbered corners within a wrapper."""
+    from brindle.functions.points import as_xy
+
+    s = F.col("p_size")
+    t = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    forms = [t("[[", s, ", 1], [2, ", s + 7, "]]"), t('{"x": ', s, ', "y": 5, "width": 3, "height": ', s + 2, "}"), t(s, ",1 3,", s + 7), t('{"location": [{"x1": ', s, ', "y1": 1, "x2": 2, "y2": 3, "x3": 4, "y3": 9}]}')]
+    text = F.element_at(F.array(*forms), (s % 4 + 1).cast("int"))
+    pts = table(spark, sf, "part").select("p_partkey", as_xy(text).alias("p"))
+    return pts.select("p_partkey", F.size("p").alias("n"), F.col("p")[0]["x"].alias("x1"), F.element_at("p", -1)["y"].alias("y_last"))

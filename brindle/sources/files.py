@@ -68,9 +68,14 @@ def save_report(df: DataFrame, path: str) -> None:
 
 
 def append_history(df: DataFrame, path: str) -> None:
+    """A part file more, with its own header, which history() takes off again."""
     df.write.mode("append").option("header", "true").csv(path)
 
 
+def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 def cached_by_fingerprint(compute, root: str, digest: str, spark: SparkSession) -> DataFrame:
     """What compute() gave for this digest before, or now."""
     path = f"{root.rstrip('/')}/{digest}"
@@ -85,6 +90,7 @@ def parse_listing(lines: DataFrame, order: str = "line_no", text: str = "value",
 
     A row's folder is the last folder row before it (within `by`, if the text has parts).
     """
+    # The marks of a printed tree, the length of a folder's name, and rows that sum up.
     mark = r"^[\s│├└─|+\\\-]*"
     cut = F.split(text, r"\|")
     key = F.trim(F.element_at(cut, -1))
@@ -100,6 +106,7 @@ def parse_listing(lines: DataFrame, order: str = "line_no", text: str = "value",
 
 def archives(files: DataFrame, path: str = "path") -> DataFrame:
     """Archives that are no half-finished downloads."""
+    # Endings of archives and the name of a download's backup.
     return files.filter(F.lower(path).rlike(r"\.(zip|tar|tar\.gz|tgz)$") & ~S.file_name(path).rlike(r"^download_[0-9]{8}_[0-9]{6}\.tar$"))
 
 
@@ -110,21 +117,35 @@ class _Members(InputPartition):
 
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.suffixes = tuple(s.lower() for s in options.get("suffixes", "").split(",") if s)
+        words = lambda text: [w for w in text.split(",") if w]
+        self.paths = words(options.get("path", ""))
+        self.suffixes = tuple(s.lower() for s in words(options.get("suffixes", "")))
         self.slice = int(options.get("members", "2000"))
+        self.contents = options.get("contents", "true") == "true"
+        self.exclude = words(options.get("exclude", ""))
+        self.include = [words(axis) for axis in options.get("include", "").split(";") if axis]
+
+    def wanted(self, name: str) -> bool:
+        if self.suffixes and not name.lower().endswith(self.suffixes) or any(x in name for x in self.exclude):
+            return False
+        return all(axis[0] in name or not any(o in name for o in axis[1:]) for axis in self.include)
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
             with zipfile.ZipFile(p) as z:
-                names = [i.filename for i in z.infolist() if not i.is_dir() and (not self.suffixes or i.filename.lower().endswith(self.suffixes))]
+                names = [i.filename for i in z.infolist() if not i.is_dir() and self.wanted(i.filename)]
             out += [_Members(p, names[k : k + self.slice]) for k in range(0, len(names), self.slice)]
         return out
 
-    def read(self, part: _Members) -> Iterator[tuple]:
+    def read(self, part: _Members | None) -> Iterator[tuple]:
+        if part is None:  # no member is wanted
+            return
         with zipfile.ZipFile(part.path) as z:
             for n in part.names:
+                if not self.contents:
+                    yield part.path, n, z.getinfo(n).file_size, None
+                    continue
                 try:
                     data = z.read(n)
                 except (zipfile.BadZipFile, OSError):
@@ -135,7 +156,9 @@ class ZipReader(DataSourceReader):
 class ZipSource(DataSource):
     """format('zip_members'): zip_path, zip_member, length, content, read through the central directory without unpacking.
 
-    Options: path (several with commas, in storage that the workers see as files), suffixes, members (a task's share).
+    Options: path (several with commas, in storage that the workers see as files), suffixes, members (a task's share),
+    contents (false: null), include (axes with semicolons, each words with commas: the wanted one, then its others), exclude
+    (words). Members that these leave out are not read.
     """
 
     @classmethod
@@ -149,6 +172,73 @@ class ZipSource(DataSource):
         return ZipReader(dict(self.options))
 
 
+# The fields of a saved profile.
+REPORT = "root string, scanned_at string, n_images long, n_jsons long, size_gb double, has_normal boolean, class_counts map<string,long>, resolutions map<string,long>, lesion_area map<string,double>, field_guess map<string,string>, warnings array<string>"
+
+
+def load_report(spark: SparkSession, path: str, schema: str = REPORT) -> DataFrame:
+    """What save_report() wrote, by a given schema: unknown keys are ignored, missing ones are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def peek(files: DataFrame, path: str = "path", size: str = "length", samples: int = 30) -> DataFrame:
+    """One row: images, jsons, files, size_gb, what to do next, and the first paths."""
+    kind = S.extension(path)
+    first = F.slice(F.array_sort(F.collect_list(F.col("p"))), 1, samples)
+    some = files.select(F.col(path).alias("p")).orderBy("p").limit(samples).agg(first.alias("samples"))
+    g = files.agg(F.count_if(kind.isin(*IMAGE_EXTENSIONS)).alias("images"), F.count_if(kind == "json").alias("jsons"), F.count("*").alias("files"), (F.coalesce(F.sum(size), F.lit(0)) / float(1 << 30)).alias("size_gb"))
+    advice = F.when((F.col("images") > 0) & (F.col("jsons") > 0), "complete").when(F.col("jsons") > 0, "images are missing").when(F.col("images") > 0, "labels are missing").otherwise("nothing usable")
+    return g.withColumn("advice", advice).crossJoin(F.broadcast(some))
+
+
+def verify(files: DataFrame, path: str = "path", size: str = "length") -> DataFrame:
+    """One row: images, jsons, size_gb (rounded to hundredths), and a warning if there is no image."""
+    return peek(files, path, size, 1).select("images", "jsons", F.round("size_gb", 2).alias("size_gb"), (F.col("images") == 0).alias("no_images"))
+
+
+def has_usable_data(files: DataFrame, least: int = 1, path: str = "path") -> bool:
+    """Whether there are `least` images, labels or finished archives; looks no further than those. Runs a job."""
+    usable = files.filter(S.extension(path).isin(*IMAGE_EXTENSIONS, "json")).select(path).union(archives(files, path).select(path))
+    return usable.limit(least).count() >= least
+
+
+def label_plan(files: DataFrame, free_gb: float, kind: str = "kind", gb: str = "gb") -> DataFrame:
+    """kind, gb, largest, fits (all of it), largest_fits: whether the archives of a kind fit the free space."""
+    return files.groupBy(kind).agg(F.sum(gb).alias("gb"), F.max(gb).alias("largest")).withColumn("fits", F.col("gb") <= free_gb).withColumn("largest_fits", F.col("largest") <= free_gb)
+
+
+def prepared_tags(listing: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
+    """tag, root, n_files: the crop folders 'root/.../crops/tag/file' that hold images, from the first root that has each.
+
+    Empty folders hide nothing, and folders go before archives of the same tag ('crops_tag.zip', n_files null).
+    """
+    rank = F.coalesce(*(F.when(F.col(path).startswith(r.rstrip("/") + "/"), F.lit(k)) for k, r in enumerate(roots)))
+    tag = F.regexp_extract(path, r"/crops/([^/]+)/", 1)
+    dirs = listing.filter(S.extension(path).isin(*IMAGE_EXTENSIONS) & (tag != "")).select(rank.alias("rank"), tag.alias("tag")).filter("rank is not null").groupBy("tag", "rank").agg(F.count("*").alias("n_files"))
+    packed = F.regexp_extract(S.file_name(path), r"^crops_(.+)\.zip$", 1)
+    zips = listing.filter(packed != "").select(packed.alias("tag"), rank.alias("rank"), F.lit(None).cast("long").alias("n_files")).filter("rank is not null").distinct()
+    best = dirs.unionByName(zips).groupBy("tag").agg(F.min(F.struct(F.col("n_files").isNull().alias("packed"), "rank", "n_files")).alias("b"))
+    return best.select("tag", F.element_at(F.array(*map(F.lit, roots)), (F.col("b.rank") + 1).cast("int")).alias("root"), F.col("b.n_files").alias("n_files"))
+
+
+def runs(listing: DataFrame, checkpoint: str = "best.pt", path: str = "path") -> DataFrame:
+    """name: the folders that hold a checkpoint."""
+    return listing.filter(S.file_name(path) == checkpoint).select(F.element_at(F.split(path, "/"), -2).alias("name")).distinct()
+
+
+def run_names(listings: list[DataFrame]) -> DataFrame:
+    """The runs of several roots, each name once."""
+    out = runs(listings[0])
+    for x in listings[1:]:
+        out = out.union(runs(x))
+    return out.distinct()
+
+
+def import_files(there: DataFrame, incoming: DataFrame, key: str = "name") -> DataFrame:
+    """The incoming rows whose key is not there yet: existing files win."""
+    return incoming.join(there.select(key).distinct(), key, "left_anti")
+
+
 def merge_prepared(inputs: list[DataFrame], tag: str, key: str) -> DataFrame:
     """Prepared inputs in order of preference: for each tag the first input that has any of it, files of one name once."""
     from brindle.operators.normalize import keep_first

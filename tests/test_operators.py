@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import geometry as G
 from brindle.functions import json_walk
 from brindle.functions import pixels
+from brindle.functions import points as PT
 from brindle.functions import scalars as S
 from brindle.functions import vectors as V
 from brindle.operators import calibration as C
@@ -283,20 +284,23 @@ def test_label_records(spark):
     assert one(N.unparsed(raw))["n_unparsed"] == 1
 
 
-def test_coordinates():
-    want = [(1.0, 2.0), (3.0, 4.0)]
-    for v in ([[1, 2], [3, 4]], [{"x": 1, "y": 2}, {"x": 3, "y": 4}], [1, 2, 3, 4], "1,2 3,4", {"x1": 1, "y1": 2, "x2": 3, "y2": 4}, {"x": 1, "y": 2, "width": 2, "height": 2}, {"polygon": 0, "location": [[1, 2], [3, 4]]}):
-        assert json_walk.points(v) == want, v
-    assert json_walk.points({}) == json_walk.points([]) == json_walk.points(None) == []
+def test_coordinates(spark):
+    import json
+
+    two = [(1.0, 2.0), (3.0, 4.0)]
+    cases = [
+        ([[1, 2], [3, 4]], two), ([{"x": 1, "y": 2}, {"x": 3, "y": 4}], two), ([1, 2, 3, 4], two), ({"x1": 1, "y1": 2, "x2": 3, "y2": 4}, two),
+        ({"X1": "1", "Y1": 2.0, "x2": 3, "y2": 4, "x4": 9, "y4": 9}, two), ({"x": 1, "y": 2, "width": 2, "height": 2}, two), ({"x": "1", "y": 2}, two[:1]),
+        ({"polygon": 0, "location": [[1, 2], [3, 4]]}, two), ({"points": {"data": [{"x": 1, "y": 2}, {"x": 3, "y": 4}]}}, two), ({"other": [], "shape": [[1, 2], [3, 4], "x", [5]]}, two),
+        ([[1, 2], ["a", 3], [3, 4]], two), ({"x": "a", "y": 2}, []), ([1, 2, 3], []), ({}, []), ([], []), (7, []), (True, []), ("1,2 3,4", two), ("-1.5;2 3,4 5", []),
+    ]
+    rows = [(k, json.dumps(v)) for k, (v, _) in enumerate(cases)] + [(100, "1,2 3,4"), (101, None), (102, "null")]
+    got = {r["k"]: [tuple(p) for p in r["p"]] for r in spark.createDataFrame(rows, "k int, t string").select("k", PT.as_xy("t").alias("p")).collect()}
+    assert got == {**{k: want for k, (_, want) in enumerate(cases)}, 100: two, 101: [], 102: []}
     flat = list(json_walk.leaves({"a": {"b": [{"c": 1}, {"c": 2}], "e": []}, "d": None, "f": {}}))
     assert [(p, v) for p, _, v in flat] == [("a.b[].c", 1), ("a.e[]", None), ("d", None)]
 
 
-def test_coordinate_udf(spark):
-    df = spark.createDataFrame([('[[1,2],[3,4]]',), ("1,2 3,4",), (None,)], "t string")
-    assert [[tuple(p) for p in r[0]] for r in df.select(json_walk.as_xy()("t")).collect()] == [[(1.0, 2.0), (3.0, 4.0)]] * 2 + [[]]
-
-
 def test_paths(spark):
     p = "root\\Training\\TL01\\반려견\\일반카메라\\유증상\\A1_x.json"
     r = one(spark.createDataFrame([(p,)], "p string").select(*S.path_axes("p"), S.name_shape(F.lit("IMG_12-a3")).alias("shape"), S.rebase("/r", F.lit("a\\b.jpg")).alias("re"), S.size_gb(F.lit("1.5 TB")).alias("gb"), S.resolution(F.lit(" 12 x 34 "), 2).alias("h"), S.resolution(F.lit("x"), 1).alias("none")))
