@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from brindle.functions import geometry as G
 from brindle.functions.scalars import NORMAL
+from brindle.operators.prefix import quantiles, running_sums
 
 
 def quantiles_by_label(rows: DataFrame, label: str, value: str) -> DataFrame:
     """label, n, p25, median, p75 (exact, linear); null labels are left out."""
-    q = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select(label, "n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
+    known = rows.filter(F.col(label).isNotNull())
+    q = quantiles(known, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}, [label])
+    return known.groupBy(label).agg(F.count("*").alias("n")).join(q.drop("n"), label, "left")
 
 
 def label_spread(rows: DataFrame, label: str, value: str, normal: str = NORMAL) -> DataFrame:
@@ -29,8 +31,6 @@ def floor_quantiles(rows: DataFrame, value: str, points: list[float]) -> DataFra
 
     Values are counted first; the rank is found in the running counts, so no array of all values is gathered.
     """
-    from brindle.operators.prefix import running_sums
-
     v = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     c = running_sums(v, [F.col("v")], {"upto": "n"})
     total = v.agg(F.sum("n").alias("total"))
@@ -49,7 +49,9 @@ def area_profile(rows: DataFrame, value: str = "area_ratio") -> DataFrame:
 
 def sharpness_by_label(rows: DataFrame, blurry: float = 100.0, label: str = "label", value: str = "sharpness") -> DataFrame:
     """label, n, median, share_blurry."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
+    known = rows.filter(F.col(label).isNotNull() & F.col(value).isNotNull())
+    blur = known.groupBy(label).agg(F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
+    return quantiles(known, value, {"median": 0.5}, [label]).join(blur, label).select(label, "n", "median", "share_blurry")
 
 
 def sharpness_audit(rows: DataFrame, blurry: float = 100.0, label: str = "label", value: str = "sharpness", normal: str = NORMAL) -> DataFrame:
@@ -84,7 +86,9 @@ def _visible(rows: DataFrame, tag: str) -> DataFrame:
 
 def visibility_by_label(rows: DataFrame, tag: str, label: str = "label") -> DataFrame:
     """label, n, mostly_gone, median_visible."""
-    return _visible(rows, tag).groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"), F.percentile("v", F.lit(0.5)).alias("median_visible"))
+    seen = _visible(rows, tag).filter(F.col(label).isNotNull())
+    gone = seen.groupBy(label).agg(F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"))
+    return quantiles(seen, "v", {"median_visible": 0.5}, [label]).join(gone, label).select(label, "n", "mostly_gone", "median_visible")
 
 
 def visibility_loss(rows: DataFrame, tag: str, normal: str = NORMAL, label: str = "label") -> DataFrame:
@@ -92,10 +96,12 @@ def visibility_loss(rows: DataFrame, tag: str, normal: str = NORMAL, label: str
     seen = _visible(rows, tag)
     les = ~F.col(label).eqNullSafe(normal)
     gone = F.coalesce(F.avg(F.when(les, (F.col("v") <= 0.1).cast("double"))), F.lit(0.0))
-    return seen.agg(
+    rates = seen.agg(
         F.count("*").alias("n"), F.avg((F.col("v") >= 0.9).cast("double")).alias("fully_visible"), F.avg(((F.col("v") > 0.1) & (F.col("v") < 0.9)).cast("double")).alias("partial"),
-        F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"), F.percentile("v", F.lit(0.5)).alias("median_visible"), gone.alias("lesion_mostly_gone"), (1 - gone).alias("recall_ceiling"),
+        F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"), gone.alias("lesion_mostly_gone"), (1 - gone).alias("recall_ceiling"),
     )
+    both = rates.join(quantiles(seen, "v", {"median_visible": 0.5}).select("median_visible"), how="left")  # one row each
+    return both.select("n", "fully_visible", "partial", "mostly_gone", "median_visible", "lesion_mostly_gone", "recall_ceiling")
 
 
 def names_with_labels(rows: DataFrame, name: str = "image_name", label: str = "label") -> DataFrame:

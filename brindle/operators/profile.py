@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brindle.functions import scalars as S
+from brindle.operators.prefix import quantiles
 
 # The roles that keys may play and words that hint at them.
 FIELD_HINTS = {
@@ -106,7 +107,9 @@ def role_guess(profile: DataFrame, hints: dict[str, tuple[str, ...]] | None = No
 
 def manifest_profile(rows: DataFrame, label: str, value: str) -> DataFrame:
     """label, n, share, value median; a null label is a row of its own."""
-    g = rows.groupBy(label).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median_value"))
+    half = quantiles(rows, value, {"median_value": 0.5}, [label]).select(F.col(label).alias("_label"), "median_value")
+    g = rows.groupBy(label).agg(F.count("*").alias("n"))
+    g = g.join(half, F.col(label).eqNullSafe(F.col("_label")), "left").select(label, "n", "median_value")
     return g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 

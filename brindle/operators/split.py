@@ -37,10 +37,12 @@ def hash_fold(group: Column | str, k: int = 5, seed: int = 42) -> Column:
     return bucket(group, k, f"fold{seed}").cast("int")
 
 
-def stratified_group_folds(rows: DataFrame, label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
+def stratified_group_folds(rows: DataFrame, label: str = "label", k: int = 5, seed: int = 42, shards: int = 1) -> DataFrame:
     """group, fold: groups in descending spread of their class counts, each into the fold that evens the classes most.
 
-    Sequential by nature; it reads one row a group and class. Groups with equal spread stand in the order of a hash.
+    Sequential by nature; a task reads one row a group and class. Groups with equal spread stand in the order of a hash. With
+    shards, groups are dealt out to so many tasks by a hash and each evens its own; the shards' folds are even together, too.
+    Take as many as leave a task a few hundred thousand groups.
     """
     counts = rows.groupBy("group", F.coalesce(F.col(label).cast("string"), F.lit("NA")).alias("label")).agg(F.count("*").alias("n"))
 
@@ -49,7 +51,7 @@ def stratified_group_folds(rows: DataFrame, label: str = "label", k: int = 5, se
 
         import numpy as np
 
-        table = pdf.drop(columns="_all").pivot_table(index="group", columns="label", values="n", fill_value=0, aggfunc="sum")
+        table = pdf.drop(columns="_shard").pivot_table(index="group", columns="label", values="n", fill_value=0, aggfunc="sum")
         names, m = table.index.to_numpy(), table.to_numpy(float)
         ties = [hashlib.md5(f"{seed}{g}".encode()).hexdigest() for g in names]
         order = sorted(range(len(m)), key=lambda i: (-m[i].std(), ties[i]))
@@ -66,7 +68,7 @@ def stratified_group_folds(rows: DataFrame, label: str = "label", k: int = 5, se
         return pd.DataFrame({"group": names, "fold": fold})
 
     kind = dict(counts.dtypes)["group"]
-    return counts.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(assign, f"group {kind}, fold int")
+    return counts.withColumn("_shard", bucket("group", max(1, shards), f"shard{seed}")).groupBy("_shard").applyInPandas(assign, f"group {kind}, fold int")
 
 
 def assign(rows: DataFrame, key: str, label: str = "label", k: int = 5, share: float = 0.15, seed: int = 42, stratify: bool = True) -> DataFrame:
