@@ -8,8 +8,10 @@
    repeats a whole context repeats its windows, so copies, however many, are settled by the first.
 4. The content of every distinct context is fetched from its first place and routed by anchor into shards of bounded size.
    An index over each shard (the caller's) says which of its windows repeat.
-5. An anchor of more than `hot` distinct contexts would fill a task of its own. Its windows are routed one by one: two
-   hashes of 64 bits stand for a window, and their number and first place are aggregated.
+5. An anchor of more than `hot` distinct contexts would fill a task of its own. The windows of such contexts are dealt to
+   `PARTS` parts by the anchor's place in the window; all windows of a part share a longer gram about the anchor, which
+   becomes the part's anchor, and 3 to 5 are done again. A part's contexts are no more rows than `PARTS` for each context,
+   and after a few rounds a part is one window, which no other text can crowd.
 
 Joins on anchors and contexts deal out heavy keys by a salt. Heavy is a key with more than a ten-thousandth of the rows, so
 there are fewer than ten thousand, at any size, and their list is broadcast.
@@ -49,8 +51,8 @@ class Repeats:
 #: contexts of a shard in corpus order, how often each occurs, the window -> for each the window starts that repeat, as a mask
 Resolver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 
-#: Parts that a heavy key is dealt out to.
-SALTS = 32
+#: Parts that a heavy key is dealt out to, and those that a crowded anchor's windows are.
+SALTS, PARTS = 32, 8
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: list[str]) -> DataFrame:
@@ -127,21 +129,37 @@ def _contents(texts: DataFrame, r: Repeats) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, doc_id long, tkey long, start long, n long, content binary")
 
 
-def _windows(texts: DataFrame, r: Repeats) -> DataFrame:
-    """From texts with their wanted contexts: two hashes of every window in them."""
+def _parted(contents: DataFrame, r: Repeats, width: int, first: bool) -> DataFrame:
+    """Contents to those of their windows whose anchor stands at like places: anchor, ctx, ..., at (the anchor's place), content.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw, offs in sliced(batches, "text", PIECE):
-            values, uoffs = _units(r, raw, offs)
-            for d, lists in enumerate(b.column("wanted")):
-                start, count, n = (lists.values.field(k).to_numpy() for k in ("start", "count", "n"))
-                at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-                own = values(int(uoffs[d]), int(uoffs[d + 1]))
-                one, two = (Runs(x).hash(at, at + r.window).view(np.int64) for x in (own, mix(own)))
-                take = pa.array(np.full(len(at), d))
-                yield pa.record_batch([b.column("doc_id").take(take), b.column("tkey").take(take), pa.array(one), pa.array(two), pa.array(at), pa.array(np.repeat(n, count))], ["doc_id", "tkey", "one", "two", "start", "n"])
+    width: places of a part. A window's place is intrinsic, so equal windows come to equal parts. The units that all windows
+    of a part have in common are its anchor, whether or not a context has all of these windows.
+    """
 
-    return texts.mapInArrow(run, "doc_id long, tkey long, one long, two long, start long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            cols = ("anchor", "doc_id", "tkey", "start", "n", *(() if first else ("at",)))
+            for k, (anchor, doc, tkey, start, n, *at) in enumerate(zip(*(b.column(c).to_pylist() for c in cols), strict=True)):
+                c = np.frombuffer(b.column("content")[k].as_buffer(), np.int64 if r.words else np.uint8)
+                runs = Runs(c.view(U64) if r.words else _BYTE[c])
+                if first:  # where the gram of the anchor's hash stands
+                    i = np.arange(len(c) - r.gram + 1)
+                    at = [int(np.flatnonzero(runs.hash(i, i + r.gram).view(np.int64) == anchor)[0])]
+                place, last = at[0], len(c) - r.window
+                for j in range(max(0, place - last) // width, place // width + 1):
+                    low, high = max(0, place - (j + 1) * width + 1), min(last, place - j * width)
+                    ends = np.array([[place - j * width, place - (j + 1) * width + 1 + r.window], [low, high + r.window]])
+                    ends[0, 1] = min(ends[0, 1], len(c))
+                    one, two = runs.hash(ends[:, 0], ends[:, 1])
+                    key = mix(np.array([one ^ U64(j + 1)]))
+                    rows.append((int(key.view(np.int64)[0]), int(np.array([two]).view(np.int64)[0]), doc, tkey, start + low, high - low + 1, n, place - j * width - low, c[low : high + r.window].tobytes()))
+            names = ["anchor", "ctx", "doc_id", "tkey", "start", "count", "n", "at", "content"]
+            for x in range(0, len(rows), 5000):
+                yield pa.record_batch([pa.array(v, pa.binary() if k == 8 else pa.int64()) for k, v in enumerate(zip(*rows[x : x + 5000], strict=True))], names)
+
+    out = contents.mapInArrow(run, "anchor long, ctx long, doc_id long, tkey long, start long, count long, n long, at long, content binary")
+    return out.dropDuplicates(["anchor", "doc_id", "tkey", "start"])  # of repeated rows
 
 
 def _resolve(contents: DataFrame, r: Repeats, resolver: Resolver) -> DataFrame:
@@ -201,24 +219,34 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
     size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
     n_hot = size.filter(F.col("size") > r.hot).count()
     sized = _salted(ctx, size, ["anchor"], "size", ["ctx"])
-    by_text = lambda c: c.select("first.doc_id", "first.tkey", F.struct("anchor", "first.start", "first.count", "n").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("wanted"))
+    listed = lambda c: c.select("first.doc_id", "first.tkey", F.struct("anchor", "first.start", "first.count", "n").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("wanted"))
 
     def wanting(c: DataFrame) -> DataFrame:
-        w = by_text(c)
+        w = listed(c)
         return keyed.join(w, keyed["doc_id"].eqNullSafe(w["doc_id"]) & (keyed["tkey"] == w["tkey"])).select(keyed["doc_id"], keyed["tkey"], "text", "wanted")
 
     ranges = ranges.union(_resolve(_contents(wanting(sized.filter(F.col("size") <= r.hot)), r), r, resolver))
-    if n_hot:
-        # 5: windows one by one; repeated rows count as one place
-        win = staged.write(_windows(wanting(sized.filter(F.col("size") > r.hot)), r).distinct())
-        total = staged.write(win.groupBy("one", "two").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.min(where).alias("first")))
-        per = _salted(win, total, ["one", "two"], "rows", ["doc_id", "start"])
-        per = per.filter(where > F.col("first")) if r.later else per.filter("total > 1")
-        ranges = ranges.union(per.select(*key, "start", F.lit(1).cast("long").alias("count")))
-    by_text = ranges.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
-    same_text = keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"])
+    # 5: parts of the crowded ones, until none is crowded
+    width, rows = r.window - r.gram + 1, _contents(wanting(sized.filter(F.col("size") > r.hot)), r)
+    first = True
+    while n_hot and width > 1:
+        width = -(-width // PARTS)
+        rows = staged.write(_parted(rows, r, width, first))
+        ctx = staged.write(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "count", "at", "content")).alias("first")))
+        same = _salted(rows.drop("n"), ctx.drop("n"), ["anchor", "ctx"], "rows", ["doc_id", "start"])
+        ranges = ranges.union(same.filter(where > F.struct("first.doc_id", "first.start")).select(*key, "start", "count"))
+        size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
+        n_hot = size.filter(F.col("size") > r.hot).count()
+        sized = _salted(ctx.drop("rows"), size, ["anchor"], "size", ["ctx"]).select("anchor", "n", "size", "first.*")
+        ranges = ranges.union(_resolve(sized.filter(F.col("size") <= r.hot), r, resolver))
+        rows, first = sized.filter(F.col("size") > r.hot), False
+    if n_hot:  # one window each: only equal hashes of unequal windows could come here
+        ranges = ranges.union(_resolve(rows, r, resolver))
+    # from here on only the ranges are needed
+    by_text = staged.write(ranges.groupBy(*key).agg(F.collect_list(F.struct("start", "count")).alias("ranges")))
+    staged.keep(by_text)
     if carry is None:
-        return keyed.join(by_text, same_text, "left").select(keyed["doc_id"], "text", "ranges")
+        return keyed.join(by_text, keyed["doc_id"].eqNullSafe(by_text["doc_id"]) & (keyed["tkey"] == by_text["tkey"]), "left").select(keyed["doc_id"], "text", "ranges")
     full = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text", F.struct(*carry).alias("rest"))
     same_text = full["id"].eqNullSafe(by_text["doc_id"]) & (full["key"] == by_text["tkey"])
     return full.join(by_text, same_text, "left").select(F.col("id").alias("doc_id"), "text", "rest", "ranges")

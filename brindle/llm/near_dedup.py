@@ -248,7 +248,9 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     of = classes.join(comp.withColumnRenamed("v", "c"), "c", "left").select("digest", F.coalesce("component", "c").alias("component_id"))
     own = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     out = feats.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    out = staged.write(out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept")))
+    staged.keep(out)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
