@@ -24,7 +24,8 @@ from brindle.operators import normalize as N
 from brindle.operators import split as P
 from brindle.operators import two_stage as T
 from brindle.operators.graph import connected_components
-from brindle.operators.prefix import running_sums
+from brindle.operators.prefix import quantiles, running_sums
+from brindle.operators.skew import salted_join
 
 
 def one(df):
@@ -81,6 +82,26 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_salted_join_is_the_join(spark, tmp_path):
+    left = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 7, id % 50) as k")
+    left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).write.parquet(str(tmp_path / "r"))
+    right = spark.read.parquet(str(tmp_path / "r"))
+    want = sorted(map(tuple, left.join(right, "k").select("id", "k", "n", "low").collect()))
+    for least in (0, 100, 10**6):
+        assert sorted(map(tuple, salted_join(left, right, ["k"], "n", ["id"], least).select("id", "k", "n", "low").collect())) == want
+
+
+def test_quantiles_are_percentiles(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(("a", "b", None)), rnd.choice((1.5, 2.5, rnd.random(), None))) for _ in range(500)] + [("c", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["q"], r["m"]) for r in quantiles(df, "v", {"q": 0.3, "m": 0.5}, ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g][0] == len(v) and np.allclose(got[g][1:], np.quantile(v, [0.3, 0.5]))
+    assert quantiles(df.limit(0), "v", {"m": 0.5}, ["g"]).count() == 0
+
+
 def test_running_sums(spark):
     df = spark.range(1000).repartition(7).withColumn("x", F.col("id") % 13)
     for r in running_sums(df, [F.col("id").desc()], {"s": "x"}).collect():
