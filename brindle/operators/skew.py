@@ -20,5 +20,5 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, by:
     is_heavy = F.col(n) > max(total / 10_000, least)
     heavy = right.filter(is_heavy).select(*keys, F.lit(True).alias("_heavy"))
     left = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("long"))
-    right = right.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+    right = right.withColumn("_salt", F.explode(F.expr(f"case when {n} > {max(total / 10_000, least)}D then sequence(0L, {SALTS - 1}L) else array(0L) end")))
     return left.join(right, [*keys, "_salt"]).drop("_salt", "_heavy")
