@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm._text import _BYTE, U64, Runs, Words, mix, release, sliced, sliding_first_min
+from brindle.operators.skew import salted_join
 from brindle.session import Staged
 
 #: Units of a text that are worked on at once.
@@ -51,17 +52,8 @@ class Repeats:
 #: contexts of a shard in corpus order, how often each occurs, the window -> for each the window starts that repeat, as a mask
 Resolver = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 
-#: Parts that a heavy key is dealt out to, and those that a crowded anchor's windows are.
-SALTS, PARTS = 32, 8
-
-
-def _salted(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: list[str]) -> DataFrame:
-    """left join right on keys; right, a written table, says in column n how many rows of left a key has. by: columns of left that tell its rows apart."""
-    total = right.agg(F.sum(n).alias("total")).first()["total"] or 0
-    heavy = right.filter(F.col(n) > max(total / 10_000, 1000)).select(*keys, F.lit(True).alias("_heavy"))
-    left = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0))
-    right = right.withColumn("_salt", F.explode(F.when(F.col(n) > max(total / 10_000, 1000), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right.withColumn("_salt", F.col("_salt").cast("long")), [*keys, "_salt"]).drop("_salt", "_heavy")
+#: Parts that a crowded anchor's windows are dealt to.
+PARTS = 8
 
 
 def _units(r: Repeats, raw: np.ndarray, offs: np.ndarray) -> tuple[Callable[[int, int], np.ndarray], np.ndarray]:
@@ -209,16 +201,16 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
     found = _anchors(keyed, r)
     # 2: anchors that occur twice or more
     twice = staged.write(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
-    occ = staged.write(_salted(found, twice, ["anchor"], "n", ["doc_id", "start"]).drop("n"))
+    occ = staged.write(salted_join(found, twice, ["anchor"], "n", ["doc_id", "start"]).drop("n"))
     staged.drop(twice)
     # 3: the distinct contexts; but for its first place, a context repeats as a whole
     ctx = staged.write(occ.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "count")).alias("first")))
-    same = _salted(occ, ctx, ["anchor", "ctx"], "n", ["doc_id", "start"])
+    same = salted_join(occ, ctx, ["anchor", "ctx"], "n", ["doc_id", "start"])
     ranges = same.filter(where > F.struct("first.doc_id", "first.start")).select(*key, "start", "count")
     # 4: the contents of the first places
     size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
     n_hot = size.filter(F.col("size") > r.hot).count()
-    sized = _salted(ctx, size, ["anchor"], "size", ["ctx"])
+    sized = salted_join(ctx, size, ["anchor"], "size", ["ctx"])
     listed = lambda c: c.select("first.doc_id", "first.tkey", F.struct("anchor", "first.start", "first.count", "n").alias("w")).groupBy(*key).agg(F.collect_list("w").alias("wanted"))
 
     def wanting(c: DataFrame) -> DataFrame:
@@ -233,11 +225,11 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
         width = -(-width // PARTS)
         rows = staged.write(_parted(rows, r, width, first))
         ctx = staged.write(rows.groupBy("anchor", "ctx").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.min(F.struct("doc_id", "start", "tkey", "count", "at", "content")).alias("first")))
-        same = _salted(rows.drop("n"), ctx.drop("n"), ["anchor", "ctx"], "rows", ["doc_id", "start"])
+        same = salted_join(rows.drop("n"), ctx.drop("n"), ["anchor", "ctx"], "rows", ["doc_id", "start"])
         ranges = ranges.union(same.filter(where > F.struct("first.doc_id", "first.start")).select(*key, "start", "count"))
         size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
         n_hot = size.filter(F.col("size") > r.hot).count()
-        sized = _salted(ctx.drop("rows"), size, ["anchor"], "size", ["ctx"]).select("anchor", "n", "size", "first.*")
+        sized = salted_join(ctx.drop("rows"), size, ["anchor"], "size", ["ctx"]).select("anchor", "n", "size", "first.*")
         ranges = ranges.union(_resolve(sized.filter(F.col("size") <= r.hot), r, resolver))
         rows, first = sized.filter(F.col("size") > r.hot), False
     if n_hot:  # one window each: only equal hashes of unequal windows could come here

@@ -29,6 +29,7 @@ from pyspark.sql.window import Window as W
 
 from brindle.llm._text import U64, Runs, Words, mix, sliced
 from brindle.operators.graph import connected_components
+from brindle.operators.skew import salted_join
 from brindle.session import Staged
 
 
@@ -189,8 +190,9 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     heads = classes.join(known.select(F.col("doc_id").alias("c"), "digest", "n_shingles", "bands"), ["digest", "c"])
     rows = heads.select("c", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     # buckets with two members or more; the smallest is the first centre, found before the shuffle in part
-    first = rows.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.max("c").alias("hi")).filter("m.c < hi")
-    members = staged.write(rows.join(first.select("bucket", "m"), "bucket"))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.max("c").alias("hi"), F.count("*").alias("rows")).filter("m.c < hi")
+    first = staged.write(first.select("bucket", "m", "rows"))
+    members = staged.write(salted_join(rows, first, ["bucket"], "rows", ["c"]).drop("rows"))
     texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").join(members.select("c").distinct(), "c")
     sets = staged.write(_full_sets(texts, p))
 
