@@ -262,6 +262,16 @@ def test_staged_tables_go(spark, tmp_path):
     assert b.count() == 3 and os.listdir(s.root.removeprefix("file:")) == ["2"]
     s.drop(b)
     assert _root(spark) in s.root
+    # a query's tables stay while its lazy result may need them, and go with clean()
+    from brindle.plans import catalogue
+    from brindle.session import clean, shared_dir
+
+    n = catalogue.queries()["near_dup_clusters"](spark, "/root/testdata/sf0.001").count()
+    root = shared_dir(spark).removeprefix("file:")
+    assert n and any(x.startswith("brindle-") for x in os.listdir(root))
+    clean(spark)
+    assert not any(x.startswith("brindle-") for x in os.listdir(root))
+    assert catalogue.queries()["near_dup_clusters"](spark, "/root/testdata/sf0.001").count() == n
 
 
 def test_diagnosis(spark):
