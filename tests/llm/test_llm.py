@@ -312,6 +312,8 @@ def test_language(spark, docs, empty):
     assert not any(r["rejected"] for r in got if r["doc_id"] is not None and r["doc_id"] < 240)
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns
+    named = table(language_id.identify(docs))  # whose other columns have names that are used inside
+    assert len(named) == docs.count() and {r["lang_pred"] for r in named} <= {"xx", "und"}
     assert language_id.identify(empty).count() == language_id.keep_identified(empty).count() == 0
 
 
@@ -691,6 +693,19 @@ def test_fixity_of_pages(spark, empty):
     assert X.audit(none, none).count() == 0
 
 
+def test_fixity_of_no_pages_and_of_a_long_one(spark):
+    from brindle.llm import warc_fixity as X
+
+    kind = "page_id long, url string, html string, digest string, start long, kids string, k0 string, same boolean"
+    assert X.audit_pages(spark.createDataFrame([], kind)).count() == 0
+    long = "<p>" + "long text " * 400_000
+    rows = [(k, "u", long if k == 3 else "x", "?", 5, "?", "?", True) for k in range(1, 9)]
+    got = {r["page_id"]: r for r in table(X.audit_pages(spark.createDataFrame(rows, kind)))}
+    assert len(got) == 8 and got[3]["length"] > len(long)
+    m = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 64
+    assert all((r["status"] in ("changed", "missing")) == (m(k) in (1, 2)) for k, r in got.items())
+
+
 def test_fixity_of_files(spark, tmp_path):
     from brindle.llm import warc_fixity as X
 
