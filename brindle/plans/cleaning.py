@@ -128,6 +128,11 @@ def resume_antijoin(spark, sf):
     return N.to_do(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def orders_to_do(spark, sf):
+    return N.to_do(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
 @query("SELECT avg((o.k IS NOT NULL)::INT::DOUBLE) AS coverage FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c.c_custkey")
 def file_coverage(spark, sf):
     got = N.coverage(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", 0.0)

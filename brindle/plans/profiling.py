@@ -94,10 +94,10 @@ def _leaves(spark, sf):
 
 
 @query("""WITH l AS (SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM events, unnest(json_keys(props)) u(k))
-SELECT k AS path, count(*) AS n, count(*) / (SELECT count(*) FROM events) AS freq, MAP {'int': count(*)} AS types FROM l GROUP BY k""")
+SELECT k AS path, count(*) AS n, count(*) / (SELECT count(*) FROM events) AS freq, MAP {'int': count(*)} AS types, [arg_min(v, event_id)] AS examples FROM l GROUP BY k""")
 def json_flatten_profile(spark, sf):
     leaves, e = _leaves(spark, sf)
-    return P.key_profile(leaves, e).drop("examples")
+    return P.key_profile(leaves, e)
 
 
 HINTS = {"animal_id": ("id", "no", "k"), "width": ("width", "w"), "label": ("label", "kind")}

@@ -89,3 +89,9 @@ def fold_parts(spark, sf):
 @query("SELECT text AS key FROM documents INTERSECT SELECT text FROM benchmark UNION SELECT NULL WHERE false")
 def key_intersection(spark, sf):
     return table(spark, sf, "documents").select(F.col("text").alias("key")).intersect(table(spark, sf, "benchmark").select("text"))
+
+
+@query("SELECT c_nationkey AS key FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def nations_of_both(spark, sf):
+    """Keys that two tables share."""
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
