@@ -39,12 +39,17 @@ PIECE = 1 << 19
 
 @dataclass(frozen=True)
 class Repeats:
-    """window, gram: in units; words: the unit is a word, else a byte; later: only later occurrences count as repeats."""
+    """window, gram: in units; words: the unit is a word, else a byte; later: only later occurrences count as repeats.
+
+    alone: the only distinct context of an anchor is sent to an index, too. No two of a context's windows are equal, as their
+    anchors would stand at one place, so its number and its first place say all that the index of such a shard could.
+    """
 
     window: int
     gram: int
     words: bool
     later: bool
+    alone: bool = True
     hot: int = 1000
     shard_bytes: int = 1 << 19
 
@@ -217,7 +222,10 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
         w = listed(c)
         return keyed.join(w, keyed["doc_id"].eqNullSafe(w["doc_id"]) & (keyed["tkey"] == w["tkey"])).select(keyed["doc_id"], keyed["tkey"], "text", "wanted")
 
-    ranges = ranges.union(_resolve(_contents(wanting(sized.filter(F.col("size") <= r.hot)), r), r, resolver))
+    fits = (F.col("size") <= r.hot) & (F.lit(r.alone) | (F.col("size") > 1))
+    ranges = ranges.union(_resolve(_contents(wanting(sized.filter(fits)), r), r, resolver))
+    if not r.alone and not r.later:
+        ranges = ranges.union(sized.filter("size = 1").select("first.doc_id", "first.tkey", "first.start", "first.count"))
     # 5: parts of the crowded ones, until none is crowded
     width, rows = r.window - r.gram + 1, _contents(wanting(sized.filter(F.col("size") > r.hot)), r)
     first = True
@@ -230,7 +238,9 @@ def repeated(docs: DataFrame, r: Repeats, resolver: Resolver, carry: list[str] |
         size = staged.write(ctx.groupBy("anchor").agg(F.count("*").alias("size")))
         n_hot = size.filter(F.col("size") > r.hot).count()
         sized = salted_join(ctx.drop("rows"), size, ["anchor"], "size", ["ctx"]).select("anchor", "n", "size", "first.*")
-        ranges = ranges.union(_resolve(sized.filter(F.col("size") <= r.hot), r, resolver))
+        ranges = ranges.union(_resolve(sized.filter(fits), r, resolver))
+        if not r.alone and not r.later:
+            ranges = ranges.union(sized.filter("size = 1 and n > 1").select(*key, "start", "count"))
         rows, first = sized.filter(F.col("size") > r.hot), False
     if n_hot:  # one window each: only equal hashes of unequal windows could come here
         ranges = ranges.union(_resolve(rows, r, resolver))

@@ -51,51 +51,70 @@ class RunLengthIndex:
         self.tails = (np.append(order[cut], order[-1]), np.append(shared, 0))
 
     def _sort(self, text: np.ndarray, string: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """The suffix order, by doubling from 8 bytes, and the ranks by 8, 16, ... bytes."""
+        """The suffix order, by doubling from 8 bytes, and the ranks by 8, 16, ... bytes. Only suffixes still tied are sorted again.
+
+        A rank is the place of the first of its equals, so that it stays when others are told apart.
+        """
         n = len(text)
         padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
         key = np.zeros(n, np.uint64)
         for k in range(8):
             here = np.where(self.left > k, padded[k : k + n], 0)
             key = (key << np.uint64(8)) | here
-        short = self.left <= 8
-        rank, order = self._rank(key)
-        rank, order = self._rank((rank.astype(np.uint64) << np.uint64(32)) | np.where(short, string + 1, 0).astype(np.uint64))
-        levels, h = [(8, rank)], 8
-        while h < longest and rank[order[-1]] < n - 1:
-            # past its part's end a suffix is unique already
-            beyond = np.where(self.left > h, np.append(rank[h:], np.zeros(h, rank.dtype)) + 1, 0)
-            rank, order = self._rank((rank.astype(np.uint64) << np.uint64(32)) | beyond.astype(np.uint64))
-            h *= 2
-            levels.append((h, rank))
-        return order, levels
-
-    @staticmethod
-    def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key)
-        step = np.empty(len(key), np.int32)
         k = key[order]
-        step[0] = 0
-        np.cumsum(k[1:] != k[:-1], out=step[1:])
-        rank = np.empty(len(key), np.int32)
-        rank[order] = step
-        return rank, order
+        rank = np.empty(n, np.int32)
+        head = np.concatenate(([True], k[1:] != k[:-1]))
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+
+        def tell_apart(by: np.ndarray) -> None:
+            """Sort those that are tied by a second key of theirs."""
+            nonlocal tied
+            at = order[tied]
+            k = (rank[at].astype(np.uint64) << np.uint64(32)) | by[at].astype(np.uint64)
+            o = np.argsort(k)
+            at, k = at[o], k[o]
+            order[tied] = at
+            head = np.concatenate(([True], k[1:] != k[:-1]))
+            rank[at] = np.maximum.accumulate(np.where(head, tied, 0))
+            tied = tied[~(head & np.append(head[1:], True))]
+
+        # past its part's end a suffix is unique already
+        if len(tied):
+            tell_apart(np.where(self.left <= 8, string + 1, 0))
+        levels, h = [(8, rank.copy())], 8
+        while h < longest and len(tied):
+            ahead = np.zeros(n, np.int64)
+            ahead[: n - h] = np.where(self.left[: n - h] > h, rank[h:].astype(np.int64) + 1, 0)
+            tell_apart(ahead)
+            h *= 2
+            levels.append((h, rank.copy()))
+        return order, levels
 
     def _shared(self, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The common prefix of the suffixes at a and b, none of which passes a part's end."""
-        a, b = a.copy(), b.copy()
         got = np.zeros(len(a), np.int64)
         n = len(self.text)
+        # most neighbours differ within the first level's bytes
+        far = np.flatnonzero((levels[0][1][a] == levels[0][1][b]) & (self.left[a] > levels[0][0]) & (self.left[b] > levels[0][0]))
+        x, y, long = a[far], b[far], np.zeros(len(far), np.int64)
         for h, rank in reversed(levels):
             # two blocks of the widest level may follow each other
             for _ in range(2 if h == levels[-1][0] else 1):
-                ok = (self.left[np.minimum(a, n - 1)] > h) & (self.left[np.minimum(b, n - 1)] > h) & (a < n) & (b < n)
-                same = ok & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)])
-                got, a, b = got + h * same, a + h * same, b + h * same
+                u, v = np.minimum(x, n - 1), np.minimum(y, n - 1)
+                same = (x < n) & (y < n) & (self.left[u] > h) & (self.left[v] > h) & (rank[u] == rank[v])
+                step = h * same
+                long, x, y = long + step, x + step, y + step
+        got[far] = long
+        a, b, open_ = a + got, b + got, np.arange(len(a))
         for _ in range(8):
-            x, y = np.minimum(a, n - 1), np.minimum(b, n - 1)
-            same = (self.text[x] == self.text[y]) & (self.text[x] != _PART)
-            got, a, b = got + same, a + same, b + same
+            u, v = a[open_], b[open_]
+            same = (u < n) & (v < n) & (self.text[np.minimum(u, n - 1)] == self.text[np.minimum(v, n - 1)]) & (self.text[np.minimum(u, n - 1)] != _PART)
+            open_ = open_[same]
+            got[open_] += 1
+            a[open_] += 1
+            b[open_] += 1
         return got
 
     def matches(self) -> np.ndarray:
@@ -125,7 +144,7 @@ class SuffixDedup:
 
 
 def _plan(p: SuffixDedup) -> Repeats:
-    return Repeats(window=p.window, gram=max(1, p.window // 4), words=False, later=False)
+    return Repeats(window=p.window, gram=max(1, p.window // 4), words=False, later=False, alone=False)
 
 
 def _removal(docs: DataFrame, p: SuffixDedup, emit, schema: str) -> DataFrame:
