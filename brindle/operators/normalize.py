@@ -67,10 +67,10 @@ def match_images(records: DataFrame, images: DataFrame, name: str = "image_name"
     return records.join(best, [name, record_path, *within])
 
 
-def scope(rows: DataFrame, species: str = "species_code", keep_species: str = "D", camera: str = "camera", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def scope(rows: DataFrame, species: str = "species_code", keep_species: str | None = "D", camera: str = "camera", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Rows in scope. A filter applies only where the data has what it asks for: one pass looks for it first."""
     has = rows.agg(F.count(F.nullif(species, F.lit(""))).alias("s"), F.count_if(F.col(camera).isin(*(include or [""]))).alias("i")).first()
-    if has["s"]:
+    if has["s"] and keep_species is not None:
         rows = rows.filter(F.col(species) == keep_species)
     if exclude:
         rows = rows.filter(F.col(camera).isNull() | ~F.col(camera).isin(*exclude))

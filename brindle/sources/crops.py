@@ -56,8 +56,9 @@ def _save(rows: DataFrame, root: str) -> DataFrame:
 def crop_run(manifest: DataFrame, pixels: DataFrame, root: str, tag: str, min_px: int = 64) -> tuple[DataFrame, DataFrame]:
     """The manifest with crop_path, crop_tag, crop_rel, without rows whose crop failed; and (image_path, error) of those.
 
-    pixels(path, image): decoded images; only those that the manifest names are cut. An image of several rows is cut once for
-    each window; equal paths give equal crops, so rows join their result by path. The crops are written while this runs.
+    pixels(path, image): decoded images; only those that the manifest names are cut. A crop's name follows from its image's
+    path, so an image of several rows is cut once, at the first of their windows, and rows join their result by path. The crops
+    are written while this runs.
     """
     staged = Staged(manifest.sparkSession)
     todo = manifest.select("image_path", G.crop_window("bbox", "img_w", "img_h", F.lit(tag), min_px).alias("window"))

@@ -32,7 +32,7 @@ def manifest_from_zip(spark: SparkSession, path: str, id_token: int | None = Non
     name, or else of its stem, whose path shares most with that of the record, within the archive. select: include, exclude.
     """
     staged = Staged(spark)
-    labels = members(spark, path, (".json",), **select).select("zip_path", F.concat_ws("!", "zip_path", "zip_member").alias("json_path"), F.col("zip_member").alias("json_member"), F.decode("content", "utf-8").alias("json"))
+    labels = members(spark, path, (".json",), **select).select("zip_path", F.concat_ws("!", "zip_path", "zip_member").alias("json_path"), F.decode("content", "utf-8").alias("json"))
     labels = staged.write(labels)
     pictures = staged.write(members(spark, path, tuple(f".{x}" for x in IMAGE_EXTENSIONS), contents=False, **select).select("zip_path", "zip_member"))
     sure = N.parse_records(labels)
@@ -43,21 +43,18 @@ def manifest_from_zip(spark: SparkSession, path: str, id_token: int | None = Non
     guessed = fallback.extract(entries, rest.select("id", "json_path"), id_token).withColumnRenamed("id", "json_path").drop("record")
     rows = sure.withColumn("guessed", F.lit(False)).unionByName(guessed.withColumn("guessed", F.lit(True)), allowMissingColumns=True)
     named = F.coalesce("image_name", S.stem("json_path"))
-    rows = staged.write(rows.withColumn("image_name", named).withColumn("row_id", F.monotonically_increasing_id()))
-    rows = rows.withColumn("archive", F.substring_index("json_path", "!", 1))
+    rows = staged.write(rows.withColumn("image_name", named).withColumn("archive", F.substring_index("json_path", "!", 1)))
     matched = N.match_images(rows, pictures.select(F.concat_ws("!", "zip_path", "zip_member").alias("image_path"), F.col("zip_path").alias("archive")), within=["archive"])
     side = lambda c: [x.alias(n) for x, n in zip(S.path_axes(c), ("species", "camera", "symptom", "src_split"), strict=True)]
     axes = {n: S.prefer(a, b) for n, a, b in zip(("species", "camera", "symptom", "src_split"), side("image_path"), side("json_path"), strict=True)}
     out = matched.withColumns(axes).withColumns({"zip_path": F.col("archive"), "zip_member": F.substring_index("image_path", "!", -1), "image_name": S.file_name("image_path")})
     quiet = F.col("symptom") == S.SYMPTOMS[1]
     out = out.withColumn("is_normal", F.when(F.col("guessed"), F.coalesce(quiet, F.lit(False))).otherwise(F.col("is_normal")))
-    out = out.withColumn("area_ratio", F.coalesce("area_ratio", G.area_ratio("bbox", "img_w", "img_h"))).drop("archive", "guessed", "row_id")
+    out = out.withColumn("area_ratio", F.coalesce("area_ratio", G.area_ratio("bbox", "img_w", "img_h"))).drop("archive", "guessed")
     out = staged.write(out)
     if out.isEmpty():
         raise ValueError(f"no record of {path} has an image")
-    if dogs_only:
-        out = N.scope(out, "species_code", "D", "camera", include=[S.CAMERAS[0]] if normal_camera_only else None)
-    return N.drop_unlabeled(out)
+    return N.drop_unlabeled(N.scope(out, "species_code", "D" if dogs_only else None, "camera", include=[S.CAMERAS[0]] if normal_camera_only else None))
 
 
 def zip_pixels(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg", ".bmp", ".webp")) -> DataFrame:

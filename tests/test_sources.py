@@ -158,7 +158,7 @@ def test_manifest_and_crops_from_a_zip(spark, tmp_path):
         z.writestr("반려견/일반카메라/유증상/bad.json", json.dumps({"image": {"file": "bad.png", "width": 20, "height": 10}, "disease": "A4", "pet_id": 5, "bbox": [[1, 1], [3, 5]]}))
         z.writestr("반려견/일반카메라/유증상/lost.json", record("lost.png", "A1"))
         z.writestr("반려견/일반카메라/유증상/broken.json", "{")
-    rows = {r["image_name"]: r for r in zipped.manifest_from_zip(spark, str(p), dogs_only=False).collect()}
+    rows = {r["image_name"]: r for r in zipped.manifest_from_zip(spark, str(p), dogs_only=False, normal_camera_only=False).collect()}
     assert set(rows) == {"one.png", "two.png", "three.png", "bad.png"}
     one, bad = rows["one.png"], rows["bad.png"]
     assert one["zip_member"] == "반려견/일반카메라/유증상/src/A2/one.png" and one["camera"] == "일반카메라" and tuple(one["bbox"]) == (1.0, 2.0, 7.0, 6.0)
@@ -172,7 +172,7 @@ def test_manifest_and_crops_from_a_zip(spark, tmp_path):
         zipped.manifest_from_zip(spark, str(p), include=[["무증상", "유증상"]], exclude=["two"])
     # crops: what can't be decoded fails and goes
     pixels = zipped.zip_pixels(spark, str(p))
-    manifest = zipped.manifest_from_zip(spark, str(p), dogs_only=False).cache()
+    manifest = zipped.manifest_from_zip(spark, str(p), dogs_only=False, normal_camera_only=False).cache()
     root = str(tmp_path / "crops")
     kept, failed = crops.crop_run(manifest, pixels, root, "f4")
     got = {r["image_name"]: r for r in kept.collect()}
