@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm.centroids import cluster, cluster_sql
 from brindle.llm.language_id import identify
 from brindle.llm.mixing import MIX_SQL, mixture
 from brindle.llm.near_dedup import near_duplicates
@@ -69,6 +70,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_long_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(q: Query) -> Query:
     @wraps(q)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +84,8 @@ def _shipped(q: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup)}
+    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup, op11_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL, "op5_warc_fixity": FIXITY_SQL, "op8_mixing": MIX_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op5_warc_fixity": FIXITY_SQL, "op8_mixing": MIX_SQL, "op11_centroids": cluster_sql()}
