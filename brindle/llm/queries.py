@@ -12,6 +12,7 @@ from brindle.llm.language_id import identify
 from brindle.llm.mixing import MIX_SQL, mixture
 from brindle.llm.near_dedup import near_duplicates
 from brindle.llm.packing import Packing, pack
+from brindle.llm.quality_fm import quality_scores
 from brindle.llm.quality_ledger import QUALITY_SQL, quality
 from brindle.llm.substring_dedup import remove_repeats
 from brindle.llm.suffix_dedup import remove_long_repeats
@@ -74,6 +75,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipped(q: Query) -> Query:
     @wraps(q)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +89,7 @@ def _shipped(q: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup, op11_centroids)}
+    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup, op11_centroids, op13_quality_fm)}
 
 
 def oracle_sql() -> dict[str, str]:
