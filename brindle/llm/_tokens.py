@@ -36,6 +36,8 @@ class Tokenizer:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.sizes = np.zeros(max(table.values(), default=-1) + 1, np.int64)  # the bytes of each id
+        self.sizes[list(table.values())] = [len(t) for t in table]
         self.kind = _classes()
         # known pieces by sorted hash; entry 0 of the ids is the end mark
         self.hashes = np.zeros(0, U64)

@@ -17,6 +17,7 @@ from brindle.llm.quality_ledger import QUALITY_SQL, quality
 from brindle.llm.substring_dedup import remove_repeats
 from brindle.llm.suffix_dedup import remove_long_repeats
 from brindle.llm.tiff import document_pages
+from brindle.llm.token_alignment import Alignment, align
 from brindle.llm.toxicity import toxicity
 from brindle.llm.warc_fixity import FIXITY_SQL, audit_pages
 from brindle.session import Staged, ship, table
@@ -75,6 +76,17 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
+def tokenizers() -> Alignment:
+    """The public tokenizers of op12."""
+    import public_tokenizers
+
+    return Alignment(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizers())
+
+
 def op13_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -89,7 +101,7 @@ def _shipped(q: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup, op11_centroids, op13_quality_fm)}
+    return {q.__name__: _shipped(q) for q in (op1_toxicity, op2_quality_rules, op3_near_dedup, op4_language_id, op5_warc_fixity, op6_best_fit_packing, op7_tiff_pages, op8_mixing, op9_substring_dedup, op10_suffix_dedup, op11_centroids, op12_token_alignment, op13_quality_fm)}
 
 
 def oracle_sql() -> dict[str, str]:
