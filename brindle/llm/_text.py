@@ -1,7 +1,8 @@
 """Vectorised work on whole texts: Arrow buffers in, NumPy arrays out.
 
 A hash of a run of units is a polynomial in an odd base modulo 2**64, so that one running sum gives the hash of any run,
-wherever it stands. Texts are taken in slices of a few MB; memory follows the slice, or the longest text.
+wherever it stands. Such polynomials can be made to collide by construction from 1,024 units on (a word that follows the
+Thue-Morse sequence, and its complement), so single words and pieces of LONG units or more are hashed with xxh3 instead. Texts are taken in slices of a few MB; memory follows the slice, or the longest text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _libc = ctypes.CDLL(None) if sys.platform == "linux" else None
@@ -65,6 +67,17 @@ class Runs:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+#: Units from which on a run is hashed by itself.
+LONG = 512
+
+
+def apart(hashes: np.ndarray, units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """hashes of the runs of units, those of LONG units or more replaced (in place) by xxh3 of what the runs hold."""
+    for k in np.flatnonzero(end - start >= LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(units[start[k] : end[k]].tobytes())
+    return hashes
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -135,7 +148,7 @@ class Words:
             last[inner - 1] |= word[inner - 1]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             if hashes:
-                hashed.append(Runs(table[part]).hash(s, e))
+                hashed.append(apart(Runs(table[part]).hash(s, e), table[part], s, e))
             starts.append(s + a)
             ends.append(e + a)
         self.start, self.end = np.concatenate(starts), np.concatenate(ends)

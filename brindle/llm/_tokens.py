@@ -1,7 +1,8 @@
 """Ids of a byte-level BPE for whole texts, equal to the tokenizer file's.
 
 Texts are split into the pattern's pieces with array operations; only pieces not met before are merged, by the same
-merges as ranks. A text with a rare character (beyond U+1FFF) or an apostrophe goes through the pattern itself.
+merges as ranks. A text with a rare character (beyond U+1FFF) or an apostrophe goes through the pattern itself. Pieces are
+told apart by hashes; see `apart` for long ones.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from brindle.llm._text import U64, Runs, mix
+from brindle.llm._text import U64, Runs, apart, mix
 
 #: White space of the pattern below U+2000.
 _BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680)
@@ -39,6 +40,9 @@ class Tokenizer:
         self.sizes = np.zeros(max(table.values(), default=-1) + 1, np.int64)  # the bytes of each id
         self.sizes[list(table.values())] = [len(t) for t in table]
         self.kind = _classes()
+        self._forget(end)
+
+    def _forget(self, end: int) -> None:
         # known pieces by sorted hash; entry 0 of the ids is the end mark
         self.hashes = np.zeros(0, U64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,20 +70,27 @@ class Tokenizer:
         at = np.flatnonzero(start)
         return at, np.searchsorted(at, offs)
 
+    def _merged(self, texts: list[str]) -> list[list[int]]:
+        return [self.bpe._encode_single_piece(t) for t in texts]
+
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merges for new pieces: start, size into fresh ids."""
-        got = [self.bpe._encode_single_piece(t) for t in texts]
+        got = self._merged(texts)
         size = np.array([len(g) for g in got], np.int64)
         flat = np.array([x for g in got for x in g], np.uint32)
         return np.cumsum(size) - size, size, flat
 
+    def _direct(self, text: str) -> list[int] | None:
+        """The ids of a text that array operations don't cut right; None for any other."""
+        return self.bpe.encode_ordinary(text) if "'" in text or (not text.isascii() and max(text) >= chr(_LIMIT)) else None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For every text its ids and the end mark."""
         out: list[np.ndarray | None] = [None] * len(texts)
         easy = []
         for k, t in enumerate(texts):
-            if "'" in t or (not t.isascii() and max(t) >= chr(_LIMIT)):
-                out[k] = np.array([*self.bpe.encode_ordinary(t), self.ids[0]], np.uint32)
+            if (got := self._direct(t)) is not None:
+                out[k] = np.array([*got, self.ids[0]], np.uint32)
             else:
                 easy.append(k)
         whole = "".join(texts[k] for k in easy)
@@ -87,7 +98,7 @@ class Tokenizer:
         code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         at, doc = self._pieces(code, offs)
         to = np.append(at[1:], len(code))
-        h = Runs(mix(code.astype(U64) + U64(1))).hash(at, to)
+        h = apart(Runs(mix(code.astype(U64) + U64(1))).hash(at, to), code, at, to)
         uniq, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         where = np.searchsorted(self.hashes, uniq)
         known = np.zeros(len(uniq), bool)

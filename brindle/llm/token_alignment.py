@@ -1,9 +1,11 @@
 """Alignment of two tokenizers over the same bytes, as relations of token ends.
 
-A document becomes one row, with its key and the tokens of both sides (length and id); the rows are dealt out by the key once.
-From there on everything is relational, and stays where it is dealt to:
+A document becomes one row, with its key and the ids of both sides; the rows are dealt out by the key once, to as many
+partitions as keep a partition's tokens within a task's memory. From there on everything is relational, and stays where it is
+dealt to:
 
-1. `posexplode` gives a row a token; a window over (document, side) sums the lengths, so that each token has its end.
+1. `posexplode` gives a row a token; the vocabularies, two tables of fixed size, give its length in bytes; a window over
+   (document, side) sums the lengths, so that each token has its end.
 2. A and B tokens are joined where document and end are equal. As both sides stand in one partition already, the equi-join is
    a merge: a window over the document, its ends descending, brings equal ends together, and what has a partner is a cut. The
    count of cuts so far numbers the groups.
@@ -23,19 +25,18 @@ text is one row and its tokens are one task's. Other columns are ignored, whatev
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brindle.llm._text import sliced
-from brindle.llm._tokens import tokenizer
+from brindle.llm._tokens import Tokenizer, tokenizer
 from brindle.session import Staged, dealt
 
 
@@ -49,35 +50,33 @@ class Alignment:
     heavy: int = 200_000
 
 
-class Pieces:
-    """The ids of a sentencepiece model whose pieces have blanks in front only; segments between blanks are encoded once."""
-
-    KNOWN, LONG = 300_000, 256
+class Pieces(Tokenizer):
+    """The ids of a sentencepiece model whose pieces have blanks in front only: what starts with a blank after another character
+    is encoded by itself, and once. Texts come with the blank in front that the model adds."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.blank = self.sp.piece_to_id("▁")
-        self.known: dict[str, list[int]] = {}
-        self.cut = re.compile(" *[^ ]+| +")
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.sp.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.whole = all("▁" not in n.lstrip("▁") for n in names)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """For every text its ids. The model puts a blank in front, so that each segment starts with one."""
-        if not self.whole:
-            return [np.array(x, np.int64) for x in self.sp.encode(texts, num_threads=1)]
-        parts = [self.cut.findall(" " + t) if t else [] for t in texts]
-        fresh = {s: [self.blank] for s in {*chain.from_iterable(parts)} - self.known.keys()}
-        new = [s for s in fresh if s != " "]
-        fresh.update(zip(new, self.sp.encode([s[1:] for s in new], num_threads=1), strict=True))
-        known = self.known
-        if len(known) < self.KNOWN:
-            known.update((s, x) for s, x in fresh.items() if len(s) < self.LONG)
-        return [np.fromiter(chain.from_iterable(known.get(s) or fresh[s] for s in p), np.int64) for p in parts]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.blank, self.whole = self.sp.piece_to_id("▁"), all("▁" not in n.lstrip("▁") for n in names)
+        self._forget(0)
+
+    def _direct(self, text: str) -> list[int] | None:
+        return None if self.whole else self.sp.encode(text[1:])
+
+    def _pieces(self, code: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.zeros(len(code) + 1, bool)
+        start[1:-1] = (code[1:] == 0x20) & (code[:-1] != 0x20)
+        start[offs[:-1]] = True
+        at = np.flatnonzero(start[:-1])
+        return at, np.searchsorted(at, offs)
+
+    def _merged(self, texts: list[str]) -> list[list[int]]:
+        # a blank alone is a piece, where the model would see an empty text
+        return [x or [self.blank] for x in self.sp.encode([t[1:] for t in texts], num_threads=1)]
 
     def spell(self, ids: np.ndarray) -> bytes:
         return b"".join([self.bytes[i] for i in ids.tolist()])
@@ -94,40 +93,60 @@ def _both(p: Alignment) -> tuple:
     return _made[p]
 
 
-#: Of a token as one number: its length above, its id in the lowest 16 bits, the side in the next.
-SIDE, LENGTH = 16, 17
+#: The bit of a token's side, above its id.
+SIDE = 16
+#: Bytes of memory that a byte of text takes in the sorts of a partition: two of them, with a token every 1.3 bytes.
+FOOTPRINT = 180
+
+
+def vocabulary(spark: SparkSession, p: Alignment) -> DataFrame:
+    """token (side and id), length: one row an id of either tokenizer."""
+    _, b, size = _both(p)
+    ids = np.concatenate((np.arange(len(size)), (1 << SIDE) + np.arange(len(b.sizes)))).astype(np.int32)
+    return spark.createDataFrame(pa.table({"token": ids, "length": np.concatenate((size, b.sizes)).astype(np.int32)}))
 
 
 def token_rows(docs: DataFrame, p: Alignment) -> DataFrame:
-    """k, mid, doc_id, tokens: those of A, then those of B. k follows from the row; with mid it names the row."""
+    """k, mid, doc_id, n_a, tokens: the ids of A, then those of B. k follows from the row; with mid it names the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_of, b_of, size = _both(p)
         for b, _, _ in sliced(batches, "text", 1 << 19):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            ours = [x[:-1].astype(np.int64) for x in a_of.encode([" " + t for t in texts])]
-            theirs = b_of.encode(texts)
-            out = []
-            for t, x, y in zip(texts, ours, theirs, strict=True):
-                raw = t.encode()
-                n = len(raw) + 1
-                if not raw or size[x].sum() != n or b_of.size[y].sum() != n or "▁" in t or (not t.isascii() and b_of.spell(y) != b" " + raw):
-                    out.append(np.zeros(0, np.int32))
-                else:
-                    out.append(np.concatenate((size[x] << LENGTH | x, b_of.size[y] << LENGTH | 1 << SIDE | y)).astype(np.int32))
+            spaced = [" " + t if t else "" for t in texts]
+            out, n_a = [], []
+            for t, x, y in zip(spaced, a_of.encode(spaced), b_of.encode(spaced), strict=True):
+                x, y, raw = x[:-1].astype(np.int64), y[:-1].astype(np.int64), t.encode()
+                if size[x].sum() != len(raw) or b_of.sizes[y].sum() != len(raw) or "▁" in t or (not t.isascii() and b_of.spell(y) != raw):
+                    x = y = np.zeros(0, np.int64)
+                n_a.append(len(x))
+                out.append(np.concatenate((x, y)).astype(np.uint16).view(np.int16))
             ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            yield pa.record_batch([*(b.column(c) for c in ("k", "mid", "doc_id")), pa.ListArray.from_arrays(ends, np.concatenate(out))], ["k", "mid", "doc_id", "tokens"])
+            yield pa.record_batch([*(b.column(c) for c in ("k", "mid", "doc_id")), pa.array(n_a, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(out))], ["k", "mid", "doc_id", "n_a", "tokens"])
 
     keyed = dealt(docs.select(F.col("doc_id").cast("long"), "text")).select(F.xxhash64("doc_id", "text").alias("k"), F.monotonically_increasing_id().alias("mid"), "doc_id", "text")
-    return keyed.mapInArrow(run, "k long, mid long, doc_id long, tokens array<int>")
+    return keyed.mapInArrow(run, "k long, mid long, doc_id long, n_a int, tokens array<short>")
 
 
-def stretches(rows: DataFrame) -> DataFrame:
-    """token_rows to k, mid, doc_id, end, a, b (the ids of the tokens over the stretch that ends there), kind: 1 an end of A, 2 of
-    B, 3 a cut; group: how many cuts from there on. One row, of nulls, for a document without tokens."""
+def partitions(docs: DataFrame) -> int:
+    """In how many parts all texts' tokens can be sorted in memory. Reads the texts' sizes."""
+    spark = docs.sparkSession
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = spark._jvm.org.apache.spark.util.Utils.memoryStringToMb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")) << 20
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    task = max(heap - (300 << 20), heap // 4) * float(conf.get("spark.memory.fraction", "0.6")) * 0.6 / cores
+    n = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * FOOTPRINT / task) + 1)
+
+
+def stretches(rows: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """token_rows and the vocabulary to k, mid, doc_id, end, a, b (the ids of the tokens over the stretch that ends there), kind: 1 an end of A, 2 of
+    B, 3 a cut; group: how many cuts there are from there on. One row, of nulls, for a document without tokens."""
     doc = ["k", "mid"]
-    t = rows.repartition("k").select(*doc, "doc_id", F.posexplode_outer("tokens").alias("pos", "t"))
-    t = t.select(*doc, "doc_id", "pos", F.expr(f"shiftright(t, {SIDE}) & 1").alias("side"), F.expr("t & 65535").alias("id"), F.expr(f"shiftright(t, {LENGTH})").alias("length"))
+    t = rows.repartition(parts, "k").select(*doc, "doc_id", "n_a", F.posexplode_outer("tokens").alias("pos", "t"))
+    t = t.select(*doc, "doc_id", "pos", F.expr(f"cast(pos >= n_a as int) << {SIDE} | cast(t as int) & 65535").alias("token")).join(F.broadcast(words), "token", "left")
+    t = t.select(*doc, "doc_id", "pos", F.expr(f"shiftright(token, {SIDE})").alias("side"), F.expr("token & 65535").alias("id"), "length")
     end = F.sum("length").over(W.partitionBy(*doc, "side").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
     t = t.select(*doc, "doc_id", "side", "id", end.alias("end"))
     down = W.partitionBy(*doc).orderBy(F.desc("end"))
@@ -138,7 +157,7 @@ def stretches(rows: DataFrame) -> DataFrame:
         (F.count("end").over(upto) - F.dense_rank().over(down)).alias("group"),
     )
     kind = F.when(F.col("end") == F.col("after"), 3).otherwise(F.col("side") + 1)
-    return t.filter(F.col("end").isNull() | F.col("before").isNull() | (F.col("before") != F.col("end"))).select(*doc, "doc_id", "end", "a", "b", kind.alias("kind"), (F.col("group") + 1).alias("group"))
+    return t.filter(F.col("end").isNull() | F.col("before").isNull() | (F.col("before") != F.col("end"))).select(*doc, "doc_id", "end", "a", "b", kind.alias("kind"), "group")
 
 
 _digits: list[np.ndarray] = []
@@ -172,33 +191,27 @@ FACTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sh
 
 def document_facts(s: DataFrame) -> DataFrame:
     """stretches to FACTS, one row a document. links: distinct id pairs, a << 15 | b, below 32 bits of how often each comes."""
-    per = s.groupBy("k", "mid", "doc_id").agg(
-        F.count_if(F.col("kind").bitwiseAND(1) > 0).alias("n_a"), F.count_if(F.col("kind").bitwiseAND(2) > 0).alias("n_b"),
-        F.coalesce(F.max(F.when(F.col("end").isNotNull(), F.col("group") - 1)), F.lit(0)).alias("n_groups"), F.count("end").alias("n_links"), F.collect_list(F.expr(PACKED)).alias("s"),
-    )
+    names = [c.split()[0] for c in FACTS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                b = batch.slice(at, 64)
-                digests, links = [], []
-                for row in b.column("s"):
-                    p = np.sort(row.values.to_numpy(zero_copy_only=False))
-                    x, y, kind = p >> 17 & 0xFFFF, p >> 2 & 0x7FFF, p & 3
-                    digests.append(hashlib.sha256(groups_text(x, y, kind)).hexdigest() if len(p) else "")
-                    pair, times = np.unique(x << 15 | y, return_counts=True)
-                    links.append(times << 32 | pair)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in links]))).astype(np.int32)
-                yield pa.record_batch([*(b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(digests), pa.ListArray.from_arrays(ends, np.concatenate(links))], [c.split()[0] for c in FACTS.split(", ")])
-
-    return per.drop("k", "mid").mapInArrow(run, FACTS)
+    def run(doc: pa.Table) -> pa.Table:
+        p = doc.column("s").drop_null().to_numpy()
+        p = np.sort(p)
+        x, y, kind = p >> 17 & 0xFFFF, p >> 2 & 0x7FFF, p & 3
+        pair, times = np.unique(x << 15 | y, return_counts=True)
+        n_groups = pc.max(doc.column("group")).as_py() if len(p) else 0
+        one = [doc.column("doc_id")[0].as_py(), int((kind & 1).sum()), int((kind >> 1).sum()), n_groups, len(p), hashlib.sha256(groups_text(x, y, kind)).hexdigest() if len(p) else ""]
+        links = pa.ListArray.from_arrays(np.array([0, len(pair)], np.int32), times << 32 | pair)
+        return pa.table([*(pa.array([v], t) for v, t in zip(one, [pa.int64()] * 5 + [pa.string()], strict=True)), links], names)
+
+    # sorted by document already, so each goes to the function as it stands
+    return s.select("k", "mid", "doc_id", "group", F.expr(PACKED).alias("s")).groupBy("k", "mid").applyInArrow(run, FACTS)
 
 
 def align(docs: DataFrame, p: Alignment) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: one row for each input row."""
     staged = Staged(docs.sparkSession)
     # the number of a row is fixed by the writing
-    facts = staged.write(document_facts(stretches(token_rows(docs, p))).withColumn("row", F.monotonically_increasing_id()))
+    facts = staged.write(document_facts(stretches(token_rows(docs, p), vocabulary(docs.sparkSession, p), partitions(docs))).withColumn("row", F.monotonically_increasing_id()))
     link = facts.select("row", F.explode("links").alias("l")).select("row", F.expr("l & 4294967295L").alias("pair"), F.shiftright("l", 32).alias("times"))
     counts = staged.write(link.groupBy("pair").agg(F.count("*").alias("n")))
     top = counts.groupBy(F.shiftright("pair", 15).alias("a")).agg(F.max("n").alias("most"))  # one row an A id
