@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from brindle.functions import geometry as G
 from brindle.functions import scalars as S
+from brindle.operators.matching import match_images  # noqa: F401  it belongs to the steps here
 
 
 # Fixed values of the confirmed schema: keys 'Raw data ID', '합성유무' and the others named below.
@@ -51,22 +52,6 @@ def unparsed(records: DataFrame, text: str = "json") -> DataFrame:
     return records.agg(F.count_if(F.col(text).isNotNull() & F.try_parse_json(F.regexp_replace(text, "^﻿", "")).isNull()).alias("n_unparsed"))
 
 
-def match_images(records: DataFrame, images: DataFrame, name: str = "image_name", record_path: str = "json_path", image_path: str = "image_path", within: list[str] | None = None) -> DataFrame:
-    """records with the image of their name, else of their stem, that shares most path components; unmatched ones go.
-
-    Equal images: the first path. within: columns of both sides that must be equal. Equal records are compared once, whatever
-    their number, and rows are told apart by what they hold, so a lost executor can't renumber them.
-    """
-    within = within or []
-    keys = images.select(image_path, *within, F.explode(F.array(S.file_name(image_path), S.stem(image_path))).alias("k")).distinct()
-    sought = records.select(name, record_path, *within).distinct()
-    want = sought.select(name, record_path, *within, F.explode(F.array(F.struct(F.col(name).alias("k"), F.lit(0).alias("want")), F.struct(S.stem(name).alias("k"), F.lit(1).alias("want")))).alias("w")).select(name, record_path, *within, "w.k", "w.want")
-    parts = lambda p: F.array_distinct(F.split(p, r"[/\\]"))
-    both = want.join(keys, ["k", *within]).withColumn("overlap", F.size(F.array_intersect(parts(record_path), parts(image_path))))
-    best = both.groupBy(name, record_path, *within).agg(F.min(F.struct("want", (-F.col("overlap")).alias("o"), F.col(image_path).alias("p"))).alias("b")).select(name, record_path, *within, F.col("b.p").alias(image_path))
-    return records.join(best, [name, record_path, *within])
-
-
 def scope(rows: DataFrame, species: str = "species_code", keep_species: str | None = "D", camera: str = "camera", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Rows in scope. A filter applies only where the data has what it asks for: one pass looks for it first."""
     has = rows.agg(F.count(F.nullif(species, F.lit(""))).alias("s"), F.count_if(F.col(camera).isin(*(include or [""]))).alias("i")).first()
