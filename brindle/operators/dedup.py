@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -56,23 +56,35 @@ def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6,
     below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost. With a
     cap, buckets of more representatives than that are left out instead; `skipped_buckets` lists them.
     """
-    reps = sigs.filter(F.col("b0").isNotNull()).groupBy(*_words()).agg(F.min(key).alias("id"))
-    rows = reps.select("id", F.struct(*_words()).alias("s"), F.posexplode(F.array(*_words())).alias("band", "bits"))
+    rows = bands(sigs.filter(F.col("b0").isNotNull()).groupBy(*_words()).agg(F.min(key).alias("id")))
     sized = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    place = ["band", "bits"]
     if cap is not None:
-        rows = rows.join(sized.filter(F.col("n") <= cap).select(*place), place)
-    else:
-        m = max_hamming + 1  # parts beyond the 64th are empty, and so equal
-        masks = [sum(1 << i for i in range(k, 64, m)) for k in range(m)]
-        masks = [x - (1 << 64) if x >> 63 else x for x in masks]
-        part = [F.struct(F.lit(k).alias("part"), *(F.col(f"s.{w}").cast("long").bitwiseAND(F.lit(x)).alias(w) for w in _words())) for k, x in enumerate(masks)]
-        whole = F.struct(F.lit(-1).alias("part"), *(F.lit(0).cast("long").alias(w) for w in _words()))
-        rows = rows.join(sized, place).select("id", "s", *place, F.explode(F.when(F.col("n") > crowded, F.array(*part)).otherwise(F.array(whole))).alias("p"))
-        rows = rows.select("id", "s", *place, *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("part", *_words())))
-        place += [f"p_{c}" for c in ("part", *_words())]
-    a, b = rows.alias("x"), rows.alias("y")
-    near = a.join(b, reduce(lambda c, d: c & d, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in place)) & (F.col("x.id") < F.col("y.id")))
+        kept = sized.filter(F.col("n") <= cap).withColumn("n", F.lit(0))
+        return near_pairs(*[parted(rows, kept, max_hamming, crowded)] * 2, max_hamming, F.col("x.id") < F.col("y.id"))
+    return near_pairs(*[parted(rows, sized, max_hamming, crowded)] * 2, max_hamming, F.col("x.id") < F.col("y.id"))
+
+
+def bands(reps: DataFrame) -> DataFrame:
+    """id, s (the words), band, bits: a row a band of each representative(id, words)."""
+    return reps.select("id", F.struct(*_words()).alias("s"), F.posexplode(F.array(*_words())).alias("band", "bits"))
+
+
+def parted(rows: DataFrame, sized: DataFrame, max_hamming: int, crowded: int) -> DataFrame:
+    """bands() in the buckets of sized(band, bits, n), with p: the part of the signature that a crowded bucket is split by."""
+    m = max_hamming + 1  # parts beyond the 64th are empty, and so equal
+    masks = [sum(1 << i for i in range(k, 64, m)) for k in range(m)]
+    masks = [x - (1 << 64) if x >> 63 else x for x in masks]
+    part = [F.struct(F.lit(k).alias("part"), *(F.col(f"s.{w}").cast("long").bitwiseAND(F.lit(x)).alias(w) for w in _words())) for k, x in enumerate(masks)]
+    whole = F.struct(F.lit(-1).alias("part"), *(F.lit(0).cast("long").alias(w) for w in _words()))
+    split = F.explode(F.when(F.col("n") > crowded, F.array(*part)).otherwise(F.array(whole))).alias("p")
+    rows = rows.join(sized, ["band", "bits"]).select("id", "s", "band", "bits", split)
+    return rows.select("id", "s", "band", "bits", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("part", *_words())))
+
+
+def near_pairs(a: DataFrame, b: DataFrame, max_hamming: int, also: Column) -> DataFrame:
+    """(u, v, distance) of parted() rows of a and b in one place that are near enough; also: a condition on x and y."""
+    place = ["band", "bits", *(f"p_{c}" for c in ("part", *_words()))]
+    near = a.alias("x").join(b.alias("y"), reduce(lambda c, d: c & d, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in place)) & also)
     dist = hamming("x.s", "y.s")
     return near.filter(dist <= max_hamming).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), dist.alias("distance")).distinct()
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brindle.functions.scalars import bucket
+from brindle.operators.forest import Forest
 from brindle.operators.graph import connected_components
 from brindle.session import Staged
 
@@ -19,16 +20,35 @@ def build_groups(rows: DataFrame, key: str, animal: str = "animal_id", dup: str
     group of its own.
     """
     has = rows.agg(F.count(animal).alias("a"), F.count(dup).alias("d")).first() if {animal, dup} <= set(rows.columns) else {"a": int(animal in rows.columns), "d": int(dup in rows.columns)}
-    null = F.lit(None).cast("string")
-    a = F.concat(F.lit("animal::"), F.col(animal).cast("string")) if has["a"] else null
-    d = F.concat(F.lit("dup::"), F.col(dup).cast("string")) if has["d"] else null
-    keyed = rows.withColumn("_a", a).withColumn("_d", d)
-    comp = connected_components(keyed.filter("_a is not null and _d is not null").select(F.col("_a").alias("u"), F.col("_d").alias("v")).distinct(), Staged(rows.sparkSession))
-    node = F.coalesce("_a", "_d")
-    grouped = keyed.withColumn("_n", node).join(comp.withColumnRenamed("v", "_n"), "_n", "left")
+    keyed = _keyed(rows, animal if has["a"] else None, dup if has["d"] else None)
+    comp = connected_components(_edges(keyed), Staged(rows.sparkSession))
+    return _grouped(keyed, comp, key)
+
+
+def _keyed(rows: DataFrame, animal: str | None, dup: str | None) -> DataFrame:
+    of = lambda kind, c: F.concat(F.lit(f"{kind}::"), F.col(c).cast("string")) if c else F.lit(None).cast("string")
+    return rows.withColumn("_a", of("animal", animal)).withColumn("_d", of("dup", dup))
+
+
+def _edges(keyed: DataFrame) -> DataFrame:
+    return keyed.filter("_a is not null and _d is not null").select(F.col("_a").alias("u"), F.col("_d").alias("v")).distinct()
+
+
+def _grouped(keyed: DataFrame, comp: DataFrame, key: str) -> DataFrame:
+    grouped = keyed.withColumn("_n", F.coalesce("_a", "_d")).join(comp.withColumnRenamed("v", "_n"), "_n", "left")
     return grouped.withColumn("group", F.coalesce("component", "_n", F.concat(F.lit("row::"), F.col(key).cast("string")))).drop("_a", "_d", "_n", "component")
 
 
+def extend_groups(forest: Forest, rows: DataFrame, animal: str = "animal_id", dup: str = "dup_cluster") -> None:
+    """The groups that a chunk of rows makes or joins, in a stored forest; what it doesn't touch is not read again."""
+    forest.add(_edges(_keyed(rows, animal, dup)))
+
+
+def groups_of(forest: Forest, rows: DataFrame, key: str, animal: str = "animal_id", dup: str = "dup_cluster") -> DataFrame:
+    """rows with their group as the forest has it, named as by `build_groups`."""
+    return _grouped(_keyed(rows, animal, dup), forest.components(), key)
+
+
 def holdout(group: Column | str, share: float = 0.15, seed: int = 42) -> Column:
     return bucket(group, 1000, f"holdout{seed}") < int(share * 1000)
 

@@ -44,6 +44,20 @@ def near_dup_clusters(spark, sf):
     return D.clusters(D.simhash(table(spark, sf, "documents")))
 
 
+@query(f"WITH RECURSIVE {SIG_SQL}, {PAIR_SQL}, {CLUSTER_SQL} SELECT * FROM c")
+def near_dup_clusters_added(spark, sf):
+    """The same clusters, documents coming in two chunks, the second one against a stored index of the first."""
+    from uuid import uuid4
+
+    from brindle.operators.dedup_index import SignatureIndex
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = SignatureIndex(spark, Staged(spark).root, f"brindle_bands_{uuid4().hex}")
+    for chunk in (docs.filter("xxhash64(doc_id) % 2 = 0"), docs.filter("xxhash64(doc_id) % 2 <> 0")):
+        index.add(D.simhash(chunk))
+    return index.clusters()
+
+
 def labelled(spark, sf: str) -> DataFrame:
     """doc_id, dup_cluster, hashed, label (quality, null where unknown), area_ratio (n_chars)."""
     rows = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("area_ratio"))

@@ -28,6 +28,18 @@ def split_groups(spark, sf):
     return P.build_groups(e, "event_id").select("event_id", "group")
 
 
+@query(_GROUP_SQL)
+def split_groups_added(spark, sf):
+    """The same groups, events coming in two chunks, the second one's edges added to the stored forest of the first."""
+    from brindle.operators.forest import Forest
+
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.col("user_id") % 40).alias("animal_id"), F.when(F.col("event_id") % 97 == 0, F.col("event_id") % 11).alias("dup_cluster"))
+    forest = Forest(spark, Staged(spark).root)
+    for chunk in (e.filter("xxhash64(event_id) % 2 = 0"), e.filter("xxhash64(event_id) % 2 <> 0")):
+        P.extend_groups(forest, chunk)
+    return P.groups_of(forest, e, "event_id").select("event_id", "group")
+
+
 @query(f"SELECT c_custkey, {_bucket('holdout42', 'c_custkey', 1000)} AS bucket, {_bucket('holdout42', 'c_custkey', 1000)} < 150 AS is_holdout FROM customer")
 def holdout_bucket(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", bucket("c_custkey", 1000, "holdout42").alias("bucket"), P.holdout("c_custkey").alias("is_holdout"))
