@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from brindle.operators.prefix import scan
+
 
 def stress_summary(rows: DataFrame, baseline: str, by: list[str] | None = None) -> DataFrame:
     """rows(condition, score): baseline, worst, worst_condition, abs_drop, rel_drop, verdict; no row without a baseline."""
@@ -24,18 +26,30 @@ def usable_band(rows: DataFrame, tolerances: list[float], x: str = "x", score: s
     Equal peaks: the first by `tie` (else the smallest x).
     """
     by = by or []
-    part = W.partitionBy(*by)
     clean = rows.withColumn("_s", F.nanvl(score, F.lit(None).cast("double"))).filter("_s is not null")
-    peaked = clean.withColumn("_peak", F.max("_s").over(part))
-    first = peaked.withColumn("_at", F.min(F.when(F.col("_s") == F.col("_peak"), F.struct(F.col(tie or x).alias("o"), F.col(x).alias("x")))).over(part)["x"])
-    each = first.withColumn("tolerance", F.explode(F.array(*(F.lit(float(t)) for t in tolerances))))
-    ok = each.withColumn("_ok", F.col("_s") >= F.col("_peak") * (1 - F.col("tolerance")))
-    order = W.partitionBy(*by, "tolerance").orderBy(x)
-    cut = ok.withColumn("_gap", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(order))
+    top = clean.groupBy(*by).agg(F.max(F.struct("_s"))["_s"].alias("_peak"))
+    beside = lambda df: _beside(clean, df, by)
+    at = beside(top).filter(F.col("_s") == F.col("_peak")).groupBy(*by).agg(F.max("_peak").alias("_peak"), F.min(F.struct(F.col(tie or x).alias("o"), F.col(x).alias("x")))["x"].alias("_at"))
+    each = beside(at).withColumn("tolerance", F.explode(F.array(*(F.lit(float(t)) for t in tolerances))))
+    ok = F.col("_s") >= F.col("_peak") * (1 - F.col("tolerance"))
+    # a step of x is one row, so that the order is total; what breaks the run is counted along it
+    steps = each.groupBy(*by, "tolerance", x).agg(F.max(ok).alias("_ok"), F.count_if(~ok).alias("_bad"), F.max("_peak").alias("_peak"), F.max("_at").alias("_at"))
+    cut = scan(steps, [x], {"_gap": ("sum", "_bad")}, [*by, "tolerance"])
     island = cut.filter("_ok").groupBy(*by, "tolerance", "_gap").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.col(x) == F.col("_at")).alias("_here"), F.max("_peak").alias("peak"), F.max("_at").alias("peak_at"))
     return island.filter("_here").select(*by, "tolerance", "low", "high", "peak", "peak_at")
 
 
+def _beside(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the facts of their group, of which there is one row; null is a group."""
+    if not by:
+        return rows.crossJoin(facts)  # one row
+    named = facts.select(*(F.col(c).alias(f"_by_{c}") for c in by), *(c for c in facts.columns if c not in by))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return rows.join(named, same).drop(*(f"_by_{c}" for c in by))
+
+
 def usable_shift(rows: DataFrame, tolerance: float, x: str = "x", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """For each curve the largest x up to which, from 0, every score is at least the one at 0 times (1 - tolerance).
 
@@ -84,10 +98,9 @@ def compare_runs(runs: DataFrame, base_value: str, noise: float = 0.03, want: fl
 
 def training_trace(history: DataFrame, epoch: str = "epoch", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """history with best_so_far, improved (strictly), best_epoch and epochs_since."""
-    order = W.partitionBy(*(by or [])).orderBy(epoch)
-    before = F.max(score).over(order.rowsBetween(W.unboundedPreceding, -1))
-    h = history.withColumn("improved", before.isNull() | (F.col(score) > before)).withColumn("best_so_far", F.max(score).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    h = h.withColumn("best_epoch", F.last(F.when(F.col("improved"), F.col(epoch)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    h = scan(history, [epoch], {"_before": ("max", score), "best_so_far": ("max", score)}, by, before=("_before",))
+    h = h.withColumn("improved", F.col("_before").isNull() | (F.col(score) > F.col("_before"))).drop("_before")
+    h = scan(h, [epoch], {"best_epoch": ("last", F.when(F.col("improved"), F.col(epoch)))}, by)
     return h.withColumn("epochs_since", F.col(epoch) - F.col("best_epoch"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +110,53 @@ def bootstrap(rows: DataFrame, key: str, replicates: int = 200, alpha: float = 0
     return point.crossJoin(per.agg(F.expr(f"percentile(acc, {alpha / 2}D)").alias("low"), F.expr(f"percentile(acc, {1 - alpha / 2}D)").alias("high"), F.count("*").alias("replicates")))
 
 
+#: Rows of a cell up to which its weight comes from the cumulative chances themselves.
+COUNTED = 32
+
+
+def poisson_steps(most: int = COUNTED) -> list[tuple[int, float]]:
+    """(n, c): for each n up to most, the cumulative chances of Poisson(n), term by term until they no longer grow."""
+    out = []
+    for n in range(1, most + 1):
+        p = c = math.exp(-n)
+        out.append((n, c))
+        for i in range(4 * most):
+            p = p * n / (i + 1)
+            c = c + p
+            out.append((n, c))
+    return out
+
+
+def bootstrap_cells(rows: DataFrame, metric: str = "macro_f1", replicates: int = 1000, alpha: float = 0.05, seed: int = 42, y: str = "y", pred: str = "pred") -> DataFrame:
+    """One row: metric (macro_f1 or balanced_accuracy), value, low, high, replicates: a percentile interval of a bootstrap by rows.
+
+    n rows of a confusion cell, weighed by Poisson(1) each, weigh Poisson(n) together, so each cell of each replicate is drawn at
+    once, at any table size: by inversion up to COUNTED rows, beyond by a normal deviate with the next term of the expansion.
+    Draws are digests of seed, replicate and cell. Rows without y are left out, a null pred is a miss, and so are replicates
+    with fewer than two true classes left out. Classes are those seen in y or pred (macro_f1) or in y (balanced_accuracy).
+    """
+    if metric not in ("macro_f1", "balanced_accuracy"):
+        raise ValueError(metric)
+    spark, kind = rows.sparkSession, rows.schema[y].dataType
+    cells = rows.select(F.col(y).alias("y"), F.col(pred).cast(kind).alias("pred")).filter("y is not null").groupBy("y", "pred").agg(F.count("*").alias("n"))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    draw = lambda salt: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{salt}{seed}"), F.col("rep").cast("string"), name("y"), name("pred")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    drawn = cells.crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "rep"))).withColumn("u", draw("a")).withColumn("v", draw("b"))
+    z = F.sqrt(-2 * F.log("u")) * F.cos(2 * math.pi * F.col("v"))
+    many = F.greatest(F.round(F.col("n") + F.sqrt("n") * z + (z * z - 1) / 6), F.lit(0.0)).cast("long")
+    steps = spark.createDataFrame(poisson_steps(), "k int, c double").groupBy("k").agg(F.collect_list("c").alias("steps"))
+    weighed = drawn.join(F.broadcast(steps), F.col("n") == F.col("k"), "left")  # COUNTED rows
+    weighed = weighed.select("rep", "y", "pred", F.when(F.col("n") > COUNTED, many).otherwise(F.size(F.filter("steps", lambda c: c < F.col("u")))).cast("long").alias("n")).filter("n > 0")
+    weighed = weighed.unionByName(cells.withColumn("rep", F.lit(-1).cast("long")))
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("s"), zero.alias("p"), F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(zero).alias("t")), F.struct(F.col("pred").alias("c"), zero.alias("s"), F.col("n").alias("p"), zero.alias("t")))
+    per = weighed.select("rep", F.explode(sides).alias("x")).select("rep", "x.*").filter("c is not null").groupBy("rep", "c").agg(F.sum("s").alias("s"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    value = F.avg(2 * F.col("t") / (F.col("s") + F.col("p"))) if metric == "macro_f1" else F.avg(F.when(F.col("s") > 0, F.col("t") / F.col("s")))
+    per = per.groupBy("rep").agg(value.alias("v"), F.count_if(F.col("s") > 0).alias("k"))
+    kept = F.when((F.col("rep") >= 0) & (F.col("k") >= 2), F.col("v"))
+    return per.agg(F.lit(metric).alias("metric"), F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("value"), F.percentile(kept, alpha / 2).alias("low"), F.percentile(kept, 1 - alpha / 2).alias("high"), F.count(kept).alias("replicates"))  # a row a replicate
+
+
 def bootstrap_ci(rows: DataFrame, key: str, metric: str = "macro_f1", replicates: int = 1000, alpha: float = 0.05, seed: int = 42, slots: int = 1024, y: str = "y", pred: str = "pred") -> DataFrame:
     """One row: macro_f1 or balanced_accuracy with a percentile interval, from weights as in bootstrap.
 

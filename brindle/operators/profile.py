@@ -92,16 +92,25 @@ def key_profile(leaves: DataFrame, files: DataFrame, k: int = 120) -> DataFrame:
 
 
 def role_guess(profile: DataFrame, hints: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """From rows(path, freq): role, path, score: the key that fits each role best; the first path among equals.
+    """From key_profile rows(path, freq, types, examples): role, path, score: the key that fits each role best; the first path
+    among equals.
 
-    A hint scores 3 if it is the leaf, else 1.5 if it is in it, and 0.5 if it is in the path; the sum is times freq.
+    A hint gives most where it is the leaf, less where it is in it, least where it is in the path; the sum is times freq. A key
+    that any hint speaks for gains by the look of its values.
     """
     spark = profile.sparkSession
-    table = spark.createDataFrame([(r, h) for r, hs in (hints or FIELD_HINTS).items() for h in hs], "role string, hint string")
-    leaf = F.lower(F.regexp_replace(F.substring_index("path", ".", -1), r"\[\]", ""))
-    points = F.when(leaf == F.col("hint"), 3.0).when(leaf.contains(F.col("hint")), 1.5).otherwise(0.0) + F.when(F.lower("path").contains(F.col("hint")), 0.5).otherwise(0.0)
-    scored = profile.crossJoin(F.broadcast(table)).groupBy("role", "path", "freq").agg(F.sum(points).alias("s")).filter("s > 0")
-    best = scored.groupBy("role").agg(F.min(F.struct((-F.col("s") * F.col("freq")).alias("neg"), F.col("path").alias("path"))).alias("b"))
+    table = spark.createDataFrame([(r, h.lower()) for r, hs in (hints or FIELD_HINTS).items() for h in hs], "role string, hint string")
+    leaf = F.lower(F.substring_index("path", ".", -1))
+    # Points of a hint, and what the look of values adds by role.
+    points = F.when(leaf == F.col("hint"), 3.0).when(leaf.contains(F.col("hint")), 1.5).when(F.lower("path").contains(F.col("hint")), 0.5).otherwise(0.0)
+    has = lambda *kinds: F.arrays_overlap("kinds", F.array(*map(F.lit, kinds)))
+    role, shown = F.col("role"), F.array_join(F.coalesce("examples", F.array().cast("array<string>")), " ")
+    looks = F.when(role.isin("width", "height") & has("int", "float"), 1.0).when((role == "polygon") & (has("list") | shown.rlike(r"\d+\s*,\s*\d+")), 1.5)
+    looks = looks.when((role == "bbox") & has("int", "float", "list"), 1.0).when((role == "image_name") & shown.rlike(r"(?i)\.(jpg|jpeg|png)"), 3.0)
+    looks = looks.when((role == "label") & shown.rlike(r"\bA[1-7]\b"), 3.0).when((role == "animal_id") & has("str", "int") & (F.length(shown) < 40), 0.5).otherwise(0.0)
+    hit = profile.select("path", "freq", "examples", F.map_keys("types").alias("kinds")).crossJoin(F.broadcast(table))  # the hints
+    scored = hit.groupBy("role", "path", "freq", "kinds", "examples").agg(F.sum(points).alias("s")).filter("s > 0")
+    best = scored.groupBy("role").agg(F.min(F.struct((-(F.col("s") * F.col("freq") + looks)).alias("neg"), F.col("path").alias("path"))).alias("b"))
     return best.select("role", F.col("b.path").alias("path"), (-F.col("b.neg")).alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from brindle.functions.scalars import bucket
 from brindle.operators.forest import Forest
 from brindle.operators.graph import connected_components
+from brindle.operators.prefix import running_sums
 from brindle.session import Staged
 
 
@@ -91,12 +92,31 @@ def stratified_group_folds(rows: DataFrame, label: str = "label", k: int = 5, se
     return counts.withColumn("_shard", bucket("group", max(1, shards), f"shard{seed}")).groupBy("_shard").applyInPandas(assign, f"group {kind}, fold int")
 
 
+def dealt_group_folds(rows: DataFrame, label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
+    """group, fold: groups of like profile and size, one after another, dealt to the folds there and back.
+
+    Groups stand in order of profile (their labels by frequency, then how much the first prevails in eighths), then of size,
+    then of a hash, and a running count over that order deals them; it goes on from one profile to the next, so that what is
+    left of one is made up for in the other. The count is dealt out by ranges, so no task sees all groups. Null is a group.
+    """
+    counts = rows.groupBy("group", F.coalesce(F.col(label).cast("string"), F.lit("NA")).alias("label")).agg(F.count("*").alias("n"))
+    # a row a group; its labels are as many as there are classes at most
+    g = counts.groupBy("group").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label"))).alias("by"))
+    g = g.select("group", "n", F.array_join(F.col("by.label"), "\x1f").alias("profile"), F.floor(-8 * F.col("by")[0]["m"] / F.col("n")).alias("eighths"), F.lit(1).alias("one"))
+    tie = F.md5(F.concat(F.lit(str(seed)), F.coalesce(F.col("group").cast("string"), F.lit(""))).cast("binary"))
+    order = [F.col("profile"), F.col("eighths"), F.col("n").desc(), tie, F.col("group")]
+    at = F.col("rank") - 1
+    turn = F.pmod(at, F.lit(k))
+    fold = F.when(F.floor(at / k) % 2 == 0, turn).otherwise(k - 1 - turn)
+    return running_sums(g, order, {"rank": "one"}).select("group", fold.cast("int").alias("fold"))
+
+
 def assign(rows: DataFrame, key: str, label: str = "label", k: int = 5, share: float = 0.15, seed: int = 42, stratify: bool = True) -> DataFrame:
     """rows(group) with is_holdout and fold; hold-out rows have fold -1. Without stratify, folds are a hash of the group."""
     rows = rows.withColumn("is_holdout", holdout("group", share, seed))
     if not stratify:
         return rows.withColumn("fold", F.when(F.col("is_holdout"), -1).otherwise(hash_fold("group", k, seed)))
-    folds = stratified_group_folds(rows.filter("not is_holdout"), label, k, seed)
+    folds = dealt_group_folds(rows.filter("not is_holdout"), label, k, seed)
     return rows.join(folds, "group", "left").withColumn("fold", F.when(F.col("is_holdout"), -1).otherwise(F.col("fold")))
 
 

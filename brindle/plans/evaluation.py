@@ -172,6 +172,32 @@ def bootstrap_ci_poisson(spark, sf):
     return b.select(*(F.round(c, 6).alias(c) for c in ("accuracy", "low", "high")), "replicates")
 
 
+def _bootstrap_sql(metric: str) -> str:
+    value = "avg(2 * t / (s + p)::DOUBLE)" if metric == "macro_f1" else "avg(CASE WHEN s > 0 THEN t / s::DOUBLE END)"
+    draw = "(('0x' || substr(md5('{}42|' || rep || '|' || y || '|' || pred), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    return f"""WITH RECURSIVE {Z}, steps AS (SELECT k, 0 AS i, exp(-k::DOUBLE) AS p, exp(-k::DOUBLE) AS c FROM range(1, {M.COUNTED + 1}) r(k) UNION ALL SELECT k, i + 1, p * k / (i + 1), c + p * k / (i + 1) FROM steps WHERE i < {4 * M.COUNTED}),
+cell AS (SELECT y, {ARG.format('probs')} AS pred, count(*) AS n FROM z WHERE y IS NOT NULL GROUP BY ALL), d AS (SELECT rep, y, pred, n, {draw.format('a')} AS u, {draw.format('b')} AS v FROM cell, range(1000) t(rep)),
+g AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FROM d),
+w AS (SELECT rep, y, pred, (CASE WHEN n > {M.COUNTED} THEN greatest(round(n + sqrt(n) * x + (x * x - 1) / 6), 0) ELSE (SELECT count(*) FROM steps WHERE steps.k = g.n AND steps.c < g.u) END)::BIGINT AS n FROM g UNION ALL SELECT -1, y, pred, n FROM cell),
+e AS (SELECT rep, y AS c, n AS s, 0 AS p, CASE WHEN y = pred THEN n ELSE 0 END AS t FROM w WHERE n > 0 UNION ALL SELECT rep, pred, 0, n, 0 FROM w WHERE n > 0),
+k AS (SELECT rep, c, sum(s) AS s, sum(p) AS p, sum(t) AS t FROM e WHERE c IS NOT NULL GROUP BY ALL), r AS (SELECT rep, {value} AS v, count(*) FILTER (s > 0) AS k FROM k GROUP BY rep)
+SELECT '{metric}' AS metric, round(max(v) FILTER (rep < 0), 6) AS value, round(quantile_cont(v, 0.025) FILTER (rep >= 0 AND k >= 2), 6) AS low, round(quantile_cont(v, 0.975) FILTER (rep >= 0 AND k >= 2), 6) AS high, count(*) FILTER (rep >= 0 AND k >= 2) AS replicates FROM r"""
+
+
+def _bootstrap(spark, sf, metric):
+    return M.bootstrap_cells(predictions(spark, sf), metric).select("metric", *(F.round(c, 6).alias(c) for c in ("value", "low", "high")), "replicates")
+
+
+@query(_bootstrap_sql("macro_f1"))
+def bootstrap_macro_f1(spark, sf):
+    return _bootstrap(spark, sf, "macro_f1")
+
+
+@query(_bootstrap_sql("balanced_accuracy"))
+def bootstrap_balanced_accuracy(spark, sf):
+    return _bootstrap(spark, sf, "balanced_accuracy")
+
+
 _TWO = f"{Z}, t AS (SELECT vec_id, y2, s1, p2, CASE WHEN s1 >= 0.5 THEN {ARG.format('p2')} ELSE 6 END AS pred, CASE WHEN s1 >= 0.5 THEN s1 * list_max(p2) ELSE 1 - s1 END AS conf FROM z)"
 
 

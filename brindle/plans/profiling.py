@@ -100,13 +100,14 @@ def json_flatten_profile(spark, sf):
     return P.key_profile(leaves, e)
 
 
-HINTS = {"animal_id": ("id", "no", "k"), "width": ("width", "w"), "label": ("label", "kind")}
+HINTS = {"animal_id": ("id", "no", "k"), "width": ("width", "w"), "height": ("k",), "label": ("label", "kind")}
 
 
-@query("""WITH l AS (SELECT k AS path, count(*) / (SELECT count(*) FROM events)::DOUBLE AS freq FROM events, unnest(json_keys(props)) u(k) GROUP BY k),
-h(role, hint) AS (VALUES ('animal_id', 'id'), ('animal_id', 'no'), ('animal_id', 'k'), ('width', 'width'), ('width', 'w'), ('label', 'label'), ('label', 'kind')),
-s AS (SELECT role, path, freq, sum(CASE WHEN lower(path) = hint THEN 3.0::DOUBLE WHEN contains(lower(path), hint) THEN 1.5::DOUBLE ELSE 0 END + CASE WHEN contains(lower(path), hint) THEN 0.5::DOUBLE ELSE 0 END) AS s FROM l, h GROUP BY ALL HAVING s > 0)
-SELECT role, path, s * freq AS score FROM s QUALIFY row_number() OVER (PARTITION BY role ORDER BY s * freq DESC, path) = 1""")
+@query("""WITH l AS (SELECT k AS path, count(*) / (SELECT count(*) FROM events)::DOUBLE AS freq, arg_min(json_extract_string(props, '$.' || k), event_id) AS ex FROM events, unnest(json_keys(props)) u(k) GROUP BY k),
+h(role, hint) AS (VALUES ('animal_id', 'id'), ('animal_id', 'no'), ('animal_id', 'k'), ('width', 'width'), ('width', 'w'), ('height', 'k'), ('label', 'label'), ('label', 'kind')),
+s AS (SELECT role, path, freq, ex, sum(CASE WHEN lower(path) = hint THEN 3.0::DOUBLE WHEN contains(lower(path), hint) THEN 1.5::DOUBLE ELSE 0 END) AS s FROM l, h GROUP BY ALL HAVING s > 0),
+b AS (SELECT role, path, s * freq + CASE WHEN role IN ('width', 'height') THEN 1.0::DOUBLE WHEN role = 'animal_id' AND length(ex) < 40 THEN 0.5::DOUBLE ELSE 0 END AS score FROM s)
+SELECT role, path, score FROM b QUALIFY row_number() OVER (PARTITION BY role ORDER BY score DESC, path) = 1""")
 def json_role_guess(spark, sf):
     leaves, e = _leaves(spark, sf)
     return P.role_guess(P.key_profile(leaves, e), HINTS)

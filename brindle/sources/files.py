@@ -9,9 +9,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window as W
 
 from brindle.functions import scalars as S
+from brindle.operators.prefix import scan
 from brindle.operators.profile import IMAGE_EXTENSIONS
 
 
@@ -88,7 +88,7 @@ def cached_by_fingerprint(compute, root: str, digest: str, spark: SparkSession)
 def parse_listing(lines: DataFrame, order: str = "line_no", text: str = "value", by: list[str] | None = None) -> DataFrame:
     """A printed tree: 'name | size | key' rows under folder rows, to folder, name, size, size_gb, filekey.
 
-    A row's folder is the last folder row before it (within `by`, if the text has parts).
+    A row's folder is the last folder row before it (within `by`, if the text has parts), which a scan by ranges carries down.
     """
     # The marks of a printed tree, the length of a folder's name, and rows that sum up.
     mark = r"^[\s│├└─|+\\\-]*"
@@ -98,9 +98,9 @@ def parse_listing(lines: DataFrame, order: str = "line_no", text: str = "value",
     folder = F.trim(F.regexp_replace(text, mark, ""))
     keyed = F.col(text).rlike(r"\|\s*[0-9]{2,}\s*$")
     is_folder = ~is_file & ~keyed & (folder != "") & (F.length(folder) < 120) & ~F.lower(folder).rlike("^(total|sum|---)")
-    carried = F.last(F.when(is_folder, folder), ignorenulls=True).over(W.partitionBy(*(by or [])).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
     part = lambda k: F.trim(F.try_element_at(cut, F.lit(k)))
-    rows = lines.select(*(by or []), order, F.coalesce(carried, F.lit("")).alias("folder"), F.regexp_replace(part(-3), mark, "").alias("name"), part(-2).alias("size"), key.alias("filekey"), is_file.alias("_f"))
+    lines = scan(lines.select(*(by or []), order, text), [order], {"_folder": ("last", F.when(is_folder, folder))}, by)
+    rows = lines.select(*(by or []), order, F.coalesce("_folder", F.lit("")).alias("folder"), F.regexp_replace(part(-3), mark, "").alias("name"), part(-2).alias("size"), key.alias("filekey"), is_file.alias("_f"))
     return rows.filter("_f").drop("_f").withColumn("size_gb", S.size_gb("size"))
 
 
