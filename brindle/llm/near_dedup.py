@@ -5,8 +5,8 @@ its smallest hash, and an empty bin borrows from the first non-empty bin of its
 keys. Within a bucket, candidates are stars: the centre against every member of another component, then the next centres,
 until the members left are one component. So a bucket of copies costs one edge a member, yet no pair of a bucket is left
 untried unless it is linked already or can't be: after the first stars, classes of different components that share a rare
-shingle are paired by it, and all others are bounded by what they share of the common ones. Links are confirmed on the
-full sets.
+shingle are paired by it, and all others are bounded by what they share of the common ones. In these later stars two
+classes are a candidate in the first bucket that they share only. Links are confirmed on the full sets.
 
 With the default 32 bands of 4 bins, a pair at similarity 0.75 shares a bucket with probability 1 - 5e-6.
 
@@ -205,6 +205,7 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     # an intersection of m can't link sets of together `sizes` shingles otherwise
     bound = lambda m, sizes: (F.col(m) if isinstance(m, str) else m) * (100 + p.percent) >= sizes * p.percent
     sizes: DataFrame | None = None
+    keyed: DataFrame | None = None
     rest, centres = members.filter("c <> m.c").select("bucket", "c", "n"), p.centres
     while True:
         # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
@@ -225,8 +226,13 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
         left, n = staged.counted(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
         if rare is None and not n:
             return classes, comp
-        hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"))
-        pairs = left.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un"))).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
+        if keyed is None:
+            keyed = staged.write(heads.select("c", "bands").join(left.select("c").distinct(), "c"))
+        # two classes share many buckets as a rule; they are paired in the first one only, when its turn comes
+        own = left.join(keyed, "c")
+        hub = own.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"), F.col("bands").alias("ubands"))
+        first_shared = F.get(F.array_intersect("ubands", "bands"), F.lit(0)) == F.col("bucket")
+        pairs = own.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un")) & first_shared).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
         pairs = pairs if rare is None else pairs.union(rare)
         pairs = staged.write(pairs.filter(apt).select(*pair).distinct().join(tried, ["u", "v"], "left_anti"))
         new, n = staged.counted(_confirm(pairs, sets, p))

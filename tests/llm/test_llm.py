@@ -36,6 +36,10 @@ def texts(seed: int = 1) -> list[str | None]:
             w[rnd.randrange(len(w))] = rnd.choice(VOCAB)
         out.append("  ".join(w))
     out += [base, base.upper(), base.replace("T", "t")]
+    # words whose polynomials modulo 2**64 are equal in any odd base: the Thue-Morse word of 1,024 letters and its complement
+    x = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    line = [f"q{k}" for k in range(30)]
+    out += [" ".join([*line[:20], w, *line[20:]]) for w in (x, x.translate(str.maketrans("ab", "ba")))]
     long = say(30000)
     return [*out, long, long[:9000] + say(50)]
 
