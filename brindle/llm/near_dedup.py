@@ -211,7 +211,7 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
         # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
         now = rest.join(comp.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
         open_ = F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")
-        left, n = staged.counted(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket"), "bucket"))
+        left, n = staged.counted(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket", "least"), "bucket"))
         if not n:
             return classes, comp
         rare = None
@@ -220,8 +220,7 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
         # two classes that share no rare shingle share common ones only; a class too far from even the smallest member is
         # done with in that bucket, and a bucket that has one component left is, too
         sized = left.join(sizes, "c", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-        sized = sized.join(left.groupBy("bucket").agg(*open_[2:]), "bucket").filter(bound("h", F.col("n") + F.col("least"))).drop("least")
-        sized = staged.write(sized)
+        sized = staged.write(sized.filter(bound("h", F.col("n") + F.col("least"))).drop("least"))
         still = sized.groupBy("bucket").agg(*open_[:2]).filter("lo < hi").select("bucket")
         left, n = staged.counted(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
         if rare is None and not n:
