@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import geometry as G
 from brindle.functions.scalars import NORMAL
-from brindle.operators.prefix import quantiles, running_sums
+from brindle.operators.selection import order_statistics, quantiles
+from brindle.session import Staged
 
 
 def quantiles_by_label(rows: DataFrame, label: str, value: str) -> DataFrame:
@@ -27,15 +28,10 @@ def label_spread(rows: DataFrame, label: str, value: str, normal: str = NORMAL)
 
 
 def floor_quantiles(rows: DataFrame, value: str, points: list[float]) -> DataFrame:
-    """One row: for each p the value at rank floor(n p), from 0 and at most n - 1; p<percent> columns.
-
-    Values are counted first; the rank is found in the running counts, so no array of all values is gathered.
-    """
-    v = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    c = running_sums(v, [F.col("v")], {"upto": "n"})
-    total = v.agg(F.sum("n").alias("total"))
-    at = lambda p: F.least(F.floor(F.col("total") * F.lit(p)), F.col("total") - 1)
-    return c.crossJoin(F.broadcast(total)).agg(*(F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in points))
+    """One row: for each p the value at rank floor(n p), from 0 and at most n - 1; p<percent> columns. Nulls if there are no values."""
+    at = lambda p: lambda n: F.least(F.floor(n * F.lit(p)), n - 1)
+    found = order_statistics(rows, value, {f"p{round(p * 100)}": (at(p), at(p)) for p in points})
+    return found.agg(*(F.max(f"p{round(p * 100)}_first").alias(f"p{round(p * 100)}") for p in points))
 
 
 def area_profile(rows: DataFrame, value: str = "area_ratio") -> DataFrame:
@@ -58,8 +54,9 @@ def sharpness_audit(rows: DataFrame, blurry: float = 100.0, label: str = "label"
     """One row: the median and the share of blurry images, the normal median over the median lesion median, and warnings."""
     each = sharpness_by_label(rows, blurry, label, value)
     ratio = F.max(F.when(F.col(label) == normal, F.col("median"))) / F.greatest(F.percentile(F.when(F.col(label) != normal, F.col("median")), F.lit(0.5)), F.lit(1e-9))
-    all_ = rows.filter(F.col(value).isNotNull()).agg(F.percentile(value, F.lit(0.5)).alias("median"), F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
-    out = all_.crossJoin(each.agg(ratio.alias("normal_over_lesion")))
+    blur = rows.filter(F.col(value).isNotNull()).agg(F.avg((F.col(value) < blurry).cast("double")).alias("share_blurry"))
+    half = quantiles(rows, value, {"median": 0.5}).agg(F.max("median").alias("median"))
+    out = half.crossJoin(blur).crossJoin(each.agg(ratio.alias("normal_over_lesion")))  # one row each
     return out.withColumn("uneven", F.coalesce((F.col("normal_over_lesion") > 1.6) | (F.col("normal_over_lesion") < 0.62), F.lit(False))).withColumn("many_blurry", F.col("share_blurry") > 0.3)
 
 
@@ -86,14 +83,14 @@ def _visible(rows: DataFrame, tag: str) -> DataFrame:
 
 def visibility_by_label(rows: DataFrame, tag: str, label: str = "label") -> DataFrame:
     """label, n, mostly_gone, median_visible."""
-    seen = _visible(rows, tag).filter(F.col(label).isNotNull())
+    seen = Staged(rows.sparkSession).write(_visible(rows, tag).filter(F.col(label).isNotNull()).select(label, "v"))  # the windows are worked out once
     gone = seen.groupBy(label).agg(F.avg((F.col("v") <= 0.1).cast("double")).alias("mostly_gone"))
     return quantiles(seen, "v", {"median_visible": 0.5}, [label]).join(gone, label).select(label, "n", "mostly_gone", "median_visible")
 
 
 def visibility_loss(rows: DataFrame, tag: str, normal: str = NORMAL, label: str = "label") -> DataFrame:
     """One row: how much of the boxes a crop tag shows, and the recall that its losses still allow. A null label is a lesion."""
-    seen = _visible(rows, tag)
+    seen = Staged(rows.sparkSession).write(_visible(rows, tag).select(label, "v"))
     les = ~F.col(label).eqNullSafe(normal)
     gone = F.coalesce(F.avg(F.when(les, (F.col("v") <= 0.1).cast("double"))), F.lit(0.0))
     rates = seen.agg(
@@ -131,4 +128,8 @@ def overlap_score(rows: DataFrame, heat: str = "heat", width: str = "w", box: st
 
 
 def overlap_summary(scored: DataFrame) -> DataFrame:
-    return scored.filter("lift is not null").agg(F.count("*").alias("n"), F.avg("lift").alias("mean_lift"), F.percentile("lift", F.lit(0.5)).alias("median_lift"), F.avg((F.col("lift") > 1).cast("double")).alias("share_above_1"))
+    """One row: n, the mean and the median lift, and the share above 1; rows without a lift don't count."""
+    known = scored.filter("lift is not null")
+    half = quantiles(known, "lift", {"median_lift": 0.5}).agg(F.max("median_lift").alias("median_lift"))
+    g = known.agg(F.count("*").alias("n"), F.avg("lift").alias("mean_lift"), F.avg((F.col("lift") > 1).cast("double")).alias("share_above_1"))
+    return g.crossJoin(half).select("n", "mean_lift", "median_lift", "share_above_1")  # one row each

@@ -64,23 +64,3 @@ def scan(df: DataFrame, order: list[Column | str], values: dict[str, tuple[str,
     same = (F.col("l._part") == F.col("c._part")) & (F.struct(*by).eqNullSafe(F.col("c._g")) if by else F.lit(True))
     both = local.alias("l").join(F.broadcast(carried).alias("c"), same, "left")  # two rows a range at most
     return both.select(*(F.col(f"l.{c}") for c in df.columns), *(join(F.col(f"_c_{n}"), F.col(f"_{n}")).alias(n) for n, (_, join, _) in each.items()))
-
-
-def quantiles(rows: DataFrame, value: str, points: dict[str, float], by: list[str] | None = None, staged: Staged | None = None) -> DataFrame:
-    """by, n, and for each name: p the exact p-quantile of value, between two ranks in proportion. Null values don't count.
-
-    Equal values are counted first and ranked by a running sum over all groups, so no group is one task's and no array or map
-    of values is gathered.
-    """
-    by = by or []
-    group = F.to_json(F.struct(*by)) if by else F.lit("")
-    c = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_g", group)
-    ranked = running_sums(c, [F.col("_g"), F.col("_v")], {"_upto": "_n"}, staged)
-    # the rows of the groups before: a group's last running count without its own
-    own = ranked.groupBy("_g").agg(F.sum("_n").alias("n"), (F.max("_upto") - F.sum("_n")).alias("_before"))
-    at = ranked.join(own, "_g").withColumn("_last", F.col("_upto") - F.col("_before") - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
-    hit = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v").cast("double")))
-    place = lambda p: (F.col("n") - 1) * F.lit(p)
-    found = at.groupBy("_g", *by, "n").agg(*(hit(f(place(p))).alias(f"_{k}_{name}") for name, p in points.items() for k, f in (("low", F.floor), ("high", F.ceil))))
-    between = lambda p, a, b: F.when(a == b, a).otherwise((F.ceil(place(p)) - place(p)) * a + (place(p) - F.floor(place(p))) * b)
-    return found.select(*by, "n", *(between(p, F.col(f"_low_{name}"), F.col(f"_high_{name}")).alias(name) for name, p in points.items()))

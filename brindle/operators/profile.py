@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from brindle.functions import scalars as S
-from brindle.operators.prefix import quantiles
+from brindle.operators.selection import quantiles
 
 # The roles that keys may play and words that hint at them.
 FIELD_HINTS = {

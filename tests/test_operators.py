@@ -24,7 +24,8 @@ from brindle.operators import normalize as N
 from brindle.operators import split as P
 from brindle.operators import two_stage as T
 from brindle.operators.graph import connected_components
-from brindle.operators.prefix import quantiles, running_sums
+from brindle.operators.prefix import running_sums
+from brindle.operators.selection import quantiles
 from brindle.operators.skew import salted_join
 
 
