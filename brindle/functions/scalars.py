@@ -86,10 +86,10 @@ def size_gb(text: Column | str) -> Column:
     return number * scale
 
 
-def crop_path(path: Column | str, tag: Column | str) -> Column:
-    """Where a crop of path is kept: tag/first two digits/stem_digest.jpg."""
+def crop_path(path: Column | str, tag: Column | str, ending: str = ".jpg") -> Column:
+    """Where a crop of path is kept: tag/first two digits/stem_digest and the ending."""
     d = F.substring(F.md5(_c(path).cast("binary")), 1, 12)
-    return F.concat_ws("/", _c(tag), F.substring(d, 1, 2), F.concat(stem(path), F.lit("_"), d, F.lit(".jpg")))
+    return F.concat_ws("/", _c(tag), F.substring(d, 1, 2), F.concat(stem(path), F.lit("_"), d, F.lit(ending)))
 
 
 def rebase(root: str, relative: Column | str) -> Column:

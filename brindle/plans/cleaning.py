@@ -208,4 +208,4 @@ def switch_tag(spark, sf):
 
     p = table(spark, sf, "pages").select("page_id", F.col("url").alias("image_path"))
     there = p.filter("page_id % 50 <> 0").select(F.concat(F.lit("/crops/"), S.crop_path("image_path", F.lit("full"))).alias("path"))
-    return switch(p, there, "/crops", "full").select("page_id", "crop_rel", "crop_path", "crop_tag")
+    return switch(p, there, "/crops", "full", ending=".jpg").select("page_id", "crop_rel", "crop_path", "crop_tag")

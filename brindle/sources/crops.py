@@ -2,79 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import geometry as G
-from brindle.functions import png
 from brindle.functions import scalars as S
 from brindle.session import Staged
+from brindle.sources.crop_sink import save_crops
 
 
-def _save(rows: DataFrame, root: str) -> DataFrame:
-    """rows(image_path, crop_rel, image, window) to image_path, crop_rel, crop_path, error: a PNG file each, where there is none yet.
-
-    root is a folder of any file system that pyarrow knows, shared by all workers. A file is written under another name
-    first, so a task that is run again finds whole files only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-        for b in batches:
-            paths, errors = [], []
-            for rel, im, w in zip(*(b.column(c).to_pylist() for c in ("crop_rel", "image", "window")), strict=True):
-                target = f"{base.rstrip('/')}/{rel}"
-                if files.get_file_info(target).type == fs.FileType.File:
-                    paths.append(target)
-                    errors.append(None)
-                    continue
-                why = "no image" if not im or not im["height"] or im["height"] <= 0 else "no window" if not w else None
-                if why is None:
-                    a = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-                    cut = a[max(0, w["y1"]) : w["y2"], max(0, w["x1"]) : w["x2"]]
-                    cut = cut[:, :, 2::-1] if cut.shape[2] >= 3 else cut[:, :, :1]
-                    why = None if cut.size else "empty window"
-                if why is None:
-                    folder, _, name = target.rpartition("/")
-                    files.create_dir(folder)
-                    with files.open_output_stream(f"{folder}/.{name}.part") as out:
-                        out.write(png.encode(np.ascontiguousarray(cut)))
-                    files.move(f"{folder}/.{name}.part", target)
-                paths.append(None if why else target)
-                errors.append(why)
-            yield pa.record_batch([b.column("image_path"), b.column("crop_rel"), pa.array(paths, pa.string()), pa.array(errors, pa.string())], ["image_path", "crop_rel", "crop_path", "error"])
-
-    return rows.select("image_path", "crop_rel", "image", "window").mapInArrow(run, "image_path string, crop_rel string, crop_path string, error string")
-
-
-def crop_run(manifest: DataFrame, pixels: DataFrame, root: str, tag: str, min_px: int = 64) -> tuple[DataFrame, DataFrame]:
+def crop_run(manifest: DataFrame, pixels: DataFrame, root: str, tag: str, min_px: int = 64, ending: str = ".png") -> tuple[DataFrame, DataFrame]:
     """The manifest with crop_path, crop_tag, crop_rel, without rows whose crop failed; and (image_path, error) of those.
 
     pixels(path, image): decoded images; only those that the manifest names are cut. A crop's name follows from its image's
     path, so an image of several rows is cut once, at the first of their windows, and rows join their result by path. The crops
-    are written while this runs.
+    are written while this runs, under a commit. ending: of the crops' names, as in switch_tag.
     """
     staged = Staged(manifest.sparkSession)
     todo = manifest.select("image_path", G.crop_window("bbox", "img_w", "img_h", F.lit(tag), min_px).alias("window"))
     todo = todo.groupBy("image_path").agg(F.min("window").alias("window"))
-    named = todo.join(pixels.select(F.col("path").alias("image_path"), "image"), "image_path", "left").withColumn("crop_rel", S.crop_path("image_path", F.lit(tag)))
-    done = staged.write(_save(named, root))
+    named = todo.join(pixels.select(F.col("path").alias("image_path"), "image"), "image_path", "left").withColumn("crop_rel", S.crop_path("image_path", F.lit(tag), ending))
+    done = save_crops(named, root, staged)
     kept = manifest.drop("crop_path", "crop_tag", "crop_rel").join(done.filter("error is null").select("image_path", "crop_path", "crop_rel"), "image_path").withColumn("crop_tag", F.lit(tag))
     return kept, done.filter("error is not null").select("image_path", "error")
 
 
-def switch_tag(manifest: DataFrame, files: DataFrame, root: str, tag: str, least: float = 0.95, allow_missing: bool = False) -> DataFrame:
+def switch_tag(manifest: DataFrame, files: DataFrame, root: str, tag: str, least: float = 0.95, allow_missing: bool = False, ending: str = ".png") -> DataFrame:
     """The manifest with the paths of another tag's crops; rows whose crop isn't among files(path) go.
 
     An error if fewer than `least` of the rows have theirs, unless missing ones are allowed. Runs the job that counts.
     """
-    rel = S.crop_path("image_path", F.lit(tag))
+    rel = S.crop_path("image_path", F.lit(tag), ending)
     moved = manifest.drop("crop_path", "crop_tag", "crop_rel").withColumn("crop_rel", rel).withColumn("crop_path", S.rebase(root, "crop_rel")).withColumn("crop_tag", F.lit(tag))
     there = files.select(F.regexp_replace("path", "^file:/+", "/").alias("crop_path")).distinct()
     kept = moved.join(there, "crop_path", "left_semi")
