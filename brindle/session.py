@@ -27,6 +27,7 @@ def get_spark(cpus: int = 8, memory: str = "20g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import json_walk, png
@@ -12,17 +12,18 @@ from brindle.operators import fallback
 from brindle.operators import normalize as N
 from brindle.operators.profile import IMAGE_EXTENSIONS
 from brindle.session import Staged
-from brindle.sources.files import ZipSource
+from brindle.sources.zip_listing import listed, with_contents
 
 
-def members(spark: SparkSession, path: str, suffixes: tuple[str, ...], contents: bool = True, include: list[list[str]] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def members(spark: SparkSession, path: str, suffixes: tuple[str, ...], contents: bool = True, include: list[list[str]] | None = None, exclude: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """zip_path, zip_member, length, content (null without contents) of the members with one of the suffixes.
 
-    include, exclude: as in select_files; members that they leave out are not read.
+    include, exclude: as in select_files; where: a predicate on zip_path, zip_member and length. Members that these leave out
+    are not read. Archives are opened in tasks only; with contents, the job that lists them is run.
     """
-    spark.dataSource.register(ZipSource)
-    r = spark.read.format("zip_members").option("path", path).option("suffixes", ",".join(suffixes)).option("contents", str(contents).lower())
-    return r.option("include", ";".join(",".join(axis) for axis in include or [])).option("exclude", ",".join(exclude or [])).load()
+    found = listed(spark, path, suffixes, include, exclude)
+    found = found if where is None else found.filter(where)
+    return with_contents(found) if contents else found.select("zip_path", "zip_member", "length", F.lit(None).cast("binary").alias("content"))
 
 
 def manifest_from_zip(spark: SparkSession, path: str, id_token: int | None = None, dogs_only: bool = True, normal_camera_only: bool = True, **select: list) -> DataFrame:
