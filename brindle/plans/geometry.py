@@ -74,6 +74,26 @@ def crop_window(spark, sf):
     return flat(windows(spark, sf), "k", "ln", "crop_tag")
 
 
+@query(f"""{_ANY}, s AS (SELECT *, CASE WHEN has THEN greatest(x2 - x1, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS bw, CASE WHEN has THEN greatest(y2 - y1, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS bh, least(wx2 - wx1, wy2 - wy1)::DOUBLE AS side FROM win)
+SELECT k, ln, tag AS crop_tag, round(bw * bh / (1920.0::DOUBLE * 1080.0::DOUBLE), 6) AS area_ratio, round(ln(1 + bw * bh), 6) AS log_area, round(bw / greatest(bh, 1e-6::DOUBLE), 6) AS aspect, side AS win_side, round(side / 224.0::DOUBLE, 6) AS win_over_input FROM s""")
+def shortcut_crop_features(spark, sf):
+    """What a crop tells of its label without a pixel, for every box."""
+    from brindle.operators.shortcut import crop_features
+
+    f = crop_features(windows(spark, sf), F.col("crop_tag"))
+    return f.select("k", "ln", "crop_tag", *(F.round(c, 6).alias(c) for c in ("area_ratio", "log_area", "aspect")), "win_side", F.round("win_over_input", 6).alias("win_over_input"))
+
+
+@query()
+def shortcut_crop_baseline(spark, sf):
+    """Both stages by crop features on a given fold; heights follow labels here, so it is far above chance (tests hold it there)."""
+    from brindle.operators.shortcut import crop_baseline
+
+    b = boxes(spark, sf).withColumns({"fold": S.bucket("k", 5, "shortcut"), "is_holdout": S.bucket("k", 10, "holdout") == 0})
+    r = crop_baseline(b, "m1.5")
+    return r.select(F.round("stage1_auroc", 4).alias("stage1_auroc"), F.round("stage2_macro_f1", 4).alias("stage2_macro_f1"), "stage2_recall")
+
+
 def _clip(v: str) -> str:
     return f"least(greatest({v}, 0.0::DOUBLE), 1.0::DOUBLE)"
 
