@@ -1,6 +1,7 @@
 """Walking JSON of unknown shape: table functions for its leaves and for all its entries, called LATERAL.
 
-They are Python, as depth is unbounded and the order of a document counts, which a VARIANT, whose keys are sorted, has lost.
+They are Python, for what needs the order of a document, which a VARIANT, whose keys are sorted, has lost, or unbounded depth.
+Profiles of keys need neither: see json_variant.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import json_walk
 from brindle.functions import scalars as S
+from brindle.functions.json_variant import leaf_rows
 from brindle.operators import audit, normalize
 from brindle.operators import profile as P
 from brindle.plans.registry import query
@@ -87,16 +88,22 @@ def id_token_candidates(spark, sf):
 
 
 def _leaves(spark, sf):
+    """The leaves of events' props, in document order."""
     json_walk.register(spark)
     e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "props")
-    e.createOrReplaceTempView("brindle_events")
-    return spark.sql("SELECT id, f.* FROM brindle_events, LATERAL flatten_json(props) f"), e
+    return spark.sql("SELECT id, f.* FROM {rows}, LATERAL flatten_json(props) f", rows=e)
+
+
+def _profiled(spark, sf):
+    """The leaves of events' props in any order, and events."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "props")
+    return leaf_rows(e, "props"), e
 
 
 @query("""WITH l AS (SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM events, unnest(json_keys(props)) u(k))
 SELECT k AS path, count(*) AS n, count(*) / (SELECT count(*) FROM events) AS freq, MAP {'int': count(*)} AS types, [arg_min(v, event_id)] AS examples FROM l GROUP BY k""")
 def json_flatten_profile(spark, sf):
-    leaves, e = _leaves(spark, sf)
+    leaves, e = _profiled(spark, sf)
     return P.key_profile(leaves, e)
 
 
@@ -109,18 +116,18 @@ s AS (SELECT role, path, freq, ex, sum(CASE WHEN lower(path) = hint THEN 3.0::DO
 b AS (SELECT role, path, s * freq + CASE WHEN role IN ('width', 'height') THEN 1.0::DOUBLE WHEN role = 'animal_id' AND length(ex) < 40 THEN 0.5::DOUBLE ELSE 0 END AS score FROM s)
 SELECT role, path, score FROM b QUALIFY row_number() OVER (PARTITION BY role ORDER BY score DESC, path) = 1""")
 def json_role_guess(spark, sf):
-    leaves, e = _leaves(spark, sf)
+    leaves, e = _profiled(spark, sf)
     return P.role_guess(P.key_profile(leaves, e), HINTS)
 
 
 @query("""SELECT event_id AS id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 def json_find_first(spark, sf):
-    return json_walk.find_first(_leaves(spark, sf)[0], ["k"])
+    return json_walk.find_first(_leaves(spark, sf), ["k"])
 
 
 @query("""SELECT event_id AS id, [json_extract_string(props, '$.k')::DOUBLE] AS numbers FROM events""")
 def json_collect_numbers(spark, sf):
-    return json_walk.collect_numbers(_leaves(spark, sf)[0], ["k"])
+    return json_walk.collect_numbers(_leaves(spark, sf), ["k"])
 
 
 @query("""SELECT user_id, count(*) AS n, sum((e.j->>'k')::BIGINT)::BIGINT AS total FROM (SELECT user_id, props AS j FROM events) e GROUP BY 1""")
@@ -229,7 +236,7 @@ def listing_verify(spark, sf):
 @query("""WITH l AS (SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM events, unnest(json_keys(props)) u(k))
 SELECT k AS path, count(*) AS n, count(DISTINCT v) AS n_unique, count(DISTINCT event_id) / count(DISTINCT v)::DOUBLE AS rows_per_value, count(DISTINCT event_id) / count(DISTINCT v)::DOUBLE BETWEEN 1.5 AND 200 AND count(DISTINCT v) > 3 AS may_be_id FROM l GROUP BY k""")
 def json_key_uniques(spark, sf):
-    return P.key_uniques(_leaves(spark, sf)[0])
+    return P.key_uniques(_profiled(spark, sf)[0])
 
 
 @query("SELECT 'k' || (p_size % 3) AS kind, sum(p_retailprice) AS gb, max(p_retailprice) AS largest, sum(p_retailprice) <= 1500 AS fits, max(p_retailprice) <= 1500 AS largest_fits FROM part GROUP BY 1")
@@ -273,6 +280,39 @@ def _quoted(*parts) -> Column:
     return F.concat(F.lit('"'), *(p.cast("string") for p in parts), F.lit('"'))
 
 
+def _nested(part: DataFrame) -> DataFrame:
+    """id, json: nested label files of parts, three deep, with lists; every seventh is a list of two records and a number."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    raw = _json(id=_quoted(F.lit("p"), k), size=s, ratio=F.concat(s, F.lit(".5")))
+    item = _json(code=_quoted(F.lit("A"), s % 7 + 1), pos=F.concat(F.lit("["), s, F.lit(", "), s + 1, F.lit("]")))
+    items = F.concat(F.lit("["), item, F.lit(', {"code": "zz", "other": 1}]'))
+    one = _json(meta=_json(raw=raw, tags=F.lit("[]"), box=F.lit("{}")), items=items, ok=F.when(s % 2 == 0, "true").otherwise("null"), mixed=F.when(s % 3 == 0, s.cast("string")).otherwise(_quoted(F.lit("s"), s)))
+    two = F.concat(F.lit("["), one, F.lit(", 5, "), _json(late=_json(x=k)), F.lit("]"))
+    return part.select(k.alias("id"), F.when(k % 7 == 0, two).otherwise(one).alias("json"))
+
+
+_NESTED_SQL = """t AS (SELECT p_partkey AS id, '{"meta": {"raw": {"id": "p' || p_partkey || '", "size": ' || p_size || ', "ratio": ' || p_size || '.5}, "tags": [], "box": {}}, "items": [{"code": "A' || (p_size % 7 + 1) || '", "pos": [' || p_size || ', ' || (p_size + 1) || ']}, {"code": "zz", "other": 1}], "ok": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'null' END || ', "mixed": ' || CASE WHEN p_size % 3 = 0 THEN p_size::VARCHAR ELSE '"s' || p_size || '"' END || '}' AS one FROM part),
+j AS (SELECT id, CASE WHEN id % 7 = 0 THEN '[' || one || ', 5, {"late": {"x": ' || id || '}}]' ELSE one END AS j FROM t),
+u AS (SELECT j.id, regexp_replace(u.fullkey, '^\\$(\\[[0-9]+\\])?\\.?', '') AS k, u.type AS ty, u.value AS v FROM j, LATERAL (SELECT * FROM json_tree(j.j)) u WHERE NOT (j.id % 7 = 0 AND u.fullkey = '$[1]')),
+l AS (SELECT id, replace(k, '[0]', '[]') || CASE WHEN ty = 'ARRAY' THEN '[]' ELSE '' END AS path,
+ CASE ty WHEN 'VARCHAR' THEN 'str' WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' ELSE 'NoneType' END AS type, CASE WHEN ty IN ('ARRAY', 'NULL') THEN NULL ELSE json_extract_string(v, '$') END AS value
+ FROM u WHERE NOT regexp_matches(k, '\\[[1-9]') AND (ty NOT IN ('OBJECT', 'ARRAY') OR v = '[]'))"""
+
+
+@query(f"""WITH {_NESTED_SQL}, g AS (SELECT path, type, count(*) AS n, min((id, value)) AS e FROM l GROUP BY ALL)
+SELECT path, sum(n)::BIGINT AS n, sum(n) / (SELECT count(*) FROM part)::DOUBLE AS freq, map_from_entries(list((type, n) ORDER BY type)) AS types, coalesce(list(e[2] ORDER BY e) FILTER (type <> 'NoneType'), []) AS examples FROM g GROUP BY path""")
+def json_nested_profile(spark, sf):
+    """Keys of nested JSON with lists, mixed types and several records a file."""
+    files_ = _nested(table(spark, sf, "part"))
+    return P.key_profile(leaf_rows(files_, "json"), files_)
+
+
+@query(f"WITH {_NESTED_SQL} SELECT id, path, type, value FROM l")
+def json_nested_leaves(spark, sf):
+    """Every leaf of nested JSON."""
+    return leaf_rows(_nested(table(spark, sf, "part")), "json").select("id", "path", "type", "value")
+
+
 _CODE = "CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'A' || (p_size % 6 + 1) END"
 
 
