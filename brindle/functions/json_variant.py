@@ -34,17 +34,23 @@ def _list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _node(path: Column, depth: Column, v: Column) -> Column:
+    return F.struct(path.alias("path"), depth.alias("depth"), v.alias("v"), _object(v).alias("o"), _list(v).alias("a"))
+
+
+def _open(x: Column) -> Column:
+    return x["o"].isNotNull() | x["a"].isNotNull()
+
+
 def _inner(level: Column) -> Column:
     """The level below: an object's entries, a list's first element (null of an empty one), and what is a leaf already."""
-    seen = F.transform(level, lambda x: F.struct(x["path"].alias("path"), x["depth"].alias("depth"), x["v"].alias("v"), _object(x["v"]).alias("o"), _list(x["v"]).alias("a")))
 
     def below(x: Column) -> Column:
-        node = lambda path, depth, v: F.struct(path.alias("path"), depth.alias("depth"), v.alias("v"))
-        keys = F.transform(F.map_entries(x["o"]), lambda e: node(F.when(x["path"] == "", e["key"]).otherwise(F.concat(x["path"], F.lit("."), e["key"])), x["depth"] + 1, e["value"]))
-        first = F.array(node(F.concat(x["path"], F.lit("[]")), x["depth"] + 1, F.get(x["a"], F.lit(0))))
-        return F.when(x["o"].isNotNull(), keys).when(x["a"].isNotNull(), first).otherwise(F.array(node(x["path"], x["depth"], x["v"])))
+        keys = F.transform(F.map_entries(x["o"]), lambda e: _node(F.when(x["path"] == "", e["key"]).otherwise(F.concat(x["path"], F.lit("."), e["key"])), x["depth"] + 1, e["value"]))
+        first = F.array(_node(F.concat(x["path"], F.lit("[]")), x["depth"] + 1, F.get(x["a"], F.lit(0))))
+        return F.when(x["o"].isNotNull(), keys).when(x["a"].isNotNull(), first).otherwise(F.array(x))
 
-    return F.flatten(F.transform(seen, below))
+    return F.flatten(F.transform(level, below))
 
 
 def _typed(x: Column) -> Column:
@@ -53,7 +59,7 @@ def _typed(x: Column) -> Column:
     kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
     # a decimal without a fraction has lost its point; whole numbers come as decimals only beyond 64 bits
     whole = kind.rlike(r"^DECIMAL\((19|[2-3][0-9]),0\)$")
-    kind = F.when(v.isNull() | F.is_variant_null(v), "NoneType").when(_object(v).isNotNull(), "dict").when(_list(v).isNotNull(), "list").when(kind == "BOOLEAN", "bool").when((kind == "BIGINT") | whole, "int").when(kind == "STRING", "str").otherwise("float")
+    kind = F.when(v.isNull() | F.is_variant_null(v), "NoneType").when(x["o"].isNotNull(), "dict").when(x["a"].isNotNull(), "list").when(kind == "BOOLEAN", "bool").when((kind == "BIGINT") | whole, "int").when(kind == "STRING", "str").otherwise("float")
     value = F.when(kind == "NoneType", F.lit(None)).when(kind.isin("dict", "list"), F.to_json(v)).when((kind == "float") & ~text.rlike(r"[.E]"), F.concat(text, F.lit(".0"))).otherwise(text)
     return F.struct(x["path"].alias("path"), x["depth"].alias("depth"), kind.alias("type"), value.alias("value"))
 
@@ -73,13 +79,13 @@ def leaf_rows(rows: DataFrame, text: str, max_depth: int = 8) -> DataFrame:
     kept = [c for c in rows.columns if c != text]
     base = parsed(rows.select(*kept, F.col(text).alias("_text")), "_text", "_v").drop("_text")
     records = base.select(*kept, F.posexplode(F.coalesce(_list(F.col("_v")), F.array("_v"))).alias("record", "_v")).filter(_object(F.col("_v")).isNotNull())
-    level = F.array(F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), F.col("_v").alias("v")))
+    # a level is a column of its own, so that records without anything left to open are done with a look at it
+    found = records.select(*kept, "record", F.array(_node(F.lit(""), F.lit(0), F.col("_v"))).alias("_l"))
     for _ in range(max_depth):
-        level = _inner(level)
-    found = records.select(*kept, "record", F.filter(level, lambda x: x["path"] != "").alias("_l"))
+        found = found.withColumn("_l", F.when(F.exists("_l", _open), _inner(F.col("_l"))).otherwise(F.col("_l")))
+    found = found.withColumn("_l", F.filter("_l", lambda x: x["path"] != "")).withColumn("_p", F.transform("_l", lambda x: x["path"]))
     # rare: a path that comes twice. Only then is each leaf compared with those after it
-    paths = F.transform("_l", lambda x: x["path"])
-    last = F.filter("_l", lambda x, k: ~F.array_contains(F.slice(paths, k + 2, F.size("_l")), x["path"]))
-    once = F.when(F.size(F.array_distinct(paths)) == F.size(paths), F.col("_l")).otherwise(last)
+    last = F.filter("_l", lambda x, k: ~F.array_contains(F.slice("_p", k + 2, F.size("_p")), x["path"]))
+    once = F.when(F.size(F.array_distinct("_p")) == F.size("_p"), F.col("_l")).otherwise(last)
     leaves = found.select(*kept, "record", F.explode(once).alias("_x")).select(*kept, "record", _typed(F.col("_x")).alias("_x"))
     return leaves.select(*kept, "record", "_x.path", "_x.depth", "_x.type", "_x.value")
