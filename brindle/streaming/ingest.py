@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -45,19 +45,21 @@ class _FirstOfKey(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "there boolean", self.ttl)
 
-    def handleInputRows(self, key: object, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def _place(self, row: Row) -> tuple:
+        return tuple((v is None, v != v, 0 if v is None or v != v else v) for v in (row[c] for c in self.order))
+
+    def handleInputRows(self, key: object, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         new = not self.seen.exists()
-        best = None  # a key's rows come in pieces; one row is held
-        for piece in rows:
-            if new and piece[KNOWN].any():
+        best = None  # rows stream by; one is held
+        for row in rows:
+            if new and row[KNOWN]:
                 new = False
                 self.seen.update((True,))
-            if new:
-                both = piece if best is None else pd.concat([best, piece])
-                best = both.sort_values(self.order, kind="stable").head(1)
+            if new and (best is None or self._place(row) < self._place(best)):
+                best = row
         if new and best is not None:
             self.seen.update((True,))
-            yield best.drop(columns=KNOWN)
+            yield Row(**{c: best[c] for c in best.asDict() if c != KNOWN})
 
     def close(self) -> None:
         pass
@@ -65,7 +67,7 @@ class _FirstOfKey(StatefulProcessor):
 
 def first_of_key(stream: DataFrame, key: str, order: list[str], ttl: str | None = None, known: str | None = None) -> DataFrame:
     """The stream's rows whose key has not come before: of a batch's rows of a key the first by `order`, nulls last; rows that
-    are equal there are taken as they come, so name columns that tell rows apart.
+    are equal there are taken as they come, so name columns that tell rows apart and can be compared.
 
     Keys are state, kept by the cluster's tasks, so a batch costs what it brings, however much was taken before. With a ttl
     ('30 days'), a key that was let through longer ago than that is new again. known: a folder of Parquet files whose keys
@@ -73,7 +75,8 @@ def first_of_key(stream: DataFrame, key: str, order: list[str], ttl: str | None
     which `append_keyed` sets.
     """
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    # names of their own on the way: a processor's rows lose names that are no identifiers
+    # names of their own on the way: a processor's rows lose names that are no identifiers. Rows, not pandas: there a null
+    # beside them makes whole numbers floats, and keys with them
     names = {c: f"c{n}" for n, c in enumerate(stream.columns)}
     plain = stream.toDF(*names.values())
     rows = plain.withColumn(KNOWN, F.lit(False))
@@ -81,11 +84,12 @@ def first_of_key(stream: DataFrame, key: str, order: list[str], ttl: str | None
         there = stream.sparkSession.readStream.schema(stream.select(F.col(f"`{key}`")).schema).parquet(known).toDF(names[key])
         rows = rows.unionByName(there.withColumn(KNOWN, F.lit(True)), allowMissingColumns=True)
     first = _FirstOfKey([names[c] for c in order], ms)
-    return rows.groupBy(names[key]).transformWithStateInPandas(first, plain.schema, "Append", "ProcessingTime" if ms else "None").toDF(*names)
+    return rows.groupBy(names[key]).transformWithState(first, plain.schema, "Append", "ProcessingTime" if ms else "None").toDF(*names)
 
 
 def append_keyed(stream: DataFrame, target: str, key: str, order: list[str], checkpoint: str, ttl: str | None = None, known: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Starts a query that appends `first_of_key` to Parquet at target; trigger as for a stream's writer, all that is there if none.
+    """Starts a query that appends `first_of_key` to Parquet at target; trigger as for a stream's writer. Without one
+    the query takes all that is there and ends: in one batch if there is a ttl, else in as many as the source makes.
 
     A batch is committed with its state, so after a restart from the checkpoint nothing is lost or taken twice, and the target
     is never read. Without its checkpoint a query knows nothing of the target, and a new query's file log doesn't list what
@@ -96,7 +100,8 @@ def append_keyed(stream: DataFrame, target: str, key: str, order: list[str], che
     conf.set(PROVIDER, ROCKS)  # a query takes the settings that hold when it starts
     try:
         out = first_of_key(stream, key, order, ttl, known).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-        return out.trigger(**(trigger or {"availableNow": True})).start(target)
+        # a time to live asks for one more batch for ever, which availableNow would wait out
+        return out.trigger(**(trigger or ({"once": True} if ttl else {"availableNow": True}))).start(target)
     finally:
         conf.set(PROVIDER, before)
 

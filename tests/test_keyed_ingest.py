@@ -26,8 +26,7 @@ def put(spark, place, rows):
 def run(spark, place, **more):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(place / "in"))
     q = ingest.append_keyed(stream, str(place / more.pop("to", "out")), "k", ["v", "_the note"], str(place / more.pop("at", "ck")), **more)
-    q.awaitTermination(120)
-    assert q.exception() is None
+    assert q.awaitTermination(60) and q.exception() is None
     return q
 
 
