@@ -75,8 +75,8 @@ def first_of_key(stream: DataFrame, key: str, order: list[str], ttl: str | None
     which `append_keyed` sets.
     """
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
-    # names of their own on the way: a processor's rows lose names that are no identifiers. Rows, not pandas: there a null
-    # beside them makes whole numbers floats, and keys with them
+    # names of their own on the way: a processor's rows lose names that are no identifiers. Rows, not pandas: there nulls
+    # make whole numbers floats, and beside a null key the rows of other keys were lost
     names = {c: f"c{n}" for n, c in enumerate(stream.columns)}
     plain = stream.toDF(*names.values())
     rows = plain.withColumn(KNOWN, F.lit(False))
