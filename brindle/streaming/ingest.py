@@ -5,9 +5,11 @@ Dedup and splits need the whole table and stay in batch.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -83,6 +85,8 @@ def first_of_key(stream: DataFrame, key: str, order: list[str], ttl: str | None
     if known:
         there = stream.sparkSession.readStream.schema(stream.select(F.col(f"`{key}`")).schema).parquet(known).toDF(names[key])
         rows = rows.unionByName(there.withColumn(KNOWN, F.lit(True)), allowMissingColumns=True)
+    # the worker that a stream's driver starts has no files that were added to the context: the class goes along by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     first = _FirstOfKey([names[c] for c in order], ms)
     return rows.groupBy(names[key]).transformWithState(first, plain.schema, "Append", "ProcessingTime" if ms else "None").toDF(*names)
 
