@@ -29,6 +29,7 @@ from pyspark.sql.window import Window as W
 
 from brindle.llm._text import U64, Runs, Words, mix, sliced
 from brindle.operators.graph import connected_components
+from brindle.operators.sieve import bitmap, cannot_meet, may_meet
 from brindle.operators.skew import salted_join
 from brindle.session import Staged
 
@@ -37,8 +38,8 @@ from brindle.session import Staged
 class NearDedup:
     """words: in a shingle; percent: least Jaccard similarity, in hundredths; bands of rows bins (bands * rows: a power of two).
 
-    centres: of a bucket in the second round of stars; each later round has four times as many. rare: classes that may
-    share a shingle for it to be looked up on its own.
+    centres: of a bucket in the second round of stars; each later round has four times as many, or all once no bucket has
+    more than `last` classes left. rare: classes that may share a shingle for it to be looked up on its own.
     """
 
     words: int = 5
@@ -47,6 +48,7 @@ class NearDedup:
     rows: int = 4
     centres: int = 16
     rare: int = 64
+    last: int = 2048
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -146,7 +148,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDedup) -> DataFrame:
 
     x = sets.select(F.col("c").alias("u"), F.col("shingles").alias("x"))
     y = sets.select(F.col("c").alias("v"), F.col("shingles").alias("y"))
-    return pairs.join(y, "v").join(x, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    # the centres of stars are mostly u: their sets come first, so that no set is sent to the key of many pairs
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def _shared(left: DataFrame, sets: DataFrame, p: NearDedup, staged: Staged) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +173,7 @@ def _shared(left: DataFrame, sets: DataFrame, p: NearDedup, staged: Staged) -> t
     met = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.count("*") > p.rare).alias("common")).filter("lo < hi").select("s", "common")
     both = staged.write(rows.join(met, "s"))
     staged.drop(rows)
-    sizes = staged.write(both.groupBy("c").agg(F.countDistinct("s").alias("e"), F.countDistinct(F.when(F.col("common"), F.col("s"))).alias("h")))
+    sizes = staged.write(both.select("c", "s", "common").distinct().groupBy("c").agg(F.count("*").alias("e"), F.count_if("common").alias("h")))
     able = sizes.select("c", "e")
     few = both.filter("not common").join(able, "c").filter(F.col("e") * 100 >= F.col("n") * p.percent)
     met = few.groupBy("s").agg(F.collect_set(F.struct("c", "n", "comp", "e")).alias("x"))
@@ -187,14 +190,17 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     """The classes (digest, c: their smallest doc_id) and the components (v, component) of those with a link."""
     known = feats.filter("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("c"))
-    heads = classes.join(known.select(F.col("doc_id").alias("c"), "digest", "n_shingles", "bands"), ["digest", "c"])
+    heads = staged.write(classes.join(known.select(F.col("doc_id").alias("c"), "digest", "n_shingles", "bands"), ["digest", "c"]).drop("digest"))
     rows = heads.select("c", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     # buckets with two members or more; the smallest is the first centre, found before the shuffle in part
-    first = rows.groupBy("bucket").agg(F.min(F.struct("c", "n")).alias("m"), F.max("c").alias("hi"), F.count("*").alias("rows")).filter("m.c < hi")
-    first = staged.write(first.select("bucket", "m", "rows"))
+    first = rows.groupBy("bucket").agg(F.min("c").alias("c"), F.min_by("n", "c").alias("n"), F.max("c").alias("hi"), F.count("*").alias("rows")).filter("c < hi")
+    first = staged.write(first.select("bucket", F.struct("c", "n").alias("m"), "rows"))
     members = staged.write(salted_join(rows, first, ["bucket"], "rows", ["c"]).drop("rows"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("c"), "text").join(members.select("c").distinct(), "c")
+    # only texts that may be asked for are shuffled
+    wanted = staged.write(members.select("c").distinct())
+    texts = may_meet(docs.select(F.col("doc_id").cast("long").alias("c"), "text"), F.col("c"), bitmap(wanted, "c")).join(wanted, "c")
     sets = staged.write(_full_sets(texts, p))
+    staged.drop(first, wanted)
 
     # a pair outside these sizes can't reach the similarity
     apt = (F.col("u") != F.col("v")) & (F.least("un", "vn") * 100 >= F.greatest("un", "vn") * p.percent)
@@ -204,41 +210,45 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     comp = connected_components(_confirm(tried, sets, p), staged)
     # an intersection of m can't link sets of together `sizes` shingles otherwise
     bound = lambda m, sizes: (F.col(m) if isinstance(m, str) else m) * (100 + p.percent) >= sizes * p.percent
-    sizes: DataFrame | None = None
-    keyed: DataFrame | None = None
-    rest, centres = members.filter("c <> m.c").select("bucket", "c", "n"), p.centres
-    while True:
-        # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
-        now = rest.join(comp.withColumnRenamed("v", "c"), "c", "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("comp"))
-        open_ = F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")
-        left, n = staged.counted(now.join(now.groupBy("bucket").agg(*open_).filter("lo < hi").select("bucket", "least"), "bucket"))
-        if not n:
-            return classes, comp
-        rare = None
-        if sizes is None:
-            sizes, rare = _shared(left, sets, p, staged)
-        # two classes that share no rare shingle share common ones only; a class too far from even the smallest member is
-        # done with in that bucket, and a bucket that has one component left is, too
-        sized = left.join(sizes, "c", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-        sized = staged.write(sized.filter(bound("h", F.col("n") + F.col("least"))).drop("least"))
-        still = sized.groupBy("bucket").agg(*open_[:2]).filter("lo < hi").select("bucket")
-        left, n = staged.counted(sized.join(still, "bucket").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("c"))))
-        if rare is None and not n:
-            return classes, comp
-        if keyed is None:
-            keyed = staged.write(heads.select("c", "bands").join(left.select("c").distinct(), "c"))
-        # two classes share many buckets as a rule; they are paired in the first one only, when its turn comes
-        own = left.join(keyed, "c")
-        hub = own.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"), F.col("bands").alias("ubands"))
+    own = W.partitionBy("bucket")
+    lo, hi = F.min("comp").over(own).alias("lo"), F.max("comp").over(own).alias("hi")
+    named = lambda rows: rows.join(comp.withColumnRenamed("v", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        """Of open buckets, with the smallest size in each, the classes that a pair can still link, numbered.
+
+        Two classes that share no rare shingle share common ones only; a class too far from even the smallest member is done
+        with in that bucket, and a bucket that has one component left is, too.
+        """
+        near = rows.filter(bound("h", F.col("n") + F.col("least"))).drop("least").select("*", lo, hi).filter("lo < hi").drop("lo", "hi")
+        return near.withColumn("rank", F.row_number().over(own.orderBy("c")))
+
+    # what is left of a bucket is of interest while it holds two components; a centre that had its turn is done with
+    now = named(members.filter("c <> m.c").select("bucket", "c", "n"))
+    open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo < hi")
+    left, n = staged.counted(now.join(open_.select("bucket", "least"), "bucket"))
+    if not n:
+        return classes, comp
+    sizes, rare = _shared(left, sets, p, staged)
+    # the bucket keys go along: two classes share many buckets as a rule; they are paired in the first one only, when its turn comes
+    more = heads.select("c", "bands").join(left.select("c").distinct(), "c").distinct().join(sizes, "c", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    left, n, most = staged.counted(ranked(left.join(more, "c").filter(F.array_contains("bands", F.col("bucket")))), F.max("rank"))
+    centres = p.centres
+    while n or rare is not None:
+        hub = left.filter(F.col("rank") <= centres).select("bucket", F.col("c").alias("u"), F.col("n").alias("un"), F.col("comp").alias("ucomp"), F.col("h").alias("uh"), F.col("bands").alias("ubands"))
         first_shared = F.get(F.array_intersect("ubands", "bands"), F.lit(0)) == F.col("bucket")
-        pairs = own.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un")) & first_shared).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
+        pairs = left.join(hub, "bucket").filter("comp <> ucomp").filter(bound(F.least("h", "uh"), F.col("n") + F.col("un")) & first_shared).select("u", "un", F.col("c").alias("v"), F.col("n").alias("vn"))
         pairs = pairs if rare is None else pairs.union(rare)
         pairs = staged.write(pairs.filter(apt).select(*pair).distinct().join(tried, ["u", "v"], "left_anti"))
         new, n = staged.counted(_confirm(pairs, sets, p))
         if n:
             comp = connected_components(_stars(comp).union(new), staged)
-        tried = tried.union(pairs)
-        rest, centres = left.filter(F.col("rank") > centres).select("bucket", "c", "n"), centres * 4
+        tried, rare = tried.union(pairs), None
+        # a bucket is sorted for its numbers already, so no join is needed for what it holds
+        rest = named(left.filter(F.col("rank") > centres).drop("comp", "rank")).select("*", lo, hi, F.min("n").over(own).alias("least"))
+        left, n, most = staged.counted(ranked(rest.filter("lo < hi").drop("lo", "hi")), F.max("rank"))
+        centres = max(centres * 4, most if n and most <= p.last else 0)
+    return classes, comp
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
@@ -262,8 +272,12 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     """docs without all but one row of each group; the columns stay. Of rows that share a doc_id, one stays."""
-    gone = near_duplicates(docs, p).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    staged = Staged(docs.sparkSession)
+    gone = staged.write(near_duplicates(docs, p).filter("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    # only documents that may go are shuffled
+    bits, key = staged.write(bitmap(gone, "gone")), F.col("doc_id").cast("long")
+    some = may_meet(docs, key, bits)
+    left = cannot_meet(docs, key, bits).union(some.join(gone, some["doc_id"].cast("long") == gone["gone"], "left_anti"))
     if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left
     rows = left.select(F.struct(*docs.columns).alias("row"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from brindle.llm import language_id, mixing, near_dedup, packing, quality_ledger, substring_dedup, suffix_dedup, tiff, toxicity
 from brindle.llm._tokens import tokenizer
 from brindle.llm.queries import packing as public
+from brindle.operators import sieve
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "Tu", "re") for b in ("na", "so", "é", "x") for c in ("t", "n", "ß", "")]
@@ -732,3 +733,27 @@ def test_fixity_of_files(spark, tmp_path):
     assert {r["file"] for r in table(leaves)} == {"1.warc", "2.warc"} and leaves.count() <= 3
     (tmp_path / "a/junk.warc").write_bytes(b"no record")
     assert X.read_manifest(spark, str(tmp_path / "a")).filter("file = 'junk.warc'").first()["id"] is None
+
+
+# ---------------------------------------------------------------- sieve
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.createDataFrame([(k,) for k in range(0, 3000, 3)] + [(None,)], "k long")
+    df = spark.createDataFrame([(k, str(k)) for k in range(9000)] + [(None, "x")], "id long, text string")
+    bits = sieve.bitmap(keys, "k")
+    may = {r["id"] for r in sieve.may_meet(df, F.col("id"), bits).collect()}
+    cannot = {r["id"] for r in sieve.cannot_meet(df, F.col("id"), bits).collect()}
+    assert may >= {*range(0, 3000, 3), None} and len(may) < 1100
+    assert not may & cannot and may | cannot == {*range(9000), None}
+    assert bits.count() <= sieve.BITS // 64
+
+
+def test_last_stars_leave_no_pair(spark, monkeypatch):
+    """All members of small open buckets are centres at once, with the links of the rounds before."""
+    base = [f"w{j}" for j in range(60)]
+    rows = [(k, " ".join([*base[:36], *(f"x{k // 2}_{j}" for j in range(24)), *([f"y{k}"] if k % 2 else [])])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: k // 2 * 2 for k in range(40)}
+    for p in (near_dedup.NearDedup(centres=1, rare=1), near_dedup.NearDedup(centres=1, rare=1, last=0)):
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, p).collect()} == want
