@@ -749,6 +749,18 @@ def test_sieve_loses_no_key(spark):
     assert bits.count() <= sieve.BITS // 64
 
 
+def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    """Before, every text went through a shuffle for the joins that fetch a few of them."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * 40 + j}" for j in range(40))) for k in range(300)] + [(900, " ".join(f"w{j}" for j in range(40)))], "doc_id long, text string")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(300))
+    cut = suffix_dedup.cut_long_repeats(docs, suffix_dedup.SuffixDedup(window=100))
+    assert {r["doc_id"]: r["text"] for r in cut.collect() if r["doc_id"] in (0, 5, 900)} == {0: "", 5: docs.filter("doc_id = 5").first()["text"], 900: ""}
+    for df in (kept, cut):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftSemi") and plan.count("Join LeftAnti") and "Union" in plan
+
+
 def test_last_stars_leave_no_pair(spark, monkeypatch):
     """All members of small open buckets are centres at once, with the links of the rounds before."""
     base = [f"w{j}" for j in range(60)]
