@@ -1,19 +1,12 @@
-"""Alignment of two tokenizers over the same bytes, as relations of token ends.
-
-A document becomes one row, with its key and the ids of both sides; the rows are dealt out by the key once, to as many
-partitions as keep a partition's tokens within a task's memory. From there on everything is relational, and stays where it is
-dealt to:
-
-1. `posexplode` gives a row a token; the vocabularies, two tables of fixed size, give its length in bytes; a window over
-   (document, side) sums the lengths, so that each token has its end.
-2. A and B tokens are joined where document and end are equal. As both sides stand in one partition already, the equi-join is
-   a merge: a window over the document, its ends descending, brings equal ends together, and what has a partner is a cut. The
-   count of cuts so far numbers the groups.
-3. Every distinct end closes one stretch of bytes that no token border divides, and so belongs to exactly one A and one B
-   token, the nearest that end there or later; and every overlapping pair of tokens has exactly one such stretch. So
-   links are the distinct ends, each with the last A and the last B id seen: a range join that can't emit more rows than there
-   are tokens, however long a group is.
-4. The links of a document, as distinct id pairs with their numbers, are written, one row a document. Pairs are counted over
+"""Alignment of two tokenizers over the same bytes, by the ends of their tokens.
+
+1. A document is a row; a task tokenizes a slice of its rows on both sides, and running sums of the tokens' bytes give every
+   token its end. An end of both sides is a cut; the cuts number the groups.
+2. Every distinct end closes one stretch of bytes that no token border divides, and so belongs to exactly one A and one B
+   token, the nearest that end there or later; and every overlapping pair of tokens has exactly one such stretch. So links
+   are the distinct ends: a search in two sorted arrays that can't give more links than there are tokens, however long a
+   group is.
+3. The links of a document, as distinct id pairs with their numbers, are written, one row a document. Pairs are counted over
    all documents. Counts go back to the documents by a broadcast of the `heavy` most frequent pairs, a fixed number, and a
    join for all others.
 
@@ -30,10 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from brindle.llm._text import sliced
 from brindle.llm._tokens import Tokenizer, tokenizer
@@ -93,125 +84,82 @@ def _both(p: Alignment) -> tuple:
     return _made[p]
 
 
-#: The bit of a token's side, above its id.
-SIDE = 16
-#: Bytes of memory that a byte of text takes in the sorts of a partition: two of them, with a token every 1.3 bytes.
-FOOTPRINT = 180
-
-
-def vocabulary(spark: SparkSession, p: Alignment) -> DataFrame:
-    """token (side and id), length: one row an id of either tokenizer."""
-    _, b, size = _both(p)
-    ids = np.concatenate((np.arange(len(size)), (1 << SIDE) + np.arange(len(b.sizes)))).astype(np.int32)
-    return spark.createDataFrame(pa.table({"token": ids, "length": np.concatenate((size, b.sizes)).astype(np.int32)}))
-
-
-def token_rows(docs: DataFrame, p: Alignment) -> DataFrame:
-    """k, mid, doc_id, n_a, tokens: the ids of A, then those of B. k follows from the row; with mid it names the row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_of, b_of, size = _both(p)
-        for b, _, _ in sliced(batches, "text", 1 << 19):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            spaced = [" " + t if t else "" for t in texts]
-            out, n_a = [], []
-            for t, x, y in zip(spaced, a_of.encode(spaced), b_of.encode(spaced), strict=True):
-                x, y, raw = x[:-1].astype(np.int64), y[:-1].astype(np.int64), t.encode()
-                if size[x].sum() != len(raw) or b_of.sizes[y].sum() != len(raw) or "▁" in t or (not t.isascii() and b_of.spell(y) != raw):
-                    x = y = np.zeros(0, np.int64)
-                n_a.append(len(x))
-                out.append(np.concatenate((x, y)).astype(np.uint16).view(np.int16))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            yield pa.record_batch([*(b.column(c) for c in ("k", "mid", "doc_id")), pa.array(n_a, pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(out))], ["k", "mid", "doc_id", "n_a", "tokens"])
-
-    keyed = dealt(docs.select(F.col("doc_id").cast("long"), "text")).select(F.xxhash64("doc_id", "text").alias("k"), F.monotonically_increasing_id().alias("mid"), "doc_id", "text")
-    return keyed.mapInArrow(run, "k long, mid long, doc_id long, n_a int, tokens array<short>")
-
-
-def partitions(docs: DataFrame) -> int:
-    """In how many parts all texts' tokens can be sorted in memory. Reads the texts' sizes."""
-    spark = docs.sparkSession
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    heap = spark._jvm.org.apache.spark.util.Utils.memoryStringToMb(conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")) << 20
-    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    task = max(heap - (300 << 20), heap // 4) * float(conf.get("spark.memory.fraction", "0.6")) * 0.6 / cores
-    n = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * FOOTPRINT / task) + 1)
-
-
-def stretches(rows: DataFrame, words: DataFrame, parts: int) -> DataFrame:
-    """token_rows and the vocabulary to k, mid, doc_id, end, a, b (the ids of the tokens over the stretch that ends there), kind: 1 an end of A, 2 of
-    B, 3 a cut; group: how many cuts there are from there on. One row, of nulls, for a document without tokens."""
-    doc = ["k", "mid"]
-    t = rows.repartition(parts, "k").select(*doc, "doc_id", "n_a", F.posexplode_outer("tokens").alias("pos", "t"))
-    t = t.select(*doc, "doc_id", "pos", F.expr(f"cast(pos >= n_a as int) << {SIDE} | cast(t as int) & 65535").alias("token")).join(F.broadcast(words), "token", "left")
-    t = t.select(*doc, "doc_id", "pos", F.expr(f"shiftright(token, {SIDE})").alias("side"), F.expr("token & 65535").alias("id"), "length")
-    end = F.sum("length").over(W.partitionBy(*doc, "side").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    t = t.select(*doc, "doc_id", "side", "id", end.alias("end"))
-    down = W.partitionBy(*doc).orderBy(F.desc("end"))
-    upto = down.rangeBetween(W.unboundedPreceding, W.currentRow)  # equal ends see each other
-    near = lambda side: F.last(F.when(F.col("side") == side, F.col("id")), ignorenulls=True).over(upto)
-    t = t.select(
-        *doc, "doc_id", "end", "side", near(0).alias("a"), near(1).alias("b"), F.lag("end").over(down).alias("before"), F.lead("end").over(down).alias("after"),
-        (F.count("end").over(upto) - F.dense_rank().over(down)).alias("group"),
-    )
-    kind = F.when(F.col("end") == F.col("after"), 3).otherwise(F.col("side") + 1)
-    return t.filter(F.col("end").isNull() | F.col("before").isNull() | (F.col("before") != F.col("end"))).select(*doc, "doc_id", "end", "a", "b", kind.alias("kind"), "group")
-
-
 _digits: list[np.ndarray] = []
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> bytes:
-    """a1,a2|b1;a3|b2,b3 of a document's stretches in order."""
+def groups_text(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a1,a2|b1;a3|b2,b3; of all tokens in order, and where each token's text starts. cut: the last tokens of their groups."""
     if not _digits:
-        names = [str(k).encode() for k in range(1 << SIDE)]
-        _digits.append(np.frombuffer(b"".join(n.ljust(6) for n in names), np.uint8).reshape(-1, 6))
+        names = [str(k).encode() for k in range(1 << 16)]
+        _digits.append(np.frombuffer(b"".join(n.ljust(7) for n in names), np.uint8).reshape(-1, 7))
         _digits.append(np.array([len(n) for n in names]))
-    cut = kind == 3
-    group = np.cumsum(cut) - cut
-    is_a, is_b = (kind & 1) > 0, (kind & 2) > 0
-    key = np.concatenate((group[is_a] * 2, group[is_b] * 2 + 1))
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], np.concatenate((a[is_a], b[is_b]))[order]
-    mark = np.where(key & 1, ord(";"), ord("|"))
-    mark[:-1][key[1:] == key[:-1]] = ord(",")
+    # a group's A tokens stand behind all B tokens of the groups before, its B tokens behind all A tokens up to it
+    at_a = np.arange(len(a)) + np.concatenate(([0], np.flatnonzero(b_cut) + 1))[a_group]
+    at_b = np.arange(len(b)) + (np.flatnonzero(a_cut) + 1)[b_group]
+    ids, mark = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    mark[at_a], mark[at_b] = np.where(a_cut, ord("|"), ord(",")), np.where(b_cut, ord(";"), ord(","))
     size = _digits[1][ids]
-    cells = np.zeros((len(ids), 7), np.uint8)
-    cells[:, :6] = _digits[0][ids]
+    cells = _digits[0][ids]
     cells[np.arange(len(ids)), size] = mark
-    return cells[np.arange(7) <= size[:, None]][:-1].tobytes()
+    return cells[np.arange(7) <= size[:, None]], np.concatenate(([0], np.cumsum(size + 1)))
 
 
-#: A stretch as one number that sorts by its end: end (below 2**30), a, b, kind.
-PACKED = "shiftleft(end, 33) | shiftleft(cast(a as long), 17) | shiftleft(cast(b as long), 2) | kind"
+#: links: distinct id pairs, a << 15 | b, below 32 bits of how often each comes.
 FACTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
 
 
-def document_facts(s: DataFrame) -> DataFrame:
-    """stretches to FACTS, one row a document. links: distinct id pairs, a << 15 | b, below 32 bits of how often each comes."""
+def aligned(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, a_offs: np.ndarray, b_offs: np.ndarray) -> list[np.ndarray | list]:
+    """The tokens of documents that stand one after the other, with their bytes and each document's first; to what FACTS has
+    of each: n_groups, n_links, groups_sha256, the number of distinct pairs; and these pairs.
+
+    Both sides of a document have the same bytes, so an end's place among all bytes names the document as well.
+    """
+    n = len(a_offs) - 1
+    a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+    end = np.union1d(a_end, b_end)
+    of_a, of_b = np.searchsorted(a_end, end), np.searchsorted(b_end, end)
+    cut = end[(a_end[of_a] == end) & (b_end[of_b] == end)]
+    a_group, b_group = np.searchsorted(cut, a_end), np.searchsorted(cut, b_end)
+    text, at = groups_text(a, b, cut[a_group] == a_end, cut[b_group] == b_end, a_group, b_group)
+    upto = at[a_offs + b_offs]
+    digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+    doc_of_a = np.repeat(np.arange(n), np.diff(a_offs))
+    doc = doc_of_a[of_a]
+    pair, times = np.unique(doc << 31 | a[of_a] << 15 | b[of_b], return_counts=True)
+    groups = np.bincount(doc_of_a[np.searchsorted(a_end, cut)], minlength=n)
+    return [groups, np.bincount(doc, minlength=n), digests, np.bincount(pair >> 31, minlength=n), times << 32 | (pair & 0x7FFFFFFF)]
+
+
+def document_facts(docs: DataFrame, p: Alignment) -> DataFrame:
+    """docs(doc_id, text) to FACTS, one row a document."""
     names = [c.split()[0] for c in FACTS.split(", ")]
 
-    def run(doc: pa.Table) -> pa.Table:
-        p = doc.column("s").drop_null().to_numpy()
-        p = np.sort(p)
-        x, y, kind = p >> 17 & 0xFFFF, p >> 2 & 0x7FFF, p & 3
-        pair, times = np.unique(x << 15 | y, return_counts=True)
-        n_groups = pc.max(doc.column("group")).as_py() if len(p) else 0
-        one = [doc.column("doc_id")[0].as_py(), int((kind & 1).sum()), int((kind >> 1).sum()), n_groups, len(p), hashlib.sha256(groups_text(x, y, kind)).hexdigest() if len(p) else ""]
-        links = pa.ListArray.from_arrays(np.array([0, len(pair)], np.int32), times << 32 | pair)
-        return pa.table([*(pa.array([v], t) for v, t in zip(one, [pa.int64()] * 5 + [pa.string()], strict=True)), links], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_of, b_of, size = _both(p)
+        for b, _, _ in sliced(batches, "text", 1 << 19):
+            spaced = [" " + t if t else "" for t in b.column("text").to_pylist()]
+            xs, ys = [], []
+            for t, x, y in zip(spaced, a_of.encode(spaced), b_of.encode(spaced), strict=True):
+                x, y, raw = x[:-1].astype(np.int64), y[:-1].astype(np.int64), t.encode()
+                if size[x].sum() != len(raw) or b_of.sizes[y].sum() != len(raw) or "▁" in t or (not t.isascii() and b_of.spell(y) != raw):
+                    x = y = np.zeros(0, np.int64)
+                xs.append(x)
+                ys.append(y)
+            n_a, n_b = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            groups, links, digests, each, pairs = aligned(x, y, size[x], b_of.sizes[y], *(np.concatenate(([0], np.cumsum(n))) for n in (n_a, n_b)))
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(each))).astype(np.int32), pairs)
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n_a, n_b, groups, links)), pa.array(digests, pa.string()), lists], names)
 
-    # sorted by document already, so each goes to the function as it stands
-    return s.select("k", "mid", "doc_id", "group", F.expr(PACKED).alias("s")).groupBy("k", "mid").applyInArrow(run, FACTS)
+    return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, FACTS)
 
 
 def align(docs: DataFrame, p: Alignment) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: one row for each input row."""
     staged = Staged(docs.sparkSession)
     # the number of a row is fixed by the writing
-    facts = staged.write(document_facts(stretches(token_rows(docs, p), vocabulary(docs.sparkSession, p), partitions(docs))).withColumn("row", F.monotonically_increasing_id()))
+    facts = staged.write(document_facts(docs, p).withColumn("row", F.monotonically_increasing_id()))
     link = facts.select("row", F.explode("links").alias("l")).select("row", F.expr("l & 4294967295L").alias("pair"), F.shiftright("l", 32).alias("times"))
     counts = staged.write(link.groupBy("pair").agg(F.count("*").alias("n")))
     top = counts.groupBy(F.shiftright("pair", 15).alias("a")).agg(F.max("n").alias("most"))  # one row an A id

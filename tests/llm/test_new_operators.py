@@ -124,6 +124,17 @@ def test_alignment(spark):
     assert token_alignment.align(df.limit(0), tokenizers()).count() == 0
 
 
+def test_alignment_of_a_slice(spark):
+    """Documents of a slice stay apart, one without tokens among them; no row is made for a token, and nothing is sorted."""
+    array = lambda *x: np.array(x, np.int64)
+    groups, links, digests, each, pairs = token_alignment.aligned(array(7, 8, 9, 7), array(1, 2, 1, 3), array(2, 3, 4, 2), array(2, 4, 3, 2), array(0, 3, 3, 4), array(0, 3, 3, 4))
+    assert (groups.tolist(), links.tolist(), each.tolist()) == ([2, 0, 1], [4, 0, 1], [4, 0, 1])
+    assert digests == [hashlib.sha256(b"7|1;8,9|2,1").hexdigest(), "", hashlib.sha256(b"7|3").hexdigest()]
+    assert pairs.tolist() == [1 << 32 | a << 15 | b for a, b in ((7, 1), (8, 2), (9, 1), (9, 2), (7, 3))]
+    plan = token_alignment.document_facts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), tokenizers())._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Generate", "Window", "Sort"))
+
+
 # the factorisation machine
 
 
