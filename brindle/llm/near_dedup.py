@@ -207,7 +207,8 @@ def links(docs: DataFrame, feats: DataFrame, p: NearDedup, staged: Staged) -> tu
     pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     star = members.select(F.col("m.c").alias("u"), F.col("m.n").alias("un"), F.col("c").alias("v"), F.col("n").alias("vn"))
     tried = staged.write(star.filter(apt).select(*pair).distinct())
-    comp = connected_components(_confirm(tried, sets, p), staged)
+    # written first: a Python step on another's rows would take a second worker in every task
+    comp = connected_components(staged.write(_confirm(tried, sets, p)), staged)
     # an intersection of m can't link sets of together `sizes` shingles otherwise
     bound = lambda m, sizes: (F.col(m) if isinstance(m, str) else m) * (100 + p.percent) >= sizes * p.percent
     own = W.partitionBy("bucket")

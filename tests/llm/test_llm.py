@@ -18,6 +18,7 @@ from brindle.llm import language_id, mixing, near_dedup, packing, quality_ledger
 from brindle.llm._tokens import tokenizer
 from brindle.llm.queries import packing as public
 from brindle.operators import sieve
+from brindle.session import Staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "Tu", "re") for b in ("na", "so", "é", "x") for c in ("t", "n", "ß", "")]
@@ -769,3 +770,19 @@ def test_last_stars_leave_no_pair(spark, monkeypatch):
     want = {k: k // 2 * 2 for k in range(40)}
     for p in (near_dedup.NearDedup(centres=1, rare=1), near_dedup.NearDedup(centres=1, rare=1, last=0)):
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, p).collect()} == want
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """No Python step reads another's rows in one task: each would hold a worker's memory, and workers stay for later stages."""
+    plans, write, plan = [], Staged.write, suffix_dedup._plan
+    monkeypatch.setattr(Staged, "write", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(self, df))
+    monkeypatch.setattr(suffix_dedup, "_plan", lambda p: replace(plan(p), hot=2))
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    shared = " ".join(word() for _ in range(40))
+    rows = [(k, " ".join([word(), shared, *(word() for _ in range(5))])) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).count() == suffix_dedup.cut_long_repeats(docs, suffix_dedup.SuffixDedup(window=100)).count() == 12
+    nodes = [re.findall(r"MapInArrow|Join|Aggregate|Union|Repartition|Sort|Relation", p) for p in plans]
+    assert sum(n.count("MapInArrow") for n in nodes) > 4
+    assert not [n for n in nodes if ("MapInArrow", "MapInArrow") in zip(n, n[1:], strict=False)]
