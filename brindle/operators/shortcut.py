@@ -12,6 +12,7 @@ from brindle.functions import geometry as G
 from brindle.functions.scalars import CLASSES, NORMAL, bucket
 from brindle.functions.vectors import argmax
 from brindle.operators.metrics import auroc, confusion, per_class, summary
+from brindle.session import Staged, dealt
 
 #: What a crop's scale alone shows, and all that is known without pixels.
 SCALE = ["area_ratio", "log_area", "win_side", "win_over_input"]
@@ -64,11 +65,11 @@ def crop_features(rows: DataFrame, tag: Column | str, img_size: int = 224, min_p
     b = F.col("bbox")
     w, h = (F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(1.0)) for c in ("img_w", "img_h"))
     bw, bh = (F.coalesce(F.greatest(b[f"{x}2"] - b[f"{x}1"], F.lit(0.0)), F.lit(0.0)) for x in "xy")
-    side = F.coalesce(F.least(win["x2"] - win["x1"], win["y2"] - win["y1"]).cast("double"), F.lit(0.0))
+    side = F.coalesce(G.let(win, lambda v: F.least(v["x2"] - v["x1"], v["y2"] - v["y1"]).cast("double")), F.lit(0.0))
     known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0)
-    return rows.withColumns({
-        "area_ratio": bw * bh / F.greatest(w * h, F.lit(1.0)), "log_area": F.log1p(bw * bh), "aspect": bw / F.greatest(bh, F.lit(1e-6)), "win_side": side,
-        "win_over_input": side / F.lit(float(max(img_size, 1))), "img_w": w, "img_h": h, "n_lesion": known("n_lesion"), "synthetic": known("synthetic"),
+    return rows.withColumn("win_side", side).withColumns({
+        "area_ratio": bw * bh / F.greatest(w * h, F.lit(1.0)), "log_area": F.log1p(bw * bh), "aspect": bw / F.greatest(bh, F.lit(1e-6)),
+        "win_over_input": F.col("win_side") / F.lit(float(max(img_size, 1))), "img_w": w, "img_h": h, "n_lesion": known("n_lesion"), "synthetic": known("synthetic"),
     })
 
 
@@ -81,7 +82,8 @@ def crop_baseline(rows: DataFrame, tag: Column | str, fold: int = 0, features: s
     """
     if features not in FEATURES:
         raise KeyError(f"no features {features!r}, but {sorted(FEATURES)}")
-    dev = crop_features(rows.filter(~F.col("is_holdout")), tag).select("label", "fold", *FEATURES[features])
+    # written once: the window is a large expression, and every pass of a fit would plan, compile and compute it again
+    dev = Staged(rows.sparkSession).write(crop_features(dealt(rows.filter(~F.col("is_holdout"))), tag).select("label", "fold", *FEATURES[features]))
     one = _vectors(dev.withColumn("y", (~F.col("label").eqNullSafe(F.lit(normal))).cast("int")), FEATURES[features])
     two = _vectors(dev.withColumn("y", F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("int") - 1).filter("y >= 0"), FEATURES[features])
     train, test = (lambda d: d.filter(F.col("fold") != fold)), (lambda d: d.filter(F.col("fold") == fold))

@@ -36,3 +36,11 @@ def test_both_stages(spark):
     assert abs(got["chance"]["stage1_auroc"] - 0.5) < 0.12 and got["chance"]["stage2_macro_f1"] < 0.3
     few = base.filter("id < 40 and c < 6").withColumn("bbox", F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
     assert tuple(shortcut.crop_baseline(few, "full").first()) == (None, None, None)
+
+
+def test_the_window_is_computed_once(spark):
+    """Its sides are asked for by two features, and by every pass of a fit; the plan holds it once."""
+    df = with_box(spark.createDataFrame([("A1", 1.0, 1.0, 9.0, 9.0, 40, 30)], SCHEMA)).withColumn("fold", F.lit(0))
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("transform(")
+    alone = count(df.select(G.crop_window("bbox", "img_w", "img_h", F.lit("m1.5"))))
+    assert 0 < count(shortcut.crop_features(df, "m1.5").select("win_side", "win_over_input")) <= alone + 1
