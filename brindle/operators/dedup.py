@@ -7,6 +7,7 @@ dealt out; a Hamming distance confirms them; components make clusters. Equal sig
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 from itertools import chain, pairwise
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from brindle.operators.graph import connected_components
@@ -93,15 +94,15 @@ def candidate_pairs(sigs: DataFrame, key: str = "doc_id", max_hamming: int = 6,
     """(u, v, distance), u < v: representatives of equal signatures that share a band and are near enough. Null ones take no part.
 
     A bucket of more than `crowded` representatives is split by parts of the signature, bits k, k + m, ... of every word for k
-    below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost. With a
-    cap, buckets of more representatives than that are left out instead; `skipped_buckets` lists them.
+    below m = max_hamming + 1. Of m parts, signatures that differ in fewer bits share at least one, so no pair is lost. A pair
+    is given by the first place that it shares, so pairs aren't shuffled. With a cap, buckets of more representatives than that
+    are left out instead; `skipped_buckets` lists them.
     """
-    rows = bands(sigs.filter(F.col("b0").isNotNull()).groupBy(*_words()).agg(F.min(key).alias("id")))
-    sized = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    if cap is not None:
-        kept = sized.filter(F.col("n") <= cap).withColumn("n", F.lit(0))
-        return near_pairs(*[parted(rows, kept, max_hamming, crowded)] * 2, max_hamming, F.col("x.id") < F.col("y.id"))
-    return near_pairs(*[parted(rows, sized, max_hamming, crowded)] * 2, max_hamming, F.col("x.id") < F.col("y.id"))
+    rows = placed(sigs, key, max_hamming, cap, crowded)
+    kind = StructType([*(StructField(c, rows.schema["id"].dataType) for c in "uv"), StructField("distance", IntegerType())])
+    once = cap is None  # else the first place may be left out
+    pairs = _by_place(rows, kind, lambda *place: _pairs(*place, max_hamming, once))
+    return pairs if once else pairs.distinct()
 
 
 def placed(sigs: DataFrame, key: str, max_hamming: int, cap: int | None, crowded: int) -> DataFrame:
@@ -217,6 +218,25 @@ def _apart(w: np.ndarray, a: np.ndarray | slice, b: np.ndarray | slice) -> np.nd
     return next(each) if len(w) == 1 else reduce(np.add, (x.astype(np.uint16) for x in each))
 
 
+def _pairs(ids: np.ndarray, words: np.ndarray, fresh: np.ndarray, place: np.ndarray, far: int, once: bool) -> Iterator[Columns]:
+    """u, v, distance of one place, a square of CELLS at a time; once: only those that share no place before it."""
+    w, masks = _packed(words), _masks(far)
+    band, part, side = int(place[0]), int(place[2]), math.isqrt(CELLS)
+    for i in range(0, len(ids), side):
+        for j in range(i, len(ids), side):
+            apart = _apart(w, slice(i, i + side), slice(j, j + side))
+            a, b = np.nonzero(np.triu(apart <= far, 1) if i == j else apart <= far)
+            distance, a, b = apart[a, b].astype(np.int32), a + i, b + j
+            ok = ids[a] != ids[b]
+            if once:
+                bits = words[:, a] ^ words[:, b]
+                ok &= (bits[:band] != 0).all(axis=0)
+                some = np.bitwise_or.reduce(bits, axis=0)
+                for m in masks[: max(part, 0)]:
+                    ok &= some & m != 0
+            yield ids[a[ok]], ids[b[ok]], distance[ok]
+
+
 def _hung(ids: np.ndarray, words: np.ndarray, fresh: np.ndarray, far: int) -> list[Columns]:
     """The links of one place."""
     root = _roots(words, fresh, far)

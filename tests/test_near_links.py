@@ -29,6 +29,18 @@ def brute(rows):
     return {(x[0], y[0], far(x, y)) for x in rows for y in rows if x[0] < y[0] and any(a == b for a, b in zip(x[1:], y[1:], strict=True)) and far(x, y) <= 6}
 
 
+def test_pairs_come_once_and_are_not_shuffled(spark):
+    for rows in (crowd(200, 1), crowd(150, 2, 64)):
+        want = brute(rows)
+        assert len(want) > 100
+        sigs = spark.createDataFrame([*rows, (9999, None, None, None, None)], SCHEMA)
+        for crowded in (2000, 5):
+            got = dedup.candidate_pairs(sigs, crowded=crowded)
+            assert sorted(map(tuple, got.collect())) == sorted(want)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate [u" not in plan and "Deduplicate" not in plan
+
+
 def test_clusters_need_few_links(spark, monkeypatch):
     rows = crowd(300, 3, flips=(1, 2, 3))
     sigs = spark.createDataFrame(rows, SCHEMA)
