@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.dedup import BANDS, bands, candidate_pairs, near_pairs, parted
+from brindle.operators.dedup import BANDS, bands, parted
+from brindle.operators.dedup import links as near_links
 from brindle.operators.forest import Forest
 from brindle.session import Staged
 
@@ -52,12 +53,10 @@ class SignatureIndex:
         at = staged.write(at.select(*WORDS, "k", "old", F.coalesce("old", "k").alias("id")))
         new = at.filter("old is null").select(*WORDS, "id")
         mine = staged.write(bands(new))
-        asked = mine.groupBy("band", "bits").agg(F.count("*").alias("m"))
-        old = staged.write(stored.join(asked, ["band", "bits"]).select("id", F.struct(*WORDS).alias("s"), "band", "bits", "m"))
-        sized = old.groupBy("band", "bits").agg((F.count("*") + F.max("m")).alias("n"))
-        place = lambda rows: parted(rows, sized, self.max_hamming, self.crowded)
-        links = near_pairs(place(mine), place(old.drop("m")), self.max_hamming, F.lit(True)).select("u", "v")
-        links = links.unionByName(candidate_pairs(new, "id", self.max_hamming, crowded=self.crowded).select("u", "v"))
+        asked = mine.select("band", "bits").distinct()
+        both = staged.write(stored.join(asked, ["band", "bits"]).select("id", F.struct(*WORDS).alias("s"), "band", "bits", F.lit(False).alias("fresh")).unionByName(mine.withColumn("fresh", F.lit(True))))
+        sized = both.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+        links = near_links(parted(both, sized, self.max_hamming, self.crowded), self.max_hamming)
         # every representative is a vertex, and the smallest key of a chunk may name its cluster
         links = staged.write(links.unionByName(at.select(F.col("id").alias("u"), F.col("k").alias("v"))))
         mine.select("band", "bits", "id", *(F.col(f"s.{w}").alias(w) for w in WORDS)).repartition(self.buckets, "band", "bits").write.bucketBy(self.buckets, "band", "bits").format("parquet").option("path", f"{self.path}/bands").mode("append").saveAsTable(self.name)

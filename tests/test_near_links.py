@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from brindle.operators import dedup
+from brindle.operators import dedup, dedup_index
 
 SCHEMA = "doc_id long, b0 long, b1 long, b2 long, b3 long"
 
@@ -56,6 +56,18 @@ def test_clusters_need_few_links(spark, monkeypatch):
     assert got == set(root.items()) == {tuple(r)[:2] for r in dedup.clusters(sigs, crowded=5).collect()}
 
 
+def test_an_index_is_given_few_links(spark, tmp_path, monkeypatch):
+    rows = crowd(300, 4, flips=(1, 2, 3))
+    want = {tuple(r) for r in dedup.clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
+    seen, real = [], dedup_index.Forest.add
+    monkeypatch.setattr(dedup_index.Forest, "add", lambda self, e: (seen.append(e.count()), real(self, e))[1])
+    index = dedup_index.SignatureIndex(spark, str(tmp_path), "bands_few", buckets=4)
+    for k in (0, 1):
+        index.add(spark.createDataFrame(rows[k::2], SCHEMA))
+    assert {tuple(r) for r in index.clusters().collect()} == want
+    assert sum(seen) <= 9 * len(rows) < len(brute(rows))  # four bands of both chunks, and one more for each of its rows
+
+
 def test_two_old_signatures_are_not_compared(spark):
     """A new one joins both of those it is near to; old ones alone stay apart."""
     rows = [(1, 0, 0, 0, 0, False), (2, 0, 1, 0, 0, False), (3, 7, 0, 0, 0, False), (4, 7, 1, 0, 0, True), (5, 7, 3, 0, 0, False)]
